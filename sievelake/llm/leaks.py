@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import spread, table
+from .batches import slices
 
 #: Words of a seed, and equal consecutive words that make a leak.
 SEED, RUN = 5, 12
@@ -176,7 +177,7 @@ class _Numbers(dict):
 def _counter(passages: Passages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(passages.seeds), np.int64)
-        for b in batches:
+        for b in slices(batches, 1):
             ids, begins = passages.encode(b.column(1).to_pylist())
             g = passages.grams(ids)
             at = np.flatnonzero(g)
@@ -197,7 +198,7 @@ def _aligner(passages: Passages):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int32()), ("longest_run", pa.int32()), ("item_words", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             docs = b.column(0).to_pylist()
             ids, begins = passages.encode(b.column(1).to_pylist())
             g = passages.grams(ids)

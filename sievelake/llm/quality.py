@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import checkpointed, spread, table
+from .batches import slices
 
 _LETTER, _DIGIT, _BLANK, _BREAK, _POINT, _SYMBOL = range(6)
 #: Punctuation of sentences, which doesn't count as symbols, and line ends among it.
@@ -217,9 +218,7 @@ class Counts:
 
 def _analyser(common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 1):
             c = Counts(b.column(1).to_pylist(), common)
             begins = np.concatenate([[0], np.cumsum(np.bincount(c.doc, minlength=b.num_rows))]).astype(np.int32)
             nested = lambda x, t: pa.ListArray.from_arrays(pa.array(begins), pa.array(x, t))
