@@ -301,7 +301,7 @@ def scan_files(files: DataFrame, rules: list[Rule], filters: Filters = DEFAULTS,
         taken = usable.where(entry | selected(inner, list(ext), list(deny), archive, text, False, filters, root))
         if size:
             taken = taken.where(F.octet_length("content") <= size)
-        docs = taken.select("path", F.decode("content", "UTF-8").alias("content"))
+        docs = taken.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
         found = scan(docs, group, "path", engine=engine)
         out = found if out is None else out.unionByName(found)
     return out

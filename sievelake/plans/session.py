@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +65,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this library importable by the session's Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sievelake_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="sievelake-")) / "sievelake.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))  # Spark distributes it from the driver
+    sc._sievelake_shipped = True

@@ -1,14 +1,619 @@
-"""All core queries and their SQL."""
+"""All core queries and their SQL.
+
+Each query runs over the whole of its tables. Arrays and maps come out as
+sorted, joined text, so that engines can be compared.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import os
+import tarfile
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import paths, regex, text
+from .operators import match, reports, scan, windows
+from .operators.lines import bare_lines, explode_lines, legacy_lines, lines
 from .operators.skew import P3_QUERIES, P3_SQL
+from .plans.rules import Extractor, Matcher, Request, Rule, adhoc, choose, from_table, grouped, request_literals
+from .plans.session import scratch_path, spread, table
+from .sources import files as sources
+from .streaming import writers
+
+CASES, MILLIONS = r"(?i)of (\d+) cases", r"(?i)\b(?:by|um|pour) (\d+)\s+mill"
+TOKEN = r"(?i)(?:token|secret|password)\s*[:=]\s*[\"']?(\w[\w\-.]{7,})"
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as (label, content): the speeches' texts under their ids."""
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("label"), F.col("text").alias("content"))
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw lines as (label, content), redelivered ones once."""
+    return table(spark, sf, "file_matches").select(F.col("match_id").cast("string").alias("label"), F.col("raw_line").alias("content")).distinct()
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return explode_lines(table(spark, sf, "documents").select("doc_id", "text"), "text")
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(F.array_sort(c), "|")
+
+
+def _hits(c: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.transform(c, lambda h: F.struct(h["line"].alias("l"), h["byte_offset"].alias("o"), h["value"].alias("v")))), lambda h: F.concat_ws(":", h["l"], h["o"], h["v"])), "|")
+
+
+# SQL of the lines of documents and of raw lines.
+def _lines_sql(source: str, key: str, column: str, width: str = "strlen(raw) + 1") -> str:
+    return f"""
+        select {key}, line_no, regexp_replace(raw, '\\r$', '') as line,
+               coalesce(sum({width}) over (partition by {key} order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint as byte_offset
+        from (select {key}, unnest(parts) as raw, generate_subscripts(parts, 1)::int as line_no
+              from (select {key}, case when p[len(p)] = '' then p[1 : len(p) - 1] else p end as parts
+                    from (select {key}, string_split({column}, chr(10)) as p from {source} where {column} <> '')))"""
+
+
+_STRIPPED = "strlen(regexp_replace(raw, '\\r$', ''))"
+DOC_LINES = _lines_sql("documents", "doc_id", "text")
+RAW = "(select distinct match_id::varchar as label, raw_line from file_matches)"
+RAW_LINES = _lines_sql(RAW, "label", "raw_line")
+LABEL_LINES = _lines_sql("(select doc_id::varchar as label, text from documents)", "label", "text")
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- lines -----------------------------------------------------------------
+
+
+@query("lines_explode", f"select doc_id, line_no, byte_offset, line from ({DOC_LINES})")
+def lines_explode(spark, sf):
+    return _lines(spark, sf)
+
+
+@query("lines_legacy_offset", f"select doc_id, line_no, byte_offset, line from ({_lines_sql('documents', 'doc_id', 'text', _STRIPPED + ' + 1')})")
+def lines_legacy_offset(spark, sf):
+    return explode_lines(table(spark, sf, "documents").select("doc_id", "text"), "text", legacy_lines)
+
+
+@query("lines_bare_offset", f"select doc_id, line_no, byte_offset, line from ({_lines_sql('documents', 'doc_id', 'text', _STRIPPED)})")
+def lines_bare_offset(spark, sf):
+    return explode_lines(table(spark, sf, "documents").select("doc_id", "text"), "text", bare_lines)
+
+
+@query("whole_file_token", "select doc_id, strlen(text)::int as n_bytes, regexp_matches(text, '(?s)Madam.*million') as found from documents where text <> ''")
+def whole_file_token(spark, sf):
+    d = table(spark, sf, "documents").where("text <> ''")
+    return d.select("doc_id", F.octet_length("text").alias("n_bytes"), F.col("text").rlike(regex.to_java("(?s)Madam.*million")).alias("found"))
+
+
+# ---- patterns, matchers and extractors per line --------------------------------
+
+
+def _per_line(spark, sf, values) -> DataFrame:
+    """Lines of documents with the values found in them, one row each."""
+    found = _lines(spark, sf).select("doc_id", "line_no", "byte_offset", values(F.col("line")).alias("v"))
+    return found.select("doc_id", "line_no", "byte_offset", F.explode("v").alias("found"))
+
+
+def _unnested(values: str, where: str = "true") -> str:
+    return f"select doc_id, line_no, byte_offset, unnest({values}) as found from ({DOC_LINES}) where {where}"
+
+
+@query("scan_regex_extract", _unnested(f"regexp_extract_all(line, '{CASES}', 0)"))
+def scan_regex_extract(spark, sf):
+    return _per_line(spark, sf, lambda t: match.find_all(t, CASES))
+
+
+@query("scan_regex_group", _unnested(f"regexp_extract_all(line, '{MILLIONS}', 1)"))
+def scan_regex_group(spark, sf):
+    return _per_line(spark, sf, lambda t: match.find_all(t, MILLIONS, 1))
+
+
+@query("scan_regex_distinct", f"select distinct doc_id, found from ({_unnested(f'''regexp_extract_all(line, '{CASES}', 1)''')})")
+def scan_regex_distinct(spark, sf):
+    return _per_line(spark, sf, lambda t: match.find_all(t, CASES, 1)).select("doc_id", "found").distinct()
+
+
+@query("scan_regex_unmatched_group", "select label, line_no, unnest(list_transform(regexp_extract_all(line, '(api)?_?key', 1), lambda x: coalesce(x, ''))) as found from (" + RAW_LINES + ")")
+def scan_regex_unmatched_group(spark, sf):
+    ls = explode_lines(_matches(spark, sf), "content")
+    return ls.select("label", "line_no", F.explode(match.find_all(F.col("line"), "(api)?_?key", 1)).alias("found"))
+
+
+WORDS = ["treaty", "harbour", "budget"]
+_W = "['treaty', 'harbour', 'budget']"
+
+
+@query("match_word_or", _unnested(f"list_filter({_W}, lambda w: contains(line, w))[1:1]"))
+def match_word_or(spark, sf):
+    return _per_line(spark, sf, lambda t: match.words_found(t, Matcher(words=WORDS)))
+
+
+@query("match_word_and", _unnested("['treaty', 'harbour']", "contains(line, 'treaty') and contains(line, 'harbour')"))
+def match_word_and(spark, sf):
+    return _per_line(spark, sf, lambda t: match.words_found(t, Matcher(words=WORDS[:2], condition="and")))
+
+
+@query("match_word_all", _unnested(f"list_filter({_W}, lambda w: contains(line, w))"))
+def match_word_all(spark, sf):
+    return _per_line(spark, sf, lambda t: match.words_found(t, Matcher(words=WORDS, match_all=True)))
+
+
+@query("match_word_ci", _unnested(f"list_filter({_W}, lambda w: contains(lower(line), w))[1:1]"))
+def match_word_ci(spark, sf):
+    return _per_line(spark, sf, lambda t: match.words_found(t, Matcher(words=["Treaty", "HARBOUR", "budget"], case_insensitive=True)))
+
+
+@query("match_regex", _unnested("list_concat(regexp_extract_all(line, 'in (19|20)\\d\\d', 0), regexp_extract_all(line, '[A-Z]\\w+vik', 0))"))
+def match_regex(spark, sf):
+    return _per_line(spark, sf, lambda t: F.concat(match.find_all(t, r"in (19|20)\d\d"), match.find_all(t, r"[A-Z]\w+vik")))
+
+
+@query("match_regex_and", _unnested("list_concat(regexp_extract_all(line, '\\d+ million', 0), regexp_extract_all(line, 'In \\d+', 0))", "regexp_matches(line, '\\d+ million') and regexp_matches(line, 'In \\d+')"))
+def match_regex_and(spark, sf):
+    return _per_line(spark, sf, lambda t: match.regex_found(t, Matcher("regex", regex=[r"\d+ million", r"In \d+"], condition="and")))
+
+
+@query("match_regex_or", _unnested("case when regexp_matches(line, '\\d+ million') then regexp_extract_all(line, '\\d+ million', 0) else regexp_extract_all(line, 'In \\d+', 0) end"))
+def match_regex_or(spark, sf):
+    return _per_line(spark, sf, lambda t: match.regex_found(t, Matcher("regex", regex=[r"\d+ million", r"In \d+"])))
+
+
+@query("match_binary", _unnested("['7472656174']", "contains(line, 'treat')"))
+def match_binary(spark, sf):
+    return _per_line(spark, sf, lambda t: match.bytes_found(t, Matcher("binary", binary=["7472656174"])))
+
+
+@query("match_size", "select label, strlen(raw_line)::int as n_bytes from " + RAW + " where strlen(raw_line) in (40, 41, 42)")
+def match_size(spark, sf):
+    d = _matches(spark, sf)
+    m = match.matcher(Matcher("size", size=[40, 41, 42]), F.lit(None), {"raw": F.col("content")})
+    return d.where(m["has"]).select("label", F.octet_length("content").alias("n_bytes"))
+
+
+@query("match_dsl_len", "select label from " + RAW + " where strlen(raw_line) > 200 and contains(raw_line, 'key')")
+def match_dsl_len(spark, sf):
+    m = match.matcher(Matcher("dsl", dsl=["len(raw) > 200 && contains(body, 'key')"]), F.lit(None), {"raw": F.col("content")})
+    return _matches(spark, sf).where(m["has"]).select("label")
+
+
+@query("match_part", "select label from " + RAW + " where contains(label, '77') and not contains(raw_line, 'key')")
+def match_part(spark, sf):
+    d, event = _matches(spark, sf), {"raw": F.col("content"), "path": F.col("label")}
+    has = match.expression("contains(path, '77')", event) & ~match.expression("contains(all, 'key')", event)
+    return d.where(has).select("label")
+
+
+@query("match_negative", "select doc_id::varchar as label from documents where text <> '' and not contains(text, 'million')")
+def match_negative(spark, sf):
+    rule = Rule("quiet", requests=[Request(matchers=[Matcher(words=["million"], negative=True)])])
+    return scan.scan(_docs(spark, sf), [rule]).select("label")
+
+
+@query("extract_kval", "select event_id::varchar as label, event_type as found from events where event_type is not null")
+def extract_kval(spark, sf):
+    e = table(spark, sf, "events")
+    x = match.extractor(Extractor("kval", kval=["kind"]), F.lit(None), {"raw": F.col("props"), "kind": F.col("event_type")})
+    return e.select(F.col("event_id").cast("string").alias("label"), F.explode(x["hits"]["value"]).alias("found"))
+
+
+@query("extract_dsl", "select event_id::varchar as label, (strlen(props) > 10)::varchar as found from events where props is not null")
+def extract_dsl(spark, sf):
+    x = match.extractor(Extractor("dsl", dsl=["len(raw) > 10"]), F.lit(None), {"raw": F.col("props")})
+    return table(spark, sf, "events").select(F.col("event_id").cast("string").alias("label"), F.explode(x["hits"]["value"]).alias("found"))
+
+
+# ---- findings -------------------------------------------------------------------
+
+_LINE_HITS = "select label, line_no, byte_offset, unnest({values}) as v from (" + LABEL_LINES + ")"
+
+
+def _hit_list(values: str) -> str:
+    return f"select label, string_agg(line_no || ':' || byte_offset || ':' || v, '|' order by line_no, byte_offset, v) as hits from ({_LINE_HITS.format(values=values)}) group by label"
+
+
+@query(
+    "findings_or_first",
+    f"""select coalesce(a.label, b.label) as label, case when a.label is not null then 'first' else 'matcher-1' end as matcher, coalesce(a.hits, b.hits) as hits
+        from ({_hit_list("case when contains(line, 'treaty') then ['treaty'] else [] end")}) a
+        full join ({_hit_list("case when contains(line, 'harbour') then ['harbour'] else [] end")}) b on a.label = b.label""",
+)
+def findings_or_first(spark, sf):
+    rule = Rule("r", requests=[Request(matchers=[Matcher(name="first", words=["treaty"]), Matcher(words=["harbour"])])])
+    f = scan.scan(_docs(spark, sf), [rule])
+    return f.select("label", F.explode("matches").alias("matcher", "h")).select("label", "matcher", _hits(F.col("h")).alias("hits"))
+
+
+@query("findings_and_doc", "select doc_id::varchar as label from documents where contains(text, 'treaty') and contains(text, 'harbour') and not contains(text, 'budget')")
+def findings_and_doc(spark, sf):
+    ms = [Matcher(words=["treaty"]), Matcher(words=["harbour"]), Matcher(words=["budget"], negative=True)]
+    return scan.scan(_docs(spark, sf), [Rule("r", requests=[Request(condition="and", matchers=ms)])]).select("label")
+
+
+@query("findings_extract_only", f"select label, hits as extracts from ({_hit_list(f'''regexp_extract_all(line, '{CASES}', 1)''')})")
+def findings_extract_only(spark, sf):
+    return scan.scan(_docs(spark, sf), [adhoc(CASES, group=1)]).select("label", _hits(F.col("extracts")).alias("extracts"))
+
+
+@query("findings_matcher_gate", f"select label, hits as extracts from ({_hit_list(f'''regexp_extract_all(line, '{CASES}', 1)''')}) where label in (select doc_id::varchar from documents where contains(text, 'treaty'))")
+def findings_matcher_gate(spark, sf):
+    rule = Rule("r", requests=[Request(matchers=[Matcher(words=["treaty"])], extractors=[Extractor(regex=[CASES], group=1)])])
+    return scan.scan(_docs(spark, sf), [rule]).where("extracted").select("label", _hits(F.col("extracts")).alias("extracts"))
+
+
+@query(
+    "findings_output_extracts",
+    f"select label, string_agg(v, '|' order by v) as outputs from (select distinct label, v from ({_LINE_HITS.format(values=f'''regexp_extract_all(line, '{CASES}', 1)''')})) group by label",
+)
+def findings_output_extracts(spark, sf):
+    inner = Extractor(name="inner", regex=[MILLIONS], group=1, internal=True)
+    rule = Rule("r", requests=[Request(extractors=[Extractor(name="n", regex=[CASES], group=1), inner])])
+    return scan.scan(_docs(spark, sf), [rule]).select("label", _joined(F.col("output_extracts")).alias("outputs"))
+
+
+@query("findings_named_extracts", f"select label, string_agg(v, '|' order by v) as named from ({_LINE_HITS.format(values=f'''regexp_extract_all(line, '{CASES}', 1)''')}) group by label")
+def findings_named_extracts(spark, sf):
+    twice = [Extractor(name="n", regex=[MILLIONS], group=1), Extractor(name="n", regex=[CASES], group=1)]
+    f = scan.scan(_docs(spark, sf), [Rule("r", requests=[Request(extractors=twice)])])
+    # Where the later one found nothing, the earlier one's values stay: only documents with cases are compared.
+    cases = explode_lines(_docs(spark, sf), "content").where(F.size(match.find_all(F.col("line"), CASES)) > 0).select("label").distinct()
+    return f.join(cases, "label", "left_semi").select("label", _joined(F.element_at("named_extracts", "n")).alias("named"))
+
+
+PACK = [
+    Rule("cases", "Cases", "high", tags=["numbers", "en"], requests=[Request(extractors=[Extractor(name="n", regex=[CASES], group=1)])]),
+    Rule("treaty", "Treaty", "low", tags=["words"], requests=[Request(matchers=[Matcher(name="w", words=["treaty", "harbour"])])]),
+    Rule("money", "Money", "medium", tags=["numbers"], requests=[Request(condition="and", matchers=[Matcher("regex", regex=[MILLIONS]), Matcher("regex", name="year", regex=[r"In (19|20)\d\d"])])]),
+    Rule("long", "Long", "info", requests=[Request(matchers=[Matcher("dsl", dsl=["len(raw) > 3000"])])]),
+]
+_PACK_SQL = f"""
+    select doc_id::varchar as label, 'cases' as template_id, 'high' as severity from documents where regexp_matches(text, '{CASES}') and doc_id::varchar in (select label from ({LABEL_LINES}) where regexp_matches(line, '{CASES}'))
+    union all select doc_id::varchar, 'treaty', 'low' from documents where contains(text, 'treaty') or contains(text, 'harbour')
+    union all select label, 'money', 'medium' from ({LABEL_LINES}) group by label having bool_or(regexp_matches(line, '{MILLIONS}')) and bool_or(regexp_matches(line, 'In (19|20)\\d\\d'))
+    union all select doc_id::varchar, 'long', 'info' from documents where strlen(text) > 3000"""
+
+
+@query("findings_multi_rule", _PACK_SQL)
+def findings_multi_rule(spark, sf):
+    return scan.scan(_docs(spark, sf), PACK).select("label", "template_id", "severity")
+
+
+@query("findings_multi_rule_automaton", _PACK_SQL)
+def findings_multi_rule_automaton(spark, sf):
+    return scan.scan(spread(_docs(spark, sf), "label"), PACK, engine="arrow").select("label", "template_id", "severity")
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule of the rules table over all raw lines, in one pass."""
+    rules = from_table(table(spark, sf, "rules"))
+    f = scan.scan(spread(_matches(spark, sf), "label"), rules)
+    return f.select("label", "template_id", "severity", "matched", "extracted", F.size("extracts").alias("n_extracts"))
+
+
+QUERIES["findings_rule_pack"] = flagship
+
+
+@query("event_fanout", f"select template_id, label as path, case template_id when 'cases' then null when 'treaty' then 'w' when 'long' then null else n end as matcher_name, case when template_id = 'cases' then 'n' end as extractor_name from ({_PACK_SQL}) left join (select 'money' as t, unnest(['matcher-0', 'year']) as n) on template_id = t")
+def event_fanout(spark, sf):
+    return reports.fan_out(scan.scan(_docs(spark, sf), PACK)).select("template_id", "path", "matcher_name", "extractor_name")
+
+
+@query("findings_merge_requests", "select doc_id::varchar as label, contains(text, 'treaty') or contains(text, 'budget') as matched from documents where contains(text, 'treaty') or contains(text, 'budget')")
+def findings_merge_requests(spark, sf):
+    rule = Rule("two", "Two", "low", requests=[Request(matchers=[Matcher(words=["treaty"])]), Request(matchers=[Matcher(words=["budget"])])])
+    return reports.merge_rules(scan.scan(_docs(spark, sf), [rule])).select("label", "matched")
+
+
+# ---- pre-filters ------------------------------------------------------------------
+
+LITERALS = sorted({x for q in PACK[:3] for x in request_literals(q.requests[0]) or ()})
+
+
+@query("prefilter_lines", f"select doc_id, count(*) as n_lines, count(*) filter ({' or '.join(f'''contains(lower(line), '{x}')''' for x in LITERALS)}) as n_may_match from ({DOC_LINES}) group by doc_id")
+def prefilter_lines(spark, sf):
+    may = F.lit(False)
+    for x in LITERALS:
+        may = may | text.contains_folded(F.col("line"), x)
+    return _lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(may).alias("n_may_match"))
+
+
+@query("prefilter_candidates", f"select literal, count(*) as n_lines from ({DOC_LINES}), (select unnest({LITERALS!r}) as literal) where contains(lower(line), literal) group by literal")
+def prefilter_candidates(spark, sf):
+    low = regex.folded(F.col("line"))
+    hit = F.filter(F.array(*[F.lit(x) for x in LITERALS]), lambda x: F.contains(low, x))
+    return _lines(spark, sf).select(F.explode(hit).alias("literal")).groupBy("literal").agg(F.count("*").alias("n_lines"))
+
+
+@query("prefilter_off_equals_on", _PACK_SQL)
+def prefilter_off(spark, sf):
+    return scan.scan(_docs(spark, sf), PACK, guards=False).select("label", "template_id", "severity")
+
+
+# ---- paths and contents -------------------------------------------------------------
+
+_PATHS = "(select distinct file_path as path from findings where file_path is not null)"
+_EXT = "regexp_extract(regexp_extract(path, '[^/\\\\]*$'), '\\.[^.]*$')"
+_SLASH = "regexp_extract(path, '^.*[/\\\\]')"
+
+
+def _paths(spark, sf) -> DataFrame:
+    return table(spark, sf, "findings").select(F.col("file_path").alias("path")).where("path is not null").distinct()
+
+
+@query("path_parts", f"select path, {_EXT} as ext, regexp_extract(path, '[^/\\\\]*$') as base, {_SLASH} as folder from {_PATHS}")
+def path_parts(spark, sf):
+    p = F.col("path")
+    return _paths(spark, sf).select("path", paths.extension(p).alias("ext"), paths.base(p).alias("base"), paths.folder(p).alias("folder"))
+
+
+@query("path_extensions", f"select path from {_PATHS} where {_EXT} in ('.py', '.go')")
+def path_extensions(spark, sf):
+    return _paths(spark, sf).where(paths.selected(F.col("path"), [".py", "go"], []))
+
+
+@query("path_all_or_listed", f"select path from {_PATHS} where {_EXT} = '.lock' or {_EXT} not in ({', '.join(map(repr, [*paths.MEDIA, *paths.EXECUTABLE, *paths.DOCUMENT, *paths.OTHER, *paths.ARCHIVE, '.go']))}) and not regexp_matches(path, '^[/\\\\]*legacy[/\\\\]')")
+def path_all_or_listed(spark, sf):
+    return _paths(spark, sf).where(paths.selected(F.col("path"), ["all", ".lock"], [".go", "legacy"]))
+
+
+@query("path_denied", f"select path from {_PATHS} where regexp_matches(path, '^[/\\\\]*infra[/\\\\]') or regexp_matches(path, '^[/\\\\]*app[/\\\\]+user[/\\\\]') or {_EXT} = '.ts'")
+def path_denied(spark, sf):
+    return _paths(spark, sf).where(paths.denied(F.col("path"), ["infra/", "app/user", ".ts"]))
+
+
+@query("path_skip_folders", f"select path from {_PATHS} where not list_has_any(string_split_regex({_SLASH}, '[/\\\\]'), ['cache', 'page', 'node_modules'])")
+def path_skip_folders(spark, sf):
+    skip = paths.Filters(skipped_folders=("cache", "page", "node_modules"))
+    return _paths(spark, sf).where(~paths.in_skipped_folder(F.col("path"), skip))
+
+
+@query("path_glob", f"select path from {_PATHS} where regexp_matches(path, '^src/(.*/)?[^/]*_[0-9a-f]+\\.(py|go)$')")
+def path_glob(spark, sf):
+    return _paths(spark, sf).where(F.col("path").rlike(regex.glob_to_regex("src/**/*_*.{py,go}")) & F.col("path").rlike("_[0-9a-f]+\\.[a-z]+$"))
+
+
+@query("path_known_text", f"select path, lower({_EXT}) in ({', '.join(map(repr, paths.KNOWN_TEXT))}) as known from {_PATHS}")
+def path_known_text(spark, sf):
+    return _paths(spark, sf).select("path", paths.known_text(F.col("path")).alias("known"))
+
+
+@query("ascii_fold", "select doc_id, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as folded from documents")
+def ascii_fold(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.ascii_lower(F.col("text")).cast("binary")).alias("folded"))
+
+
+_HEX = "hex(payload[1:1024])"
+_BYTES = f"list_transform(range(0, strlen({_HEX}) // 2), lambda i: substr({_HEX}, i * 2 + 1, 2))"
+
+
+@query(
+    "text_sniff",
+    f"""select block_id, case when octet_length(payload) = 0 then true else not list_contains(b, '00')
+            and len(list_filter(b, lambda x: x < '20' and x not in ('09', '0A', '0D'))) / len(b) < 0.3 end as is_text
+        from (select block_id, payload, {_BYTES} as b from (select block_id, payload from blocks where payload is not null))""",
+)
+def text_sniff(spark, sf):
+    return table(spark, sf, "blocks").where("payload is not null").select("block_id", text.looks_like_text(F.col("payload")).alias("is_text"))
+
+
+@query("mime_sniff", "select block_id, hex(payload[1:4]) = '504B0304' or hex(payload[1:3]) = '1F8B08' as is_archive from blocks where payload is not null")
+def mime_sniff(spark, sf):
+    return table(spark, sf, "blocks").where("payload is not null").select("block_id", text.is_mime(F.col("payload"), ["application/zip", "application/gzip"]).alias("is_archive"))
+
+
+# ---- windows --------------------------------------------------------------------------
+
+_WINDOWS_SQL = """
+    select block_id, w::int as window_no, (w * 31744)::bigint as window_start, least(n - w * 31744, 32768)::bigint as n_bytes,
+           (case when w * 31744 + 32768 >= n then n else (w + 1) * 31744 end)::bigint as owned_end
+    from (select block_id, octet_length(payload) as n, unnest(range(0, greatest(0, octet_length(payload) - 1024 - 1) // 31744 + 1)) as w from blocks where octet_length(payload) > 0)"""
+
+
+@query("block_windows", _WINDOWS_SQL)
+def block_windows(spark, sf):
+    w = windows.explode_windows(table(spark, sf, "blocks").select("block_id", "payload"), "payload", 32768, 1024)
+    return w.select("block_id", "window_no", F.col("window_start").cast("long").alias("window_start"), F.octet_length("payload").cast("long").alias("n_bytes"), F.col("owned_end").cast("long").alias("owned_end"))
+
+
+@query("block_dedupe_counts", "select block_id, n from (select block_id, ((strlen(payload::varchar) - strlen(replace(payload::varchar, 'password', ''))) // 8)::bigint as n from blocks where payload is not null) where n > 0")
+def block_dedupe_counts(spark, sf):
+    return windows.window_hits(table(spark, sf, "blocks"), "payload", "password", ["block_id"], 1000, 20).groupBy("block_id").agg(F.count("*").alias("n"))
+
+
+@query("block_findings", "select block_id, ((strlen(payload::varchar) - strlen(replace(payload::varchar, 'token', ''))) // 5)::int as n_extracts from blocks where contains(payload::varchar, 'token')")
+def block_findings(spark, sf):
+    f = windows.scan_blocks(table(spark, sf, "blocks"), [adhoc("token")], "block_label", "payload", "base_address", keep=["block_id"])
+    return f.select("block_id", F.size("extracts").alias("n_extracts"))
+
+
+# ---- reports ----------------------------------------------------------------------------
+
+
+@query(
+    "severity_histogram",
+    "select coalesce(severity, 'unknown') as severity, coalesce(nullif(list_position(['critical', 'high', 'medium', 'low', 'info'], severity), 0), 6)::int as severity_rank, count(*) as n_findings from findings group by all",
+)
+def severity_histogram(spark, sf):
+    f = table(spark, sf, "findings")
+    rank = F.array_position(F.array(*[F.lit(x) for x in reports.SEVERITIES]), F.col("severity"))
+    return (
+        f.withColumn("severity_rank", F.coalesce(F.nullif(rank, F.lit(0)), F.lit(6)).cast("int"))
+        .groupBy(F.coalesce("severity", F.lit("unknown")).alias("severity"), "severity_rank")
+        .agg(F.count("*").alias("n_findings"))
+    )
+
+
+@query("rule_choice", "select rule_id from rules where severity in ('high', 'critical') and (list_contains(tags, 'pii') or list_contains(tags, 'cloud')) and not list_contains(tags, 'noisy')")
+def rule_choice(spark, sf):
+    rules = choose(from_table(table(spark, sf, "rules")), tags=["pii", "cloud"], severities=["high", "critical"], exclude_tags=["noisy"])
+    return spark.createDataFrame([(r.id,) for r in rules], "rule_id string")
+
+
+@query("rule_groups", "select group_key, count(*) as n_requests from (select case when list_contains(x.extensions, 'all') then 'all' else array_to_string(list_sort(x.extensions), ',') end as group_key from (select unnest(requests) as x from rules)) group by group_key")
+def rule_groups(spark, sf):
+    g = grouped(from_table(table(spark, sf, "rules")))
+    return spark.createDataFrame([(k, len(v)) for k, v in g.items()], "group_key string, n_requests long")
+
+
+@query(
+    "baseline_diff",
+    """select f.finding_id from findings f where batch_no >= 12 and not exists
+       (select 1 from findings b where b.batch_no < 12 and b.template_id is not distinct from f.template_id and b.file_path is not distinct from f.file_path)""",
+)
+def baseline_diff(spark, sf):
+    f = table(spark, sf, "findings").select("finding_id", "batch_no", "template_id", "file_path")
+    return reports.new_findings(f.where("batch_no >= 12"), f.where("batch_no < 12"), ["template_id", "file_path"]).select("finding_id")
+
+
+@query("scan_statistics", f"select (select count(*) from documents)::bigint as files, (select sum(strlen(text)) from documents)::bigint as bytes, (select count(*) from ({_PACK_SQL}))::bigint as findings, 4 as rules")
+def scan_statistics(spark, sf):
+    d = _docs(spark, sf)
+    return reports.statistics(d, "content", scan.scan(d, PACK), len(PACK))
+
+
+@query(
+    "run_statistics",
+    "select sum(n_files)::bigint as files, sum(coalesce(n_bytes, 0))::bigint as bytes, sum(n_findings)::bigint as findings, max(n_rules) as rules from (select distinct * from scan_stats)",
+)
+def run_statistics(spark, sf):
+    s = table(spark, sf, "scan_stats").distinct()
+    return s.agg(F.sum("n_files").alias("files"), F.sum(F.coalesce("n_bytes", F.lit(0))).alias("bytes"), F.sum("n_findings").alias("findings"), F.max("n_rules").alias("rules"))
+
+
+@query(
+    "findings_json",
+    f"""select label, template_id, len(string_split(hits, '|'))::int as n_extracts, regexp_extract(hits, '^([0-9]+):', 1)::int as first_line from
+        (select label, 'cases' as template_id, hits from ({_hit_list(f'''regexp_extract_all(line, '{CASES}', 1)''')}))""",
+)
+def findings_json(spark, sf):
+    j = reports.as_json(scan.scan(_docs(spark, sf), PACK[:1]))
+    back = F.from_json("json", "`template-id` string, file string, extracts array<struct<value:string,line:int,offset:long>>")
+    return j.select(back.alias("j")).select(F.col("j.file").alias("label"), F.col("j.`template-id`").alias("template_id"), F.size("j.extracts").alias("n_extracts"), F.col("j.extracts")[0]["line"].alias("first_line"))
+
+
+@query(
+    "findings_text",
+    f"select label, '[Cases] [high] [cases] ' || label || chr(10) || body as report from (select label, string_agg('   [L' || line_no || '] ' || v, chr(10) order by line_no, k) as body from (select label, line_no, unnest(vs) as v, generate_subscripts(vs, 1) as k from (select label, line_no, regexp_extract_all(line, '{CASES}', 1) as vs from ({LABEL_LINES}))) group by label)",
+)
+def findings_text(spark, sf):
+    f = scan.scan(_docs(spark, sf), PACK[:1])
+    return reports.as_lines(f).select("label", F.col("text").alias("report"))
+
+
+# ---- streams and files ---------------------------------------------------------------------
+
+
+def _chunks(df: DataFrame, label: str, data: Column, size: int) -> DataFrame:
+    """The bytes of ``data`` in chunks of ``size``, the last one marked."""
+    n = F.octet_length("data")
+    rows = df.select(F.col(label).cast("string").alias("label"), data.alias("data")).where(n > 0)
+    cut = rows.select("label", "data", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(size))).alias("at"))
+    return cut.select("label", (F.col("at") / size).cast("int").alias("seq"), F.substring("data", F.col("at") + 1, F.lit(size)).alias("data"), (F.col("at") + size >= F.col("n")).alias("is_last"))
+
+
+def _streamed(spark: SparkSession, chunks: DataFrame, operator) -> DataFrame:
+    """What a streaming operator makes of chunks that lie in a folder, run until all are read."""
+    source, sink, state = (scratch_path(spark, x) for x in ("chunks", "streamed", "offsets"))
+    chunks.write.parquet(source)
+    out = operator(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 4).parquet(source))
+    q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
+def _by_label(chunks: DataFrame) -> DataFrame:
+    """All chunks of a label in one file, so that a stream meets them in order."""
+    return chunks.repartition("label").sortWithinPartitions("label", "seq")
+
+
+@query("stream_lines", f"select label, line_no::bigint as line_no, byte_offset, line from ({LABEL_LINES}) where line <> ''")
+def stream_lines(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    return _streamed(spark, _by_label(_chunks(d, "doc_id", F.col("b"), 300)), writers.assemble_lines).select("label", "line_no", "byte_offset", "line")
+
+
+@query("stream_windows", "select block_id::varchar as label, window_start, owned_end, n_bytes from (" + _WINDOWS_SQL + ")")
+def stream_windows(spark, sf):
+    c = _by_label(_chunks(table(spark, sf, "blocks"), "block_id", F.col("payload"), 5000))
+    w = _streamed(spark, c, lambda s: writers.assemble_windows(s, 32768, 1024))
+    return w.select("label", "window_start", "owned_end", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query("stream_line_findings", f"select label, line_no::bigint as line_no, byte_offset, len(regexp_extract_all(line, '{CASES}', 1))::int as n_extracts from ({LABEL_LINES}) where regexp_matches(line, '{CASES}')")
+def stream_line_findings(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    f = _streamed(spark, _by_label(_chunks(d, "doc_id", F.col("b"), 400)), lambda s: writers.scan_line_stream(s, PACK[:1]).select("label", "line_no", "byte_offset", F.size("extracts").alias("n_extracts")))
+    return f
+
+
+@query("stream_block_findings", "select block_id::varchar as label, ((strlen(payload::varchar) - strlen(replace(payload::varchar, 'token', ''))) // 5)::bigint as n from blocks where contains(payload::varchar, 'token')")
+def stream_block_findings(spark, sf):
+    c = _by_label(_chunks(table(spark, sf, "blocks"), "block_id", F.col("payload"), 5000))
+    f = _streamed(spark, c, lambda s: writers.scan_block_stream(s, [adhoc("token")], 4096, 64).select("label", F.size("extracts").cast("long").alias("n")))
+    return f.groupBy("label").agg(F.sum("n").alias("n"))
+
+
+@query("archive_entries")
+def archive_entries(spark, sf):
+    """Entries of archives made of the documents of each language: zip, tar and gzipped tar."""
+    docs = table(spark, sf, "documents").where("lang in ('en', 'de', 'fr') and text <> ''")
+
+    def pack(key, pdf):
+        import gzip
+
+        import pandas as pd
+
+        rows = []
+        z, t = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(z, "w") as zf, tarfile.open(fileobj=t, mode="w") as tf:
+            for r in pdf.itertuples():
+                data, name = r.text.encode(), f"{key[0]}/{r.doc_id}.txt"
+                zf.writestr(name, data)
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                tf.addfile(info, io.BytesIO(data))
+        name = f"{key[0]}-{key[1]}"
+        rows = [(f"{name}.zip", z.getvalue()), (f"{name}.tar", t.getvalue()), (f"{name}.tar.gz", gzip.compress(t.getvalue()))]
+        return pd.DataFrame(rows, columns=["path", "content"])
+
+    packs = docs.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).groupBy("lang", "part").applyInPandas(pack, "path string, content binary")
+    return sources.expand_archives(packs).select("path", F.octet_length("content").alias("n_bytes"))
+
+
+@query("folder_findings")
+def folder_findings(spark, sf):
+    """Findings over a small tree of files written below the shared folder, hidden files and archives included."""
+    from .plans.session import shared_dir
 
-QUERIES = {**P3_QUERIES}
-SQL = {**P3_SQL}
+    root = os.path.join(shared_dir(spark).removeprefix("file://"), "tree")
+    for name, data in {"app/.env": b"token = abcdefgh1234\n", "app/x.py": b"a = 1\npassword = 'zyxwvuts9'\n", "node_modules/y.js": b"secret: hidden1234\n", "pic.png": b"token = abcdefgh1234", ".git/config": b"token = gitgitgit1\n", "bin.dat": b"\x00token = abcdefgh1234"}.items():
+        p = os.path.join(root, name)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "wb") as f:
+            f.write(data)
+    with zipfile.ZipFile(os.path.join(root, "z.zip"), "w") as z:
+        z.writestr("in/a.txt", "secret: insidezip1")
+    found = scan.scan_files(sources.corpus(spark, root), [adhoc(TOKEN, group=1)])
+    return found.select(F.substr("path", F.lit(len(root) + 2)).alias("path"), F.array_join("output_extracts", "|").alias("outputs"))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p3_found"](spark, sf_dir)
+QUERIES.update(P3_QUERIES)
+SQL.update(P3_SQL)
+_ = lines  # re-exported for callers that build their own queries
