@@ -24,6 +24,8 @@ from .batches import slices
 
 #: Words of a seed, and equal consecutive words that make a leak.
 SEED, RUN = 5, 12
+#: Seeds in at most this share of the documents are rare.
+RARE = 0.001
 #: Passages of a block: the passages of one block are held by every worker.
 BLOCK = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -123,7 +125,7 @@ class Passages:
             places.append(np.arange(len(g)))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         self.gram, self.owner, self.place = cat(grams), cat(owners), cat(places)
-        self.seeds = np.unique(self.gram)
+        self.seeds = np.unique(self.gram[self.gram != 0])
 
     def grams(self, s: np.ndarray) -> np.ndarray:
         """A hash of each n-gram of known words; 0 where one is unknown or too few are left."""
@@ -140,17 +142,24 @@ class Passages:
         out[~whole] = 0
         return out
 
-    def keep_rarest(self, frequency: dict[int, int]) -> None:
-        """Of each window of ``run`` words keep the rarest seed, so none is lost."""
+    def keep_rarest(self, frequency: dict[int, int], documents: int) -> None:
+        """Of each window of ``run`` words keep the rarest seed that occurs, so none is lost.
+
+        A window with a seed that occurs nowhere stands nowhere as a whole; of
+        such windows, which edited copies may share, only rare seeds are kept.
+        """
         df = np.array([frequency.get(int(g), 0) for g in self.gram], np.int64)
+        never = np.iinfo(np.int64).max
+        order_by = np.where(df > 0, df, never)
         kept = np.zeros(len(self.gram), bool)
         span = max(1, self.run - self.seed + 1)
         for k in range(len(self.ids)):
             at = np.flatnonzero(self.owner == k)
             if len(at):
-                width = min(span, len(at))
-                windows = np.lib.stride_tricks.sliding_window_view(df[at], width)
-                kept[at[np.arange(len(windows)) + windows.argmin(axis=1)]] = True
+                windows = np.lib.stride_tricks.sliding_window_view(order_by[at], min(span, len(at)))
+                best = windows.min(axis=1)
+                keep = (best < never) & ((windows.max(axis=1) < never) | (best <= max(1, RARE * documents)))
+                kept[at[(np.arange(len(windows)) + windows.argmin(axis=1))[keep]]] = True
         self.kept_gram, self.kept_owner = self.gram[kept], self.owner[kept]
         order = np.argsort(self.kept_gram, kind="stable")
         self.kept_gram, self.kept_owner = self.kept_gram[order], self.kept_owner[order]
@@ -176,8 +185,9 @@ class _Numbers(dict):
 
 def _counter(passages: Passages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(passages.seeds), np.int64)
+        total, seen_docs = np.zeros(len(passages.seeds), np.int64), 0
         for b in slices(batches, 1):
+            seen_docs += b.num_rows
             ids, begins = passages.encode(b.column(1).to_pylist())
             g = passages.grams(ids)
             at = np.flatnonzero(g)
@@ -189,7 +199,8 @@ def _counter(passages: Passages):
             pairs = np.unique(np.stack([doc, slot[hit]]), axis=1)
             np.add.at(total, pairs[1], 1)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(passages.seeds[seen]), pa.array(total[seen])], names=["seed", "n"])
+        # No seed is 0: there stands the number of documents.
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(passages.seeds[seen], 0)), pa.array(np.append(total[seen], seen_docs))], names=["seed", "n"])
 
     return run
 
@@ -239,7 +250,8 @@ def leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, run: int = R
         part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         passages = Passages([tuple(r) for r in part.collect()], seed, run)
         counts = docs.mapInArrow(_counter(passages), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        passages.keep_rarest({r.seed: r.n for r in counts})
+        frequency = {r.seed: r.n for r in counts}
+        passages.keep_rarest(frequency, frequency.pop(0, 0))
         found = docs.mapInArrow(_aligner(passages), schema)
         out = found if blocks == 1 else out.unionByName(found)
     return out

@@ -32,7 +32,7 @@ from ..plans.session import checkpointed, scratch_path, table
 #: Share of the characters that two findings' extracts must agree in.
 AGREEMENT = 0.8
 #: Characters of a value's end that make a key, and share of a finding's characters that its probing keys cover.
-END, COVER = 16, 0.7
+END, COVER = 16, 0.85
 #: A block's rows are spread over so many buckets' keys.
 SALTS, BUCKETS = 4, 48
 
