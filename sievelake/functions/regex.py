@@ -119,7 +119,7 @@ def groups(pattern: str) -> int:
     return p.state.groups - 1 if p is not None else 0
 
 
-def _required(items) -> list[str] | None:
+def _required(items, lower: bool = True) -> list[str] | None:
     """Literals one of which every match of the sequence contains, or None."""
     best: list[str] | None = None
     run = ""
@@ -132,18 +132,18 @@ def _required(items) -> list[str] | None:
 
     for op, arg in items:
         if op is C.LITERAL and 32 <= arg < 127:
-            run += chr(arg).lower()
+            run += chr(arg).lower() if lower else chr(arg)
             continue
         if op is C.AT:
             continue
         better([run])
         run = ""
         if op is C.SUBPATTERN:
-            better(_required(arg[3]))
+            better(_required(arg[3], lower))
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT, getattr(C, "POSSESSIVE_REPEAT", None)) and arg[0] >= 1:
-            better(_required(arg[2]))
+            better(_required(arg[2], lower))
         elif op is C.BRANCH:
-            parts = [_required(b) for b in arg[1]]
+            parts = [_required(b, lower) for b in arg[1]]
             if all(parts):
                 better(sorted({x for p in parts for x in p}))
     better([run])
@@ -160,9 +160,18 @@ def literals(pattern: str) -> list[str] | None:
     return None if p is None else _required(p)
 
 
+def exact_literals(pattern: str) -> list[str] | None:
+    """As ``literals``, in the pattern's own case; None where case may be ignored."""
+    if re.search(r"\(\?[a-zA-Z]*i", pattern):
+        return None
+    p = _parsed(pattern)
+    return None if p is None else _required(p, False)
+
+
 def folded(text: Column) -> Column:
     """``text`` in lower case, also where only Unicode folding finds a plain letter."""
-    return F.lower(F.translate(text, "ſK", "sk"))
+    rare = F.contains(text, F.lit("ſ")) | F.contains(text, F.lit("\u212a"))
+    return F.lower(F.when(rare, F.translate(text, "ſ\u212a", "sk")).otherwise(text))
 
 
 def glob_to_regex(glob: str) -> str:

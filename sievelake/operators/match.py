@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import regex
 from ..functions.regex import folded
 from ..plans.rules import Extractor, Matcher
+from .lines import offset_of
 
 HIT = "struct<value:string,line:int,byte_offset:bigint>"
 RESULT = f"struct<has:boolean,hits:array<{HIT}>>"
-_NO_HITS = F.array  # built lazily, a session may not exist yet
 
 
 def _none() -> Column:
@@ -33,26 +33,38 @@ def _verdict(has: Column) -> Column:
 
 
 def _per_line(lines: Column, values) -> Column:
-    """Hits of ``values(line text)``, an array column, over all lines."""
+    """Hits of ``values(line text, folded line text)``, an array column, over all lines.
+
+    ``lines`` are structs of line_no, line and low; the byte offset is computed
+    for hits only, from the columns ``__parts`` and ``__starts`` of the document.
+    """
+    before = lambda l: offset_of(l["line_no"] - 1, F.col("__parts"), F.col("__starts"))
     return F.flatten(
-        F.transform(lines, lambda l: F.transform(values(l["line"]), lambda v: F.named_struct(F.lit("value"), v, F.lit("line"), l["line_no"], F.lit("byte_offset"), l["byte_offset"])))
+        F.transform(lines, lambda l: F.transform(values(l["line"], l["low"]), lambda v: F.named_struct(F.lit("value"), v, F.lit("line"), l["line_no"], F.lit("byte_offset"), before(l))))
     )
 
 
-def _guard(text: Column, lits: list[str] | None) -> Column | None:
-    if not lits:
-        return None
-    low, out = folded(text), None
+def contains_any(text: Column, lits: list[str]) -> Column:
+    out = None
     for x in lits:
-        test = F.contains(low, F.lit(x))
+        test = F.contains(text, F.lit(x))
         out = test if out is None else out | test
-    return out
+    return F.lit(False) if out is None else out
 
 
-def find_all(text: Column, pattern: str, group: int = 0) -> Column:
+def _guard(text: Column, low: Column | None, pattern: str) -> Column | None:
+    exact = regex.exact_literals(pattern)
+    if exact:
+        return contains_any(text, exact)
+    lits = regex.literals(pattern)
+    return contains_any(folded(text) if low is None else low, lits) if lits else None
+
+
+def find_all(text: Column, pattern: str, group: int = 0, low: Column | None = None) -> Column:
     """All matches of an RE2 pattern in ``text``, tested first for the pattern's literals.
 
-    A pattern or group that cannot be evaluated finds nothing.
+    ``low`` is the folded text where it is at hand. A pattern or group that
+    cannot be evaluated finds nothing.
     """
     none = F.array().cast("array<string>")
     try:
@@ -62,21 +74,29 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     if regex._parsed(pattern) is None or group > regex.groups(pattern):
         return none
     found = F.regexp_extract_all(text, F.lit(java), group)
-    guard = _guard(text, regex.literals(pattern))
+    guard = _guard(text, low, pattern)
     return found if guard is None else F.when(guard, found).otherwise(none)
 
 
-def words_found(text: Column, m: Matcher) -> Column:
+def _all_found(text: Column, patterns: list[str], group: int, low: Column) -> Column:
+    found = [find_all(text, p, group, low) for p in patterns]
+    return found[0] if len(found) == 1 else F.flatten(F.array(*found))
+
+
+def words_found(text: Column, m: Matcher, low: Column | None = None) -> Column:
     """The words that a word matcher reports for ``text``: all of them under ``and``, those present under match-all, else the first."""
     corpus = F.lower(text) if m.case_insensitive else text
     words = [w.lower() if m.case_insensitive else w for w in m.words]
     if not words:
         return F.array().cast("array<string>")
-    listed = F.array(*[F.lit(w) for w in words])
+    none, listed = F.array().cast("array<string>"), F.array(*[F.lit(w) for w in words])
     present = F.filter(listed, lambda w: F.contains(corpus, w))
     if m.condition == "and":
-        return F.when(F.size(present) == len(words), listed).otherwise(F.array().cast("array<string>"))
-    return present if m.match_all else F.slice(present, 1, 1)
+        out = F.when(F.size(present) == len(words), listed).otherwise(none)
+    else:
+        out = present if m.match_all else F.slice(present, 1, 1)
+    # The fold finds all that lower case finds: most lines are done with here.
+    return F.when(contains_any(low, words), out).otherwise(none) if m.case_insensitive and low is not None else out
 
 
 def bytes_found(text: Column, m: Matcher) -> Column:
@@ -137,11 +157,11 @@ def matcher(m: Matcher, lines: Column, event: dict[str, Column]) -> Column:
     expressions are asked of the whole content and have no hits.
     """
     if m.type == "word":
-        return _result(_per_line(lines, lambda t: words_found(t, m)))
+        return _result(_per_line(lines, lambda t, low: words_found(t, m, low)))
     if m.type == "binary":
-        return _result(_per_line(lines, lambda t: bytes_found(t, m)))
+        return _result(_per_line(lines, lambda t, low: bytes_found(t, m)))
     if m.type == "regex":
-        return _result(_per_line(lines, lambda t: F.flatten(F.array(*[find_all(t, p) for p in m.regex]))) if m.regex else _none())
+        return _result(_per_line(lines, lambda t, low: _all_found(t, m.regex, 0, low)) if m.regex else _none())
     if m.type == "size":
         return _verdict(F.octet_length(part(event, m.part)).isin([int(x) for x in m.size]))
     if m.type == "dsl":
@@ -170,7 +190,7 @@ def extractor(e: Extractor, lines: Column, event: dict[str, Column]) -> Column:
     are taken from the whole content, at line 0.
     """
     if e.type == "regex":
-        return _result(_per_line(lines, lambda t: F.flatten(F.array(*[find_all(t, p, e.group) for p in e.regex]))) if e.regex else _none())
+        return _result(_per_line(lines, lambda t, low: _all_found(t, e.regex, e.group, low)) if e.regex else _none())
     whole = lambda v: F.named_struct(F.lit("value"), v.cast("string"), F.lit("line"), F.lit(0), F.lit("byte_offset"), F.lit(0).cast("long"))
     values = [event[k] for k in e.kval if k in event] if e.type == "kval" else [x for x in (expression(d, event) for d in e.dsl) if x is not None]
     return _result(F.filter(F.array(*[whole(v) for v in values]), lambda h: h["value"].isNotNull()) if values else _none())

@@ -21,7 +21,7 @@ from ..functions import regex
 from ..functions.paths import DEFAULTS, Filters, always_denied, in_skipped_folder, selected
 from ..plans.rules import Request, Rule, request_literals
 from . import match
-from .lines import lines as split_lines
+from .lines import block_starts, pieces, without_return
 
 #: Patterns up to which a pack is built into expressions.
 NATIVE_PATTERNS = 64
@@ -105,8 +105,16 @@ def _native(docs: DataFrame, rules: list[Rule], keep: list[str], guards: bool) -
                 may = may | F.contains(low, F.lit(x))
             one = F.when(may, one)
         results.append(one)
-    rows = docs.withColumn("__low", regex.folded(F.col("__content"))).withColumn("__lines", split_lines(F.col("__content")))
-    # One array of all rules' results per document: the lines are made once.
+    # Lower case only where some test ignores case; the lines are split once for all rules.
+    requests = [q for _, q in _requests(rules)]
+    folds = any(m.case_insensitive for q in requests for m in q.matchers) or any(regex.literals(p) and not regex.exact_literals(p) for q in requests for x in [*q.matchers, *q.extractors] for p in x.regex)
+    need_low = folds or guards and any(request_literals(q) for q in requests)
+    rows = docs.withColumn("__low", regex.folded(F.col("__content")) if need_low else F.lit(None).cast("string")).withColumn("__parts", pieces(F.col("__content"))).withColumn("__starts", block_starts(F.col("__parts")))
+    low_of = F.split("__low", "\n", -1) if folds else F.lit(None).cast("array<string>")
+    rows = rows.withColumn("__low_parts", low_of)
+    clean = F.transform("__parts", lambda raw, i: F.named_struct(F.lit("line_no"), i + 1, F.lit("line"), without_return(raw), F.lit("low"), F.get("__low_parts", i)))
+    rows = rows.withColumn("__lines", clean)
+    # One array of all rules' results per document.
     return rows.select(*keep, F.explode(F.filter(F.array(*results), lambda x: x.isNotNull())).alias("x")).select(*keep, "x.*")
 
 
@@ -152,6 +160,13 @@ class _Engine:
             return []
         return [m[group] or "" for m in rx.finditer(text)]
 
+    def possible(self, patterns: list[str], low: str) -> list[str]:
+        """The patterns whose literals a folded document contains."""
+        return [p for p in patterns if self.pattern(p) is not None and (not self.guards[p] or any(x in low for x in self.guards[p]))]
+
+    def binary(self, m) -> list[bytes]:
+        return [bytes.fromhex(x) for x in m.binary]
+
     def candidates(self, low: str) -> list[int]:
         found = set(self.always)
         if self.owners:
@@ -160,6 +175,30 @@ class _Engine:
         return sorted(found)
 
 
+class _Results:
+    """Outcomes of rules, gathered in flat lists and turned into nested Arrow arrays at once."""
+
+    def __init__(self):
+        self.values, self.lines, self.offsets, self.has = [], [], [], []
+        self.hit_ends, self.row_ends = [0], [0]
+
+    def add(self, outcomes) -> None:
+        for has, hits in outcomes:
+            self.has.append(has)
+            for v, line, at in hits:
+                self.values.append(v)
+                self.lines.append(line)
+                self.offsets.append(at)
+            self.hit_ends.append(len(self.values))
+        self.row_ends.append(len(self.has))
+
+    def arrow(self) -> pa.Array:
+        hits = pa.StructArray.from_arrays([pa.array(self.values, pa.string()), pa.array(self.lines, pa.int32()), pa.array(self.offsets, pa.int64())], names=["value", "line", "byte_offset"])
+        lists = pa.ListArray.from_arrays(pa.array(self.hit_ends, pa.int32()), hits)
+        results = pa.StructArray.from_arrays([pa.array(self.has, pa.bool_()), lists], names=["has", "hits"])
+        return pa.ListArray.from_arrays(pa.array(self.row_ends, pa.int32()), results)
+
+
 def _low(text: str) -> str:
     return text.translate({0x17F: "s", 0x212A: "k"}).lower()
 
@@ -209,41 +248,57 @@ def _arrow(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     slots = {(i, j): k for k, (i, j, _) in enumerate(asked)}
     verdicts = F.array(*[c for *_, c in asked]) if asked else F.array().cast("array<boolean>")
     rows = rows.select(*keep, "__content", verdicts.alias("__asked"))
-    hit = pa.struct([("value", pa.string()), ("line", pa.int32()), ("byte_offset", pa.int64())])
-    results = pa.list_(pa.struct([("has", pa.bool_()), ("hits", pa.list_(hit))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _Engine(requests)
         for b in batches:
             contents, asked_of = b.column("__content").to_pylist(), b.column("__asked").to_pylist()
-            take, rule, ms, es = [], [], [], []
+            take, rule, ms, es = [], [], _Results(), _Results()
             for n, content in enumerate(contents):
                 low = _low(content)
-                todo = engine.candidates(low)
-                ls = _split(content) if todo else []
-                for i in todo:
+                raw = None
+                ls = None
+                for i in engine.candidates(low):
                     q = requests[i]
-                    per = lambda values: [{"value": v, "line": k, "byte_offset": at} for k, at, text, lo in ls for v in values(text, lo)]
-                    res = []
+                    outcomes = []
                     for j, m in enumerate(q.matchers):
                         if (i, j) in slots:
-                            res.append({"has": bool(asked_of[n][slots[i, j]]), "hits": []})
+                            outcomes.append((bool(asked_of[n][slots[i, j]]), ()))
                             continue
-                        kind = {"word": lambda t, lo: _words(m, t), "binary": lambda t, lo: _bytes(m, t), "regex": lambda t, lo: [v for p in m.regex for v in engine.find(p, t, lo)]}[m.type]
-                        hits = per(kind)
-                        res.append({"has": bool(hits), "hits": hits})
-                    ext = []
+                        # What isn't in the document is in none of its lines.
+                        if m.type == "word":
+                            may = any(w.lower() in low for w in m.words)
+                        elif m.type == "regex":
+                            may = engine.possible(m.regex, low)
+                        else:
+                            raw = content.encode() if raw is None else raw
+                            may = any(x in raw for x in engine.binary(m))
+                        hits = ()
+                        if may:
+                            ls = _split(content) if ls is None else ls
+                            if m.type == "word":
+                                hits = [(v, k, at) for k, at, t, _ in ls for v in _words(m, t)]
+                            elif m.type == "regex":
+                                hits = [(v, k, at) for k, at, t, lo in ls for p in may for v in engine.find(p, t, lo)]
+                            else:
+                                hits = [(v, k, at) for k, at, t, _ in ls for v in _bytes(m, t)]
+                        outcomes.append((bool(hits), hits))
+                    extracts = []
                     for x in q.extractors:
-                        hits = per(lambda t, lo: [v for p in x.regex for v in engine.find(p, t, lo, x.group)]) if x.type == "regex" else []
-                        ext.append({"has": bool(hits), "hits": hits})
+                        may = engine.possible(x.regex, low) if x.type == "regex" else ()
+                        hits = ()
+                        if may:
+                            ls = _split(content) if ls is None else ls
+                            hits = [(v, k, at) for k, at, t, lo in ls for p in may for v in engine.find(p, t, lo, x.group)]
+                        extracts.append((bool(hits), hits))
                     # Rules without any outcome and any negation can't give a finding.
-                    if any(r["has"] for r in res + ext) or any(m.negative for m in q.matchers):
+                    if any(h for h, _ in outcomes) or any(h for h, _ in extracts) or any(m.negative for m in q.matchers):
                         take.append(n)
                         rule.append(i)
-                        ms.append(res)
-                        es.append(ext)
+                        ms.add(outcomes)
+                        es.add(extracts)
             kept = [b.column(c).take(pa.array(take, pa.int64())) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(rule, pa.int32()), pa.array(ms, results), pa.array(es, results)], names=[*keep, "rule", "m", "e"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rule, pa.int32()), ms.arrow(), es.arrow()], names=[*keep, "rule", "m", "e"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
     return rows.mapInArrow(run, f"{schema}, rule int, {_RAW}")
