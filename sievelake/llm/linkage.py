@@ -129,7 +129,6 @@ def candidate_pairs(reps: DataFrame, fresh: Column) -> DataFrame:
 
 def _covering() -> Column:
     """Of ``ks``, in order of frequency, the keys whose preceding weight is below COVER of all."""
-    start = F.struct(F.col("all_w").cast("double") - F.col("shared_w"), F.array().cast("array<bigint>"))
     start = F.named_struct(F.lit("before"), F.col("all_w").cast("double") - F.col("shared_w"), F.lit("keys"), F.array().cast("array<bigint>"))
     step = lambda s, k: F.named_struct(
         F.lit("before"), s["before"] + k["w"], F.lit("keys"), F.when(s["before"] <= COVER * F.col("all_w"), F.array_append(s["keys"], k["key"])).otherwise(s["keys"])
@@ -213,17 +212,18 @@ class History:
     """All findings that arrived, by block, and the representatives of those that repeat one.
 
     Its two tables lie in the shared folder (or below ``path``); ``add`` takes
-    one or more new batches at a time, in order of arrival.
+    one or more new batches at a time, in order of arrival. ``buckets`` should
+    grow with the history, so that a bucket stays a task's size.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.step = spark, path or scratch_path(spark, "history"), 0
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.path, self.step, self.buckets = spark, path or scratch_path(spark, "history"), 0, buckets
         self.name = f"sievelake_history_{uuid.uuid4().hex}"
 
     def _append(self, findings: DataFrame) -> None:
-        rows = normalise(findings).withColumn("step", F.lit(self.step)).repartition(BUCKETS, "salted")
+        rows = normalise(findings).withColumn("step", F.lit(self.step)).repartition(self.buckets, "salted")
         writer = rows.write.mode("append").format("parquet").option("compression", "zstd").option("path", f"{self.path}/arrived")
-        writer.partitionBy("step").bucketBy(BUCKETS, "salted").saveAsTable(self.name)
+        writer.partitionBy("step").bucketBy(self.buckets, "salted").saveAsTable(self.name)
 
     def repeats(self) -> DataFrame:
         """``(finding_id_a, finding_id_b)``: b repeats the accepted finding a."""

@@ -84,7 +84,7 @@ def plan(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     at most the cap) and short. Null weights count as 0.
     """
     sizes = tokens.groupBy("source_key").agg(F.sum("tokens").alias("source_tokens"))
-    total = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
+    total = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0))).collect()[0][0]
     mix = Window.partitionBy("mix_id")
     cap = F.coalesce("max_repeats", F.lit(1)).cast("long")
     t = (
@@ -92,8 +92,7 @@ def plan(tokens: DataFrame, targets: DataFrame) -> DataFrame:
         .select("mix_id", "source", F.lower(F.trim("source")).alias("source_key"), F.coalesce("weight", F.lit(0.0)).alias("weight"), cap.alias("cap"), "budget_ratio")
         .withColumn("target_share", F.coalesce(F.try_divide("weight", F.sum("weight").over(mix)), F.lit(0.0)))
         .join(sizes, "source_key", "left")
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumn("target_tokens", F.col("target_share") * F.coalesce("budget_ratio", F.lit(0.0)) * F.col("total_tokens"))
+        .withColumn("target_tokens", F.col("target_share") * F.coalesce("budget_ratio", F.lit(0.0)) * F.lit(total))
         .withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
         .withColumn("available_tokens", F.col("source_tokens") * F.col("cap"))
     )
