@@ -32,7 +32,7 @@ from ..plans.session import checkpointed, scratch_path, table
 #: Share of the characters that two findings' extracts must agree in.
 AGREEMENT = 0.8
 #: Characters of a value's end that make a key, and share of a finding's characters that its probing keys cover.
-END, COVER = 16, 0.85
+END, COVER = 16, 0.7
 #: A block's rows are spread over so many buckets' keys.
 SALTS, BUCKETS = 4, 48
 
@@ -103,8 +103,10 @@ def candidate_pairs(reps: DataFrame, fresh: Column) -> DataFrame:
     """Pairs (a, b), a < b, of representatives of one block that share a probing key of b, where ``fresh`` holds for b.
 
     A key's frequency counts all representatives. The probing keys of b are its
-    rarest ones up to COVER of its characters, so a pair is missed only if it
-    shares less than the rest. Totals must be within AGREEMENT of each other.
+    rarest ones that cover COVER of its characters, those that nothing else has
+    first; so no pair is missed whose common keys hold more than the rest. An
+    edit spoils one key, half a value, and less than a fifth of the characters
+    may differ. Totals must be within AGREEMENT of each other.
     """
     ends = F.transform("vals", lambda v: F.struct(F.array(F.substring(v, 1, END), F.concat(F.lit("\x00"), F.reverse(F.substring(F.reverse(v), 1, END)))).alias("k"), F.length(v).alias("w")))
     keyed = (
