@@ -53,7 +53,7 @@ def frequent(items: DataFrame, share: float | None = None, k: int | None = None,
     if not totals:
         return spark.createDataFrame([], out_schema)
     if share is not None:
-        bound = {f: max(1, math.ceil(share * n)) for f, n in totals.items()}
+        bound = {f: max(1, math.ceil(share * n - 1e-9)) for f, n in totals.items()}
     else:
         # At most 2 ** FIRST_BITS witnesses a field: small enough to broadcast.
         witnesses = spark.createDataFrame([(r.field_name, r.witness) for r in first], "field_name string, h long")
