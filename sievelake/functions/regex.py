@@ -96,6 +96,67 @@ def to_java(pattern: str) -> str:
     return java
 
 
+# The ASCII meaning of RE2's classes.
+_ASCII = {"d": "0-9", "w": "0-9A-Za-z_", "s": r"\t\n\f\r "}
+_RANGES = {
+    "alpha": "A-Za-z", "digit": "0-9", "alnum": "0-9A-Za-z", "upper": "A-Z", "lower": "a-z", "space": r"\t\n\v\f\r ", "blank": r" \t",
+    "xdigit": "0-9A-Fa-f", "word": "0-9A-Za-z_", "cntrl": r"\x00-\x1f\x7f", "print": r"\x20-\x7e", "graph": r"\x21-\x7e", "ascii": r"\x00-\x7f",
+    "punct": r"!-/:-@\[-`{-~",
+}
+
+
+def to_python(pattern: str) -> re.Pattern:
+    """``pattern`` compiled by Python with RE2's meaning. Raises Unsupported as ``to_java`` does, and for what only Java can do."""
+    to_java(pattern)
+    out, i, inside, multiline = [], 0, False, False
+    while i < len(pattern):
+        c, two = pattern[i], pattern[i : i + 2]
+        if c == "\\":
+            kind = two[1:]
+            if two == r"\Q" and not inside:
+                end = pattern.find(r"\E", i + 2)
+                end = len(pattern) if end < 0 else end
+                out.append(re.escape(pattern[i + 2 : end]))
+                i = end + 2
+                continue
+            if kind.lower() in _ASCII:
+                if inside and kind.isupper():
+                    raise Unsupported(f"{two} in brackets")
+                out.append(_ASCII[kind] if inside else f"[{'^' if kind.isupper() else ''}{_ASCII[kind.lower()]}]")
+            elif m := re.compile(r"\\x\{([0-9A-Fa-f]+)\}").match(pattern, i):
+                out.append(re.escape(chr(int(m[1], 16))))
+                i = m.end()
+                continue
+            else:
+                out.append({r"\z": r"\Z", r"\b": two if inside else _BOUND, r"\B": f"(?!{_BOUND})"}.get(two, two))
+            i += 2
+        elif inside and (m := re.compile(r"\[:(\w+):\]").match(pattern, i)):
+            out.append(_RANGES[m[1]])
+            i = m.end()
+        elif c == "[" and not inside:
+            inside = True
+            head = re.compile(r"\[\^?\]?").match(pattern, i)[0]
+            out.append(head[:-1] + r"\]" if head.endswith("]") else head)
+            i += len(head)
+        elif c == "]" and inside:
+            inside, i = False, i + 1
+            out.append(c)
+        elif not inside and (m := re.compile(r"\(\?([ims]*)(-[ims]+)?(:|\))").match(pattern, i)):
+            multiline |= "m" in m[1]
+            out.append(m[0])
+            i = m.end()
+        elif not inside and (m := re.compile(r"\(\?P?<(\w+)>").match(pattern, i)):
+            out.append(f"(?P<{m[1]}>")
+            i = m.end()
+        else:
+            out.append(r"\Z" if c == "$" and not inside and not multiline else "\\" + c if inside and c in "[&|~" else c)
+            i += 1
+    try:
+        return re.compile("".join(out))
+    except re.error as e:
+        raise Unsupported(str(e)) from None
+
+
 def _python(pattern: str) -> str:
     """A pattern of the same structure that Python can parse."""
     pattern = re.sub(r"\[:\^?(\w+):\]", "a-zA-Z", pattern)

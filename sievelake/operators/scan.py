@@ -86,6 +86,21 @@ def assemble(raw: DataFrame, rules: list[Rule], keep: list[str], compat_negative
     )
 
 
+def _only_java(rules: list[Rule]) -> bool:
+    """Whether some pattern can be evaluated by expressions only."""
+    for _, q in _requests(rules):
+        for p in (p for x in [*q.matchers, *q.extractors] for p in x.regex):
+            try:
+                regex.to_java(p)
+            except regex.Unsupported:
+                continue  # neither engine evaluates it
+            try:
+                regex.to_python(p)
+            except regex.Unsupported:
+                return True
+    return False
+
+
 def _event(label: Column, content: Column) -> dict[str, Column]:
     return {"raw": content, "path": label, "matched": label, "type": F.lit("file")}
 
@@ -125,33 +140,31 @@ class _Engine:
         import ahocorasick
 
         self.requests = requests
-        self.automaton, self.always = ahocorasick.Automaton(), []
-        owners: dict[str, set[int]] = {}
+        self.compiled: dict[str, re.Pattern | None] = {}
+        self.guards: dict[str, frozenset[str]] = {}
+        self.always, self.owners = [], {}
         for i, q in enumerate(requests):
             lits = request_literals(q)
             if lits is None:
                 self.always.append(i)
             for x in lits or ():
-                owners.setdefault(x, set()).add(i)
-        for x, ids in owners.items():
-            self.automaton.add_word(x, ids)
-        if owners:
+                self.owners.setdefault(x, set()).add(i)
+            for op in [*q.matchers, *q.extractors]:
+                for p in op.regex:
+                    self.pattern(p)
+        self.automaton = ahocorasick.Automaton()
+        for x in {*self.owners, *(x for g in self.guards.values() for x in g)}:
+            self.automaton.add_word(x, x)
+        if len(self.automaton):
             self.automaton.make_automaton()
-        self.owners = owners
-        self.compiled: dict[str, re.Pattern | None] = {}
-        self.guards: dict[str, list[str] | None] = {}
 
     def pattern(self, p: str) -> re.Pattern | None:
         if p not in self.compiled:
             try:
-                regex.to_java(p)
-                flags = re.A if not re.match(r"\(\?\w*i", p) else 0
-                body = re.sub(r"\(\?P?<(\w+)>", r"(?P<\1>", p)
-                body = re.sub(r"\[\[:(\w+):\]\]", lambda m: {"alpha": "[A-Za-z]", "digit": "[0-9]", "alnum": "[0-9A-Za-z]"}.get(m[1], m[0]), body)
-                self.compiled[p] = re.compile(re.sub(r"(?<!\\)\$", r"\\Z", body), flags)
-                self.guards[p] = regex.literals(p)
-            except (regex.Unsupported, re.error):
-                self.compiled[p] = None
+                self.compiled[p] = regex.to_python(p)
+                self.guards[p] = frozenset(regex.literals(p) or ())
+            except regex.Unsupported:
+                self.compiled[p], self.guards[p] = None, frozenset()
         return self.compiled[p]
 
     def find(self, p: str, text: str, low: str, group: int = 0) -> list[str]:
@@ -160,18 +173,22 @@ class _Engine:
             return []
         return [m[group] or "" for m in rx.finditer(text)]
 
-    def possible(self, patterns: list[str], low: str) -> list[str]:
-        """The patterns whose literals a folded document contains."""
-        return [p for p in patterns if self.pattern(p) is not None and (not self.guards[p] or any(x in low for x in self.guards[p]))]
+    def present(self, low: str) -> set[str]:
+        """The literals that a folded text contains, found in one pass."""
+        return {x for _, x in self.automaton.iter(low)} if len(self.automaton) else set()
+
+    def possible(self, patterns: list[str], present: set[str]) -> list[str]:
+        """The patterns whose literals are present."""
+        return [p for p in patterns if self.compiled[p] is not None and (not self.guards[p] or not self.guards[p].isdisjoint(present))]
 
     def binary(self, m) -> list[bytes]:
         return [bytes.fromhex(x) for x in m.binary]
 
-    def candidates(self, low: str) -> list[int]:
+    def candidates(self, present: set[str]) -> list[int]:
+        """The rules that may find something where these literals are present."""
         found = set(self.always)
-        if self.owners:
-            for _, ids in self.automaton.iter(low):
-                found |= ids
+        for x in present:
+            found |= self.owners.get(x, frozenset())
         return sorted(found)
 
 
@@ -256,9 +273,8 @@ def _arrow(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
             take, rule, ms, es = [], [], _Results(), _Results()
             for n, content in enumerate(contents):
                 low = _low(content)
-                raw = None
-                ls = None
-                for i in engine.candidates(low):
+                present, raw, ls = engine.present(low), None, None
+                for i in engine.candidates(present):
                     q = requests[i]
                     outcomes = []
                     for j, m in enumerate(q.matchers):
@@ -269,7 +285,7 @@ def _arrow(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
                         if m.type == "word":
                             may = any(w.lower() in low for w in m.words)
                         elif m.type == "regex":
-                            may = engine.possible(m.regex, low)
+                            may = engine.possible(m.regex, present)
                         else:
                             raw = content.encode() if raw is None else raw
                             may = any(x in raw for x in engine.binary(m))
@@ -285,7 +301,7 @@ def _arrow(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
                         outcomes.append((bool(hits), hits))
                     extracts = []
                     for x in q.extractors:
-                        may = engine.possible(x.regex, low) if x.type == "regex" else ()
+                        may = engine.possible(x.regex, present) if x.type == "regex" else ()
                         hits = ()
                         if may:
                             ls = _split(content) if ls is None else ls
@@ -322,7 +338,7 @@ def scan(docs: DataFrame, rules: list[Rule], label: str = "label", content: str
         raw = rows.where(F.lit(False)).select(*keep, F.lit(0).alias("rule"), F.array().cast(f"array<{match.RESULT}>").alias("m"), F.array().cast(f"array<{match.RESULT}>").alias("e"))
         return assemble(raw, [Rule("none", requests=[Request(extractors=[_never()])])], keep)
     kvals = any(x.type != "regex" for _, q in _requests(rules) for x in q.extractors)
-    native = engine == "native" or engine == "auto" and (n <= NATIVE_PATTERNS or kvals)
+    native = engine == "native" or engine == "auto" and (n <= NATIVE_PATTERNS or kvals or _only_java(rules))
     raw = _native(rows, rules, keep, guards) if native else _arrow(rows, rules, keep)
     return assemble(raw, rules, keep, compat_negative)
 
@@ -336,24 +352,30 @@ def _never():
 def scan_files(files: DataFrame, rules: list[Rule], filters: Filters = DEFAULTS, engine: str = "auto", root: str = "") -> DataFrame:
     """Findings over files (``path``, ``content`` binary): each rule over the files that its request takes.
 
-    Media files and files in skipped folders are taken by none. Rules of equal
+    Media files and files in skipped folders are taken by none. A request that
+    asks for MIME types takes and refuses files by their first bytes, however
+    short they are. Rules of equal
     selection are scanned together; selection reads only the path, and the
     first bytes where a rule wants text.
     """
-    from ..functions.text import looks_like_text
+    from ..functions.text import is_mime, looks_like_text
 
     usable = files.where(~in_skipped_folder(F.col("path"), filters) & ~always_denied(F.col("path"), filters) & (F.octet_length("content") > 0))
     same: dict[tuple, list[Rule]] = {}
     for r in rules:
         for q in r.requests:
             one = Rule(r.id, r.name, r.severity, r.description, r.tags, [q])
-            same.setdefault((tuple(sorted(q.extensions)), tuple(sorted(q.denylist)), q.archive, q.scan_all, q.max_size), []).append(one)
+            same.setdefault((tuple(sorted(q.extensions)), tuple(sorted(q.denylist)), q.archive, q.scan_all, q.max_size, q.mimetype), []).append(one)
     out = None
     entry = F.contains(F.col("path"), F.lit(":"))
-    for (ext, deny, archive, every, size), group in sorted(same.items(), key=str):
+    for (ext, deny, archive, every, size, mime), group in sorted(same.items(), key=str):
         text = None if every else looks_like_text(F.col("content"))
+        kinds, refused = ([x for x in xs if "/" in x] if mime else [] for xs in (ext, deny))
+        ext = [x for x in ext if x not in kinds]
         inner = F.when(entry, F.regexp_extract("path", r":([^:]*)$", 1)).otherwise(F.col("path"))
-        taken = usable.where(entry | selected(inner, list(ext), list(deny), archive, text, False, filters, root))
+        by_path = selected(inner, ext, list(deny), archive, text, False, filters, root) if ext or not kinds else F.lit(False)
+        by_kind = is_mime(F.col("content"), kinds)
+        taken = usable.where(entry | by_kind | (by_path & ~is_mime(F.col("content"), refused)))
         if size:
             taken = taken.where(F.octet_length("content") <= size)
         docs = taken.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))

@@ -133,7 +133,7 @@ def per_key(df: DataFrame, keys: dict[str, Column], row_id: Column, values: Colu
 
 def heavy_keys(results: DataFrame, total: int, share: float) -> DataFrame:
     """The keys of ``results`` that at least ``share`` of all ``total`` rows have."""
-    return results.where(F.col("n_rows") >= share * total)
+    return results.where(F.col("n_rows") >= share * total - 1e-9)
 
 
 def _findings_per_key(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

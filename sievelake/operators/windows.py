@@ -80,7 +80,7 @@ def scan_blocks(blocks: DataFrame, rules: list[Rule], label: str = "label", cont
                     w = text[start : start + window]
                     last = start + window >= len(text)
                     low, owned = w.translate(fold), len(w) if last else step
-                    for i in engine.candidates(low):
+                    for i in engine.candidates(engine.present(low)):
                         q = requests[i]
                         spot = lambda v, k: {"value": v, "line": 0, "byte_offset": origin + start + k}
                         for j, m in enumerate(q.matchers):

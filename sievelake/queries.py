@@ -29,16 +29,16 @@ TOKEN = r"(?i)(?:token|secret|password)\s*[:=]\s*[\"']?(\w[\w\-.]{7,})"
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as (label, content): the speeches' texts under their ids."""
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("label"), F.col("text").alias("content"))
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("label"), F.col("text").alias("content")), "label")
 
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     """Raw lines as (label, content), redelivered ones once."""
-    return table(spark, sf, "file_matches").select(F.col("match_id").cast("string").alias("label"), F.col("raw_line").alias("content")).distinct()
+    return spread(table(spark, sf, "file_matches").select(F.col("match_id").cast("string").alias("label"), F.col("raw_line").alias("content")), "label").distinct()
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return explode_lines(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return explode_lines(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "text")
 
 
 def _joined(c: Column) -> Column:
@@ -297,13 +297,13 @@ def findings_multi_rule(spark, sf):
 
 @query("findings_multi_rule_automaton", _PACK_SQL)
 def findings_multi_rule_automaton(spark, sf):
-    return scan.scan(spread(_docs(spark, sf), "label"), PACK, engine="arrow").select("label", "template_id", "severity")
+    return scan.scan(_docs(spark, sf), PACK, engine="arrow").select("label", "template_id", "severity")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Every rule of the rules table over all raw lines, in one pass."""
     rules = from_table(table(spark, sf, "rules"))
-    f = scan.scan(spread(_matches(spark, sf), "label"), rules)
+    f = scan.scan(_matches(spark, sf), rules)
     return f.select("label", "template_id", "severity", "matched", "extracted", F.size("extracts").alias("n_extracts"))
 
 
@@ -460,6 +460,16 @@ def severity_histogram(spark, sf):
     )
 
 
+@query(
+    "human_sizes",
+    """select run_id, case when n_bytes >= 1073741824 then format('{:,.1f} GB', n_bytes / 1073741824.0) when n_bytes >= 1048576 then format('{:,.1f} MB', n_bytes / 1048576.0)
+              when n_bytes >= 1024 then format('{:,.1f} KB', n_bytes / 1024.0) else format('{:,.1f} B', n_bytes::double) end as size from (select distinct * from scan_stats) where n_bytes is not null""",
+)
+def human_sizes(spark, sf):
+    s = table(spark, sf, "scan_stats").distinct().where("n_bytes is not null")
+    return s.select("run_id", paths.size_text(F.col("n_bytes")).alias("size"))
+
+
 @query("rule_choice", "select rule_id from rules where severity in ('high', 'critical') and (list_contains(tags, 'pii') or list_contains(tags, 'cloud')) and not list_contains(tags, 'noisy')")
 def rule_choice(spark, sf):
     rules = choose(from_table(table(spark, sf, "rules")), tags=["pii", "cloud"], severities=["high", "critical"], exclude_tags=["noisy"])

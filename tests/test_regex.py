@@ -52,3 +52,14 @@ def test_split_glob():
     assert regex.split_glob("/a/b/*.py") == ("/a/b", "*.py")
     assert regex.split_glob("/a/b/c") == ("/a/b", "c")
     assert regex.split_glob("*.py") == (".", "*.py")
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    [r"\w+\s\d+", r"(?i)kéy\s*=\s*(\w+)", r"[[:alpha:]_]+$", r"\bab\b", r"[^\s\d]{2,}", r"(?P<n_1>a+)(b)?", r"[]a]+", r"[&a|b]{2}", r"x.y", r"(?m)^a$", r"\Qa.b\E+", r"(?i:ÄB)c", r"[\w.]+@", r"\x{e9}t", "a|bc$"],
+)
+def test_python_and_java_agree(spark, pattern):
+    texts = ["ab 12", "KÉY = vÄlue", "éab ab_ ab", "a\x0b1 a 1", "aab", "]a]", "&|a", "x\ry x\ny", "a\na\n", "a.bbb", "äbc ÄBc", "u.v@w é@", "été", "bc", "bc\n", ""]
+    rx, java = regex.to_python(pattern), regex.to_java(pattern)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").selectExpr("i", f"regexp_extract_all(t, r'{java}', 0) as f").collect()
+    assert {r.i: r.f for r in rows} == {i: [m[0] for m in rx.finditer(t)] for i, t in enumerate(texts)}

@@ -110,3 +110,12 @@ def test_reports(spark):
     assert j["template-id"] == "or" and j["matches"] == {"h": [{"value": "harbour", "line": 4, "offset": 32}]}
     long = scan.scan(spark.createDataFrame([("l", "é" * 150)], "label string, content string"), [adhoc("é+")])
     assert reports.as_lines(long).collect()[0].text.endswith("é" * 100 + "...")
+
+
+def test_mime_selection(spark):
+    files = spark.createDataFrame([("a.bin", b"%PDF-1 token=1"), ("b.txt", b"token=2"), ("c.txt", b"PK\x03\x04 token=3"), ("d.png", b"%PDF token=4"), ("e.py", b"")], "path string, content binary")
+    rule = lambda **kw: Rule("r", requests=[Request(mimetype=True, scan_all=True, extractors=[Extractor(regex=[r"token=(\d)"], group=1)], **kw)])
+    got = lambda **kw: sorted(x for r in scan.scan_files(files, [rule(**kw)]).collect() for x in r.output_extracts)
+    assert got(extensions=["application/pdf"]) == ["1"]
+    assert got(extensions=["all"], denylist=["application/zip"]) == ["1", "2"]
+    assert got(extensions=[".txt", "application/pdf"]) == ["1", "2", "3"]
