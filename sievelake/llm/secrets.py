@@ -206,16 +206,26 @@ _TOKEN = re.compile(r"[A-Za-z0-9_\-+/.!#%^*&$@~?]{10,60}={0,2}|[A-Za-z0-9]{6,24}
 def bare_credential(text: str | None, path: str = BYTE_BPE) -> bool:
     """Whether a value without any context is itself a credential.
 
-    Only an unnatural string of letters of both cases and digits counts: digests,
+    Only an unnatural string of letters of both cases counts, and one without
+    digits only if it is further from words than any name is: digests,
     identifiers and encoded blocks of one case, of hexadecimal digits or with a
     digest's padding do not.
     """
     v = (text or "").strip()
     if not _TOKEN.fullmatch(v) or re.fullmatch(r"[0-9a-fA-F\-]+", v) or _HASH.match(v) or v.endswith("=="):
         return False
-    if not (re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[0-9]", v)) or re.search(r"[/.@]|\$2", v):
+    if not (re.search("[a-z]", v) and re.search("[A-Z]", v)) or re.search(r"[/.@]|\$2", v):
         return False
-    return chars_per_subword(v, path) < 2.4
+    return chars_per_subword(v, path) < (2.4 if re.search("[0-9]", v) else 2.0)
+
+
+def value_credentials(text: str | None, path: str = BYTE_BPE) -> list[tuple[int, int]]:
+    """Spans of the credentials in a value that stands alone: by context, else the bare value itself."""
+    spans = find_credentials(text, path)
+    if text and not spans and bare_credential(text, path):
+        s = len(text) - len(text.lstrip())
+        return [(s, s + len(text.strip()))]
+    return spans
 
 
 def mask(text: str, spans: list[tuple[int, int]]) -> str:
@@ -252,15 +262,9 @@ def record_credentials(data: str | None, raw: str | None, path: str) -> list[str
 
     The line is the wider context; a matched value within it is judged there.
     """
-    spans = find_credentials(raw, path)
-    found = [raw[s:e] for s, e in spans] if raw else []
-    if raw and not spans and bare_credential(raw, path):
-        found.append(raw.strip())
+    found = [raw[s:e] for s, e in value_credentials(raw, path)] if raw else []
     if data and (raw is None or data not in raw):
-        own = find_credentials(data, path)
-        found += [data[s:e] for s, e in own]
-        if not own and bare_credential(data, path):
-            found.append(data.strip())
+        found += [data[s:e] for s, e in value_credentials(data, path)]
     return list(dict.fromkeys(found))
 
 
@@ -290,7 +294,7 @@ def _extract_finder(path: str):
             out_id, out = [], []
             for i, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for v in values or ():
-                    for s, e in find_credentials(v, path):
+                    for s, e in value_credentials(v, path):
                         out_id.append(i)
                         out.append(v[s:e])
             yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out, pa.string())], schema=schema)
@@ -342,7 +346,7 @@ def redact_extracts(findings: DataFrame, vocabulary: str = BYTE_BPE) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if vs is None else [v and mask(v, find_credentials(v, vocabulary)) for v in vs] for vs in b.column(1).to_pylist()]
+            out = [None if vs is None else [v and mask(v, value_credentials(v, vocabulary)) for v in vs] for vs in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["finding_id", "redacted"])
 
     return findings.select("finding_id", F.transform("extracts", lambda x: x["value_text"]).alias("v")).mapInArrow(run, "finding_id long, redacted array<string>")

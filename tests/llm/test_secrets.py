@@ -71,6 +71,15 @@ def test_records(spark):
     assert red == {1: ["token = " + "*" * 12, None], 2: None, 3: []}
 
 
+def test_bare_values_of_findings(spark):
+    m, _ = frames(spark, [])
+    bare = ["7UbBhALFMHBwuKbDvw9W", " 545vkU0MqPgnypr\r", "3b18e512dba79e4c8300dd08aeb37f8e728b8dad", "localhost", "XMLHttpRequestFactoryImpl", None]
+    f = spark.createDataFrame([(5, [(x, 1, 2) for x in bare])], "finding_id long, extracts array<struct<value_text:string,line_no:int,byte_offset:long>>")
+    assert secrets.bare_credential("LhFoyXYxAbQGjAzdDIxc")
+    assert sorted(r.secret for r in secrets.credentials(m, f).collect()) == ["545vkU0MqPgnypr", "7UbBhALFMHBwuKbDvw9W"]
+    assert secrets.redact_extracts(f).collect()[0].redacted == ["*" * 20, " " + "*" * 15 + "\r", *bare[2:]]
+
+
 def test_empty_tables(spark):
     m, f = frames(spark, [])
     assert secrets.credentials(m, f.where(F.lit(False))).count() == 0 and secrets.redact_matches(m).count() == 0
