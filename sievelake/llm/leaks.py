@@ -1,11 +1,11 @@
 """Evaluation passages leaking into training documents.
 
 Texts become sequences of the words that occur in any passage; every other
-word is a hole. Word n-grams of the passages are the seeds. One pass over the
-corpus counts the documents each seed occurs in, and of every window of words
-that must be found only the rarest seed is kept. A second pass joins documents
-to passages by those seeds and aligns each candidate pair by Smith-Waterman,
-which scores edited copies, and gives the longest run of equal words.
+word is a hole. Word n-grams of the passages are the seeds. Documents are joined
+to passages by seeds, and each candidate pair is aligned by Smith-Waterman,
+which scores edited copies, and gives the longest run of equal words. Where
+only long runs are asked for, a pass before counts the documents each seed
+occurs in, and of every window of that many words only the rarest seed is kept.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from .batches import slices
 
 #: Words of a seed, and equal consecutive words that make a leak.
 SEED, RUN = 5, 12
-#: Seeds in at most this share of the documents are rare.
-RARE = 0.001
+#: Words of a seed of edited copies: a change in every fifth word leaves none of more.
+EDITED_SEED = 4
+#: Scores of a matrix row that are computed at once.
+LOT = 1 << 16
 #: Passages of a block: the passages of one block are held by every worker.
 BLOCK = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -84,27 +86,46 @@ def words(text: str | None, known: set[str] | dict[str, int] | None = None) -> l
     return _WORD.findall(_comparable((text or "").replace(_END, " "), known))
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman score of two word sequences and their longest run of equal words.
+def align_all(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of word sequences its Smith-Waterman score and the longest run of equal words.
 
-    Rows of the score matrix are computed at once; a gap within a row is a
-    running maximum.
+    Pairs of similar length form a lot; a row of all score matrices of a lot is
+    computed at once, and a gap within a row is a running maximum. Words that
+    fill a sequence up equal none, so they change neither result.
     """
-    m = len(b)
-    ramp = np.arange(m + 1) * -GAP
-    above, runs = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-    best = longest = 0
-    for x in a:
-        equal = b == x
-        row = np.zeros(m + 1, np.int64)
-        row[1:] = np.maximum(above[:-1] + np.where(equal, MATCH, MISMATCH), above[1:] + GAP)
-        np.maximum(row, 0, out=row)
-        row = np.maximum.accumulate(row + ramp) - ramp
-        now = np.zeros(m + 1, np.int64)
-        now[1:] = np.where(equal, runs[:-1] + 1, 0)
-        above, runs = row, now
-        best, longest = max(best, int(row.max())), max(longest, int(now.max()))
-    return best, longest
+    scores, longest = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    order = sorted(range(len(left)), key=lambda k: len(right[k]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * (len(right[order[end]]) + 1) <= LOT:
+            end += 1
+        lot, at = order[at:end], end
+        m = len(right[lot[-1]])
+        a, b = np.full((len(lot), max(len(left[k]) for k in lot)), -1, np.int32), np.zeros((len(lot), m), np.int32)
+        for i, k in enumerate(lot):
+            a[i, : len(left[k])], b[i, : len(right[k])] = left[k], right[k]
+        ramp = np.arange(m + 1, dtype=np.int32) * -GAP
+        above, runs, now = (np.zeros((len(lot), m + 1), np.int32) for _ in range(3))
+        for x in a.T:
+            equal = b == x[:, None]
+            row = above + GAP
+            np.maximum(row[:, 1:], above[:, :-1] + (equal * np.int32(MATCH - MISMATCH) + np.int32(MISMATCH)), out=row[:, 1:])
+            np.maximum(row, 0, out=row)
+            row += ramp
+            np.maximum.accumulate(row, axis=1, out=row)
+            row -= ramp
+            np.multiply(runs[:, :-1] + 1, equal, out=now[:, 1:])
+            above, runs, now = row, now, runs
+            scores[lot] = np.maximum(scores[lot], above.max(axis=1))
+            longest[lot] = np.maximum(longest[lot], runs.max(axis=1))
+    return scores, longest
+
+
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Smith-Waterman score of two word sequences and their longest run of equal words."""
+    scores, longest = align_all([a], [b])
+    return int(scores[0]), int(longest[0])
 
 
 class Passages:
@@ -142,24 +163,26 @@ class Passages:
         out[~whole] = 0
         return out
 
-    def keep_rarest(self, frequency: dict[int, int], documents: int) -> None:
-        """Of each window of ``run`` words keep the rarest seed that occurs, so none is lost.
+    def keep_all(self) -> None:
+        """Keep every seed, so a pair that shares any is aligned, however often the seed occurs."""
+        self._keep(self.gram != 0)
+
+    def keep_rarest(self, frequency: dict[int, int]) -> None:
+        """Of each window of ``run`` words that may stand somewhere keep the rarest seed, so none is lost.
 
-        A window with a seed that occurs nowhere stands nowhere as a whole; of
-        such windows, which edited copies may share, only rare seeds are kept.
+        A window with a seed that occurs nowhere stands nowhere as a whole.
         """
         df = np.array([frequency.get(int(g), 0) for g in self.gram], np.int64)
-        never = np.iinfo(np.int64).max
-        order_by = np.where(df > 0, df, never)
         kept = np.zeros(len(self.gram), bool)
         span = max(1, self.run - self.seed + 1)
         for k in range(len(self.ids)):
             at = np.flatnonzero(self.owner == k)
             if len(at):
-                windows = np.lib.stride_tricks.sliding_window_view(order_by[at], min(span, len(at)))
-                best = windows.min(axis=1)
-                keep = (best < never) & ((windows.max(axis=1) < never) | (best <= max(1, RARE * documents)))
-                kept[at[(np.arange(len(windows)) + windows.argmin(axis=1))[keep]]] = True
+                windows = np.lib.stride_tricks.sliding_window_view(df[at], min(span, len(at)))
+                kept[at[(np.arange(len(windows)) + windows.argmin(axis=1))[windows.min(axis=1) > 0]]] = True
+        self._keep(kept)
+
+    def _keep(self, kept: np.ndarray) -> None:
         self.kept_gram, self.kept_owner = self.gram[kept], self.owner[kept]
         order = np.argsort(self.kept_gram, kind="stable")
         self.kept_gram, self.kept_owner = self.kept_gram[order], self.kept_owner[order]
@@ -185,9 +208,8 @@ class _Numbers(dict):
 
 def _counter(passages: Passages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen_docs = np.zeros(len(passages.seeds), np.int64), 0
+        total = np.zeros(len(passages.seeds), np.int64)
         for b in slices(batches, 1):
-            seen_docs += b.num_rows
             ids, begins = passages.encode(b.column(1).to_pylist())
             g = passages.grams(ids)
             at = np.flatnonzero(g)
@@ -199,8 +221,7 @@ def _counter(passages: Passages):
             pairs = np.unique(np.stack([doc, slot[hit]]), axis=1)
             np.add.at(total, pairs[1], 1)
         seen = np.flatnonzero(total)
-        # No seed is 0: there stands the number of documents.
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(passages.seeds[seen], 0)), pa.array(np.append(total[seen], seen_docs))], names=["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(passages.seeds[seen]), pa.array(total[seen])], names=["seed", "n"])
 
     return run
 
@@ -220,24 +241,25 @@ def _aligner(passages: Passages):
             pairs = set()
             for d, lo, hi in zip(np.searchsorted(begins, at[hit], side="right") - 1, left[hit], right[hit]):
                 pairs.update((int(d), int(k)) for k in passages.kept_owner[lo:hi])
-            rows = []
-            for d, k in sorted(pairs):
-                score, longest = align(passages.sequences[k], ids[begins[d] : begins[d + 1]])
-                rows.append((docs[d], int(passages.ids[k]), score, longest, len(passages.sequences[k])))
+            pairs = sorted(pairs)
+            aligned = align_all([passages.sequences[k] for _, k in pairs], [ids[begins[d] : begins[d + 1]] for d, _ in pairs])
+            rows = [(docs[d], int(passages.ids[k]), int(score), int(longest), len(passages.sequences[k])) for (d, k), score, longest in zip(pairs, *aligned)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, run: int = RUN, block: int = BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, run: int = RUN, block: int = BLOCK, edited: bool = True) -> DataFrame:
     """``(doc_id, item_id, score, longest_run, item_words)`` of each document and passage that share a kept seed.
 
     ``documents`` needs doc_id and text, ``items`` item_id and passage. The
     passages are the query set: they are taken in blocks of ``block``, each
     sent to the workers once, and every document is held against all of them.
-    Every pair with ``run`` equal consecutive words is among the rows; pairs
-    with fewer are scored if they share a seed. Null, blank and short texts
-    share none; repeated rows repeat; empty tables give an empty result.
+    Every pair that shares ``seed`` equal consecutive words is among the rows,
+    whatever else the corpus holds. Without ``edited`` only the pairs with
+    ``run`` equal consecutive words are sure to be, and of those with fewer
+    hardly any is aligned. Null, blank and short texts share none; repeated
+    rows repeat; empty tables give an empty result.
     """
     spark = documents.sparkSession
     docs = spread(documents.select("doc_id", "text").where("text is not null"), "doc_id")
@@ -249,20 +271,22 @@ def leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, run: int = R
     for k in range(blocks):
         part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         passages = Passages([tuple(r) for r in part.collect()], seed, run)
-        counts = docs.mapInArrow(_counter(passages), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        frequency = {r.seed: r.n for r in counts}
-        passages.keep_rarest(frequency, frequency.pop(0, 0))
+        if edited:
+            passages.keep_all()
+        else:
+            counts = docs.mapInArrow(_counter(passages), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+            passages.keep_rarest({r.seed: r.n for r in counts})
         found = docs.mapInArrow(_aligner(passages), schema)
         out = found if blocks == 1 else out.unionByName(found)
     return out
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edited=False)
     return found.where(F.col("longest_run") >= RUN).select("doc_id", "item_id").distinct()
 
 
 def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of which at least a fifth of the passage aligns, with their scores."""
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=EDITED_SEED)
     return found.where(F.col("score") >= 0.2 * MATCH * F.col("item_words")).distinct()

@@ -81,6 +81,31 @@ def test_edited_copies_are_scored(spark):
     assert [(x.doc_id, x.item_id, x.longest_run) for x in r] == [(1, 7, 8)] and r[0].score > 50
 
 
+def test_aligning_in_lots_changes_nothing():
+    rng = np.random.default_rng(2)
+    a = [rng.integers(1, 6, rng.integers(1, 20)) for _ in range(200)]
+    b = [rng.integers(0, 6, n) for n in rng.integers(0, 900, 200)]
+    scores, longest = leaks.align_all(a, b)
+    assert [leaks.align(x, y) for x, y in zip(a, b)] == list(zip(scores, longest))
+
+
+def test_frequent_edited_copies_are_scored(spark):
+    words = passage(40).split()
+    copy = " ".join(w if k % 9 else "changed" for k, w in enumerate(words))
+    other = " ".join(words[1:6])  # makes one seed more frequent than the others
+    docs = [(d, copy if d < 40 else other if d == 40 else passage(40)) for d in range(100)]
+    r = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, passage string")).collect()
+    assert {x.doc_id for x in r if x.score > 50} == set(range(40)) and {x.doc_id for x in r} == set(range(41))
+
+
+def test_scores_of_a_change_in_every_fifth_word(spark, tmp_path):
+    words = passage(40).split()
+    copy = " ".join(w if k % 5 else "changed" for k, w in enumerate(words))
+    spark.createDataFrame([(d, copy if d < 9 else passage(40)) for d in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert {r.doc_id for r in leaks.p6_scores(spark, str(tmp_path)).collect()} == set(range(9))
+
+
 def test_empty(spark):
     none, some = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     ev = spark.createDataFrame([(1, passage())], "item_id long, passage string")
