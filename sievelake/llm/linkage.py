@@ -6,8 +6,8 @@ a table that maps it to its representative. A new batch reads, of the history,
 only the columns and rows of the blocks it touches:
 
 1. findings equal after normalisation form one class with one representative;
-2. representatives are indexed by keys of block and value ends; a new one
-   probes with its rarest keys that cover most of its characters;
+2. new representatives are held against all of their block by the n-grams that
+   they share, a bound that no agreeing pair fails;
 3. candidate pairs are compared field by field and scored with weights that
    expectation-maximization learns from all pairs' comparison patterns, and an
    exact check of the agreeing characters decides;
@@ -21,6 +21,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from ..plans.session import checkpointed, scratch_path, table
 
 #: Share of the characters that two findings' extracts must agree in.
 AGREEMENT = 0.8
-#: Characters of a value's end that make a key, and share of a finding's characters that its probing keys cover.
-END, COVER = 16, 0.7
+#: Characters of an n-gram: no shorter block of characters counts as agreeing.
+GRAM = 3
+#: Representatives of a part of a block, rows compared at once, and most numbers of n-grams.
+TILE, LOT, MAX_SIZE = 4096, 256, 1 << 14
 #: A block's rows are spread over so many buckets' keys.
 SALTS, BUCKETS = 4, 48
 
@@ -79,7 +82,7 @@ def agreement(a: list[str], b: list[str]) -> float:
         pairs = []
         for i, v in enumerate(left):
             for j, w in enumerate(right):
-                n = sum(m.size for m in SequenceMatcher(None, v, w, autojunk=False).get_matching_blocks() if m.size >= 3)
+                n = sum(m.size for m in SequenceMatcher(None, v, w, autojunk=False).get_matching_blocks() if m.size >= GRAM)
                 if 2 * n >= min(len(v), len(w)):
                     pairs.append((-n, i, j))
         taken_left, taken_right = set(), set()
@@ -99,43 +102,74 @@ def _scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("spelled_alike"), pa.array(scores), pa.array(near)], names=["a", "b", "spelled_alike", "agreement", "count_ratio"])
 
 
+def _features(vals: list[str], size: int) -> list[int]:
+    """Numbers below ``size`` of the n-grams of ``vals``, repeated ones told apart; a value too short is one n-gram."""
+    seen = Counter(v[i : i + GRAM] for v in vals for i in range(max(1, len(v) - GRAM + 1)))
+    return [hash((g, k)) % size for g, n in seen.items() for k in range(n)]
+
+
+def _alike(rows: list[tuple[int, int, bool, list[str], int]], apart: bool) -> Iterator[tuple[int, int]]:
+    """Pairs (a, b) of ``rows`` (total, id, fresh, vals, part) that may agree; only those of two parts if ``apart``.
+
+    Of two values that agree, each common block of m >= GRAM characters holds
+    m - GRAM + 1 >= m / GRAM common n-grams. So findings that agree in
+    AGREEMENT share at least that part of it in n-grams. Numbers that clash add
+    to what is counted, so no pair that agrees is left out.
+    """
+    rows.sort(key=lambda r: r[:2])
+    totals, ids = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], np.int64)
+    fresh, part = np.array([r[2] for r in rows], bool), np.array([r[4] for r in rows])
+    size = int(min(MAX_SIZE, max(64, 1 << (8 * int(np.median(totals))).bit_length())))
+    features = [_features(r[3], size) for r in rows]
+
+    def matrix(lo: int, hi: int) -> np.ndarray:
+        m = np.zeros((hi - lo, size), np.float32)
+        for i in range(lo, hi):
+            np.add.at(m[i - lo], features[i], 1)
+        return m
+
+    for lo in range(0, len(rows), LOT):
+        hi = min(lo + LOT, len(rows))
+        left = matrix(lo, hi)
+        # Sorted by total: the longer ones that may agree stand right behind.
+        end = int(np.searchsorted(totals, totals[hi - 1] / AGREEMENT + 1e-6, side="right"))
+        for at in range(lo, end, LOT):
+            to = min(at + LOT, end)
+            shared = left @ (left if at == lo else matrix(at, to)).T
+            longer = totals[None, at:to]
+            ok = (shared >= AGREEMENT / GRAM * longer - 1e-3) & (totals[lo:hi, None] >= AGREEMENT * longer - 1e-6)
+            i, j = np.nonzero(ok)
+            i, j = i + lo, j + at
+            i, j = i[i < j], j[i < j]
+            later = np.where(ids[i] > ids[j], i, j)
+            keep = fresh[later] & ((part[i] != part[j]) if apart else True)
+            yield from zip(np.minimum(ids[i], ids[j])[keep].tolist(), np.maximum(ids[i], ids[j])[keep].tolist())
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of the tiles of (block, i, j, total, finding_id, fresh, vals, part) rows, sorted by tile."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    for (_, i, j), group in groupby(rows, key=lambda r: r[:3]):
+        found = list(_alike([r[3:] for r in group], i != j))
+        for at in range(0, len(found), 10_000):
+            a, b = zip(*found[at : at + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def candidate_pairs(reps: DataFrame, fresh: Column) -> DataFrame:
-    """Pairs (a, b), a < b, of representatives of one block that share a probing key of b, where ``fresh`` holds for b.
+    """Pairs (a, b), a < b, of representatives of one block that may agree, where ``fresh`` holds for b.
 
-    A key's frequency counts all representatives. The probing keys of b are its
-    rarest ones that cover COVER of its characters, those that nothing else has
-    first; so no pair is missed whose common keys hold more than the rest. An
-    edit spoils one key, half a value, and less than a fifth of the characters
-    may differ. Totals must be within AGREEMENT of each other.
+    All pairs of a block whose totals are within AGREEMENT are held against a
+    bound that no agreeing pair fails. A block of over TILE representatives is
+    cut into tiles of parts against parts, each a group of its own; the time
+    grows with the square of a block's representatives.
     """
-    ends = F.transform("vals", lambda v: F.struct(F.array(F.substring(v, 1, END), F.concat(F.lit("\x00"), F.reverse(F.substring(F.reverse(v), 1, END)))).alias("k"), F.length(v).alias("w")))
-    keyed = (
-        reps.where("total > 0")
-        .select("finding_id", "block", "total", fresh.alias("fresh"), F.explode(ends).alias("e"))
-        .select("finding_id", "total", "fresh", "block", F.col("e.w").alias("w"), F.explode("e.k").alias("k"))
-        .groupBy("finding_id", "total", "fresh", F.xxhash64("block", "k").alias("key"))
-        .agg(F.sum("w").alias("w"))
-    )
-    keyed = checkpointed(keyed)
-    frequency = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("fresh").alias("touched")).where("n > 1 and touched")
-    shared = keyed.join(frequency.select("key", "n"), "key")
-    # A finding's keys without a partner count as covered first: they are its rarest.
-    mine = keyed.where("fresh").groupBy("finding_id").agg(F.sum("w").alias("all_w"))
-    held = shared.where("fresh").groupBy("finding_id").agg(F.sort_array(F.collect_list(F.struct("n", "key", "w"))).alias("ks"), F.sum("w").alias("shared_w"))
-    chosen = held.join(mine, "finding_id").select("finding_id", F.explode(_covering()).alias("key"))
-    left = shared.select("key", F.col("finding_id").alias("a"), F.col("total").alias("total_a"))
-    right = chosen.join(keyed.select("finding_id", "total").distinct(), "finding_id").select("key", F.col("finding_id").alias("b"), F.col("total").alias("total_b"))
-    close = F.least("total_a", "total_b") >= AGREEMENT * F.greatest("total_a", "total_b")
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-
-
-def _covering() -> Column:
-    """Of ``ks``, in order of frequency, the keys whose preceding weight is below COVER of all."""
-    start = F.named_struct(F.lit("before"), F.col("all_w").cast("double") - F.col("shared_w"), F.lit("keys"), F.array().cast("array<bigint>"))
-    step = lambda s, k: F.named_struct(
-        F.lit("before"), s["before"] + k["w"], F.lit("keys"), F.when(s["before"] <= COVER * F.col("all_w"), F.array_append(s["keys"], k["key"])).otherwise(s["keys"])
-    )
-    return F.aggregate("ks", start, step, lambda s: s["keys"])
+    held = reps.where("total > 0").select("finding_id", "block", "total", fresh.alias("fresh"), "vals")
+    parts = held.groupBy("block").agg(F.count("*").alias("n"), F.max("fresh").alias("touched")).where("n > 1 and touched").select("block", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    cut = held.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("finding_id"), F.col("parts")).cast("int"))
+    tiled = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiled.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "total", "finding_id", "fresh", "vals", "part")
+    return tiles.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_candidates, "a long, b long")
 
 
 #: Lower edges of the agreement classes of a comparison pattern.

@@ -76,6 +76,33 @@ def test_increments_equal_one_go(spark):
     assert h.add(frame(spark, [])).count() == 0 and h.repeats().count() == before
 
 
+def short_rows(n, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        if rows and rnd.random() < 0.6:
+            v = list(rnd.choice(rows)[4])
+            for k in range(len(v)):
+                for _ in range(rnd.choice([0, 1, 1]) if len(v[k]) < 20 else 3):
+                    at = rnd.randrange(len(v[k]))
+                    v[k] = v[k][:at] + rnd.choice(["#", "", "##"]) + v[k][at + 1 :]
+        else:
+            v = ["".join(rnd.choice("abcdefgh0123") for _ in range(rnd.choice([10, 10, 15, 24, 60]))) for _ in range(rnd.choice([1, 1, 2, 10]))]
+        rows.append((i + 1, i * 3 // n, "t", "p", v))
+    return rows
+
+
+@pytest.mark.parametrize("tile", [4096, 30])
+def test_edits_in_short_values_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(linkage, "TILE", tile)
+    one = [(1, 0, "t", "p", ["abcdefghijklmno"]), (2, 1, "t", "p", ["abcdefgXijklmno"])]
+    ten = [["%010d" % (k * 7919**2 % 10**10) for k in range(10)]]
+    ten.append([v[:4] + "x" + v[5:] if k < 8 else v for k, v in enumerate(ten[0])])
+    rows = one + [(k + 3, k, "t", "q", v) for k, v in enumerate(ten)] + [(i + 10, b, t, p, v) for i, b, t, p, v in short_rows(120, 5)]
+    got = {tuple(r) for r in linkage.replay(frame(spark, rows), 3).select("finding_id_a", "finding_id_b").collect()}
+    assert got == brute(rows) and {(1, 2)} <= got
+
+
 def test_empty(spark):
     assert linkage.replay(frame(spark, [])).count() == 0
 
