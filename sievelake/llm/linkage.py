@@ -1,23 +1,34 @@
 """Deduplicating new batches of findings against all history, incrementally.
 
-Everything that arrived is kept in a table bucketed by block, the block being
-the normalised template and path; what repeats an accepted finding is kept in
-a table that maps it to its representative. A new batch reads, of the history,
-only the columns and rows of the blocks it touches:
-
-1. findings equal after normalisation form one class with one representative;
-2. new representatives are held against all of their block by the n-grams that
-   they share, a bound that no agreeing pair fails;
-3. candidate pairs are compared field by field and scored with weights that
-   expectation-maximization learns from all pairs' comparison patterns, and an
-   exact check of the agreeing characters decides;
-4. in order of arrival a finding is accepted unless it agrees with an accepted
-   one; only mappings of new findings are written.
+The history is a table of all findings that arrived, each with the accepted
+finding that stands for it. Its blocking key is the normalised template and
+path, the block, together with a band of the number of characters: findings
+that agree in four fifths of their characters are of one block and of equal or
+neighbouring bands. A new batch
+
+1. collapses findings equal after normalisation into classes;
+2. probes the persisted keys with its own, and reads of the history only the
+   accepted findings under them;
+3. holds each new class against these and the batch's other classes of the
+   block by the n-grams that they share, a bound that no agreeing pair fails;
+4. scores the pairs left field by field with weights that
+   expectation-maximization learned from all comparisons so far, and takes a
+   finding as a repeat if the weight speaks for it and an exact check of the
+   agreeing characters confirms it;
+5. unites each repeat with the first accepted finding it repeats, and appends
+   the batch with these mappings. Earlier mappings never change.
+
+A manifest per batch names the table's parts, so a history is reopened by its
+path, and a batch that failed half-way leaves nothing behind. Parts of like
+size are merged as they become many, and their buckets grow with them.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
+import math
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -28,16 +39,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import checkpointed, scratch_path, table
+from ..plans.session import names_below, read_text, remove, scratch_path, table, write_text
 
 #: Share of the characters that two findings' extracts must agree in.
 AGREEMENT = 0.8
 #: Characters of an n-gram: no shorter block of characters counts as agreeing.
 GRAM = 3
-#: Representatives of a part of a block, rows compared at once, and most numbers of n-grams.
+#: Classes of a tile, rows compared at once, and most numbers of n-grams.
 TILE, LOT, MAX_SIZE = 4096, 256, 1 << 14
-#: A block's rows are spread over so many buckets' keys.
-SALTS, BUCKETS = 4, 48
+#: Parts of one size of the history that are merged, and rows of a bucket.
+FAN_IN, BUCKET_ROWS = 4, 1 << 16
+#: New findings per task of the comparison.
+TASK_ROWS = 1024
 
 
 def block_columns() -> tuple[Column, Column]:
@@ -53,19 +66,30 @@ def normalised_values() -> Column:
     return F.array_sort(F.filter(F.coalesce(stripped, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != "")))
 
 
+def band(total: Column) -> Column:
+    """Number of a band of totals; totals within AGREEMENT of each other are in equal or neighbouring bands."""
+    return F.floor(F.log(total + 1) / F.lit(math.log(1 / AGREEMENT))).cast("int")
+
+
 def normalise(findings: DataFrame) -> DataFrame:
-    """``(finding_id, block, salted, sig, total, spelled, vals)`` of findings with a template."""
+    """``(finding_id, block, band, key, sig, total, spelled, vals)`` of findings with a template."""
     template, path = block_columns()
-    total = F.aggregate("vals", F.lit(0), lambda n, v: n + F.length(v))
     return (
         findings.where("finding_id is not null and template_id is not null")
         .select("finding_id", F.xxhash64(template, path).alias("block"), F.xxhash64("template_id", "file_path").alias("spelled"), normalised_values().alias("vals"))
         .withColumn("sig", F.xxhash64(F.array_join("vals", "\x00"), F.size("vals")))
-        .withColumn("total", total)
-        .withColumn("salted", F.xxhash64("block", F.pmod("finding_id", F.lit(SALTS))))
+        .withColumn("total", F.aggregate("vals", F.lit(0), lambda n, v: n + F.length(v)))
+        .withColumn("band", band(F.col("total")))
+        .withColumn("key", F.xxhash64("block", "band"))
     )
 
 
+def probes(rows: DataFrame) -> DataFrame:
+    """``(key)``: the distinct keys under which findings may lie that agree with one of ``rows``."""
+    lo, hi = band(F.greatest(F.col("total") * AGREEMENT - 1e-6, F.lit(0.0))), band(F.col("total") / AGREEMENT + 1e-6)
+    return rows.select("block", F.explode(F.sequence(lo, hi)).alias("band")).select(F.xxhash64("block", "band").alias("key")).distinct()
+
+
 def agreement(a: list[str], b: list[str]) -> float:
     """Share of the longer side's characters that agree; equal values first, then the most alike.
 
@@ -94,12 +118,66 @@ def agreement(a: list[str], b: list[str]) -> float:
     return common / size
 
 
-def _scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        a, c = b.column("vals_a").to_pylist(), b.column("vals_b").to_pylist()
-        scores = [agreement(x, y) for x, y in zip(a, c)]
-        near = [min(len(x), len(y)) / max(len(x), len(y), 1) for x, y in zip(a, c)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("spelled_alike"), pa.array(scores), pa.array(near)], names=["a", "b", "spelled_alike", "agreement", "count_ratio"])
+#: Lower edges of the agreement classes of a comparison pattern, and the outcomes of each field.
+_CLASSES = [0.0, 0.3, 0.5, 0.65, AGREEMENT, 0.9, 0.97]
+_SIZES = (len(_CLASSES), 3, 2)
+#: What is known before any comparison: so many pairs of each pattern, which keep the weights of rare outcomes near even.
+PRIOR_PAIRS = 2.0
+
+
+def pattern(a: tuple, b: tuple, agreed: float) -> tuple[int, int, int]:
+    """The comparison pattern of two findings: classes of agreement, of the ratio of their numbers of values, of their spelling."""
+    n, m = len(a[3]), len(b[3])
+    ratio = min(n, m) / max(n, m, 1)
+    counts = 2 if n == m else 1 if ratio >= 0.5 else 0
+    return sum(agreed >= e - 1e-9 for e in _CLASSES[1:]), counts, int(a[2] == b[2])
+
+
+def learn_weights(patterns: Counter, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Match weights (log likelihood ratios) of each field's outcomes, and the log odds of a match before any field.
+
+    ``patterns`` counts the pairs of each comparison pattern. Two-class
+    expectation-maximization under independence of fields, until the weights
+    stay the same; high agreement starts as a match. Few pairs leave the
+    weights near their start.
+    """
+    p = np.array([(i, j, k) for i in range(_SIZES[0]) for j in range(_SIZES[1]) for k in range(_SIZES[2])])
+    n = np.array([patterns.get(tuple(int(v) for v in x), 0) for x in p], float)
+    known = (p[:, 0] >= _CLASSES.index(AGREEMENT)) * 0.98 + 0.01
+    match, weights, odds = known, np.zeros((3, max(_SIZES))), 0.0
+    for _ in range(rounds):
+        before = weights.copy()
+        # The prior pairs keep their start: agreement alone tells them apart.
+        yes, no = n * match + PRIOR_PAIRS * known, n * (1 - match) + PRIOR_PAIRS * (1 - known)
+        odds = math.log(yes.sum() / no.sum())
+        for f, size in enumerate(_SIZES):
+            m, u = np.bincount(p[:, f], yes, minlength=size), np.bincount(p[:, f], no, minlength=size)
+            weights[f, :size] = np.log(m / m.sum()) - np.log(u / u.sum())
+        total = odds + sum(weights[f][p[:, f]] for f in range(3))
+        match = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
+        if np.abs(weights - before).max() < 1e-9:
+            break
+    return weights, odds
+
+
+class Representatives:
+    """Union-find over findings that are united in order of arrival, each with an accepted one.
+
+    Accepted findings stand for themselves. What is kept are 16 bytes for each
+    finding that repeats one, in order of its id.
+    """
+
+    def __init__(self):
+        self.later, self.root = array("q"), array("q")
+
+    def find(self, x: int) -> int:
+        k = bisect_left(self.later, x)
+        return self.root[k] if k < len(self.later) and self.later[k] == x else x
+
+    def unite(self, later: int, earlier: int) -> None:
+        """Puts ``later``, which is above all ids united before, under the representative of ``earlier``."""
+        self.later.append(later)
+        self.root.append(self.find(earlier))
 
 
 def _features(vals: list[str], size: int) -> list[int]:
@@ -108,208 +186,253 @@ def _features(vals: list[str], size: int) -> list[int]:
     return [hash((g, k)) % size for g, n in seen.items() for k in range(n)]
 
 
-def _alike(rows: list[tuple[int, int, bool, list[str], int]], apart: bool) -> Iterator[tuple[int, int]]:
-    """Pairs (a, b) of ``rows`` (total, id, fresh, vals, part) that may agree; only those of two parts if ``apart``.
+def alike(fresh: list[tuple], rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of ``fresh`` its index, and the indexes of the earlier ``rows`` that may agree with it.
 
-    Of two values that agree, each common block of m >= GRAM characters holds
-    m - GRAM + 1 >= m / GRAM common n-grams. So findings that agree in
-    AGREEMENT share at least that part of it in n-grams. Numbers that clash add
-    to what is counted, so no pair that agrees is left out.
+    Rows are (id, total, spelled, vals, ...). Of two values that agree, each
+    common block of m >= GRAM characters holds m - GRAM + 1 >= m / GRAM common
+    n-grams. So findings that agree in AGREEMENT share at least that part of
+    it in n-grams. Numbers that clash add to what is counted, so no pair that
+    agrees is left out.
     """
-    rows.sort(key=lambda r: r[:2])
-    totals, ids = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], np.int64)
-    fresh, part = np.array([r[2] for r in rows], bool), np.array([r[4] for r in rows])
-    size = int(min(MAX_SIZE, max(64, 1 << (8 * int(np.median(totals))).bit_length())))
-    features = [_features(r[3], size) for r in rows]
-
-    def matrix(lo: int, hi: int) -> np.ndarray:
-        m = np.zeros((hi - lo, size), np.float32)
-        for i in range(lo, hi):
-            np.add.at(m[i - lo], features[i], 1)
+    size = int(min(MAX_SIZE, max(64, 1 << (8 * int(np.median([r[1] for r in rows]))).bit_length())))
+
+    def ordered(xs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+        order = np.argsort([x[1] for x in xs], kind="stable")
+        return order, np.array([xs[k][1] for k in order], float), np.array([xs[k][0] for k in order], np.int64), [_features(xs[k][3], size) for k in order]
+
+    def matrix(features: list[list[int]]) -> np.ndarray:
+        m = np.zeros((len(features), size), np.float32)
+        for i, f in enumerate(features):
+            np.add.at(m[i], f, 1)
         return m
 
-    for lo in range(0, len(rows), LOT):
-        hi = min(lo + LOT, len(rows))
-        left = matrix(lo, hi)
-        # Sorted by total: the longer ones that may agree stand right behind.
-        end = int(np.searchsorted(totals, totals[hi - 1] / AGREEMENT + 1e-6, side="right"))
-        for at in range(lo, end, LOT):
-            to = min(at + LOT, end)
-            shared = left @ (left if at == lo else matrix(at, to)).T
-            longer = totals[None, at:to]
-            ok = (shared >= AGREEMENT / GRAM * longer - 1e-3) & (totals[lo:hi, None] >= AGREEMENT * longer - 1e-6)
-            i, j = np.nonzero(ok)
-            i, j = i + lo, j + at
-            i, j = i[i < j], j[i < j]
-            later = np.where(ids[i] > ids[j], i, j)
-            keep = fresh[later] & ((part[i] != part[j]) if apart else True)
-            yield from zip(np.minimum(ids[i], ids[j])[keep].tolist(), np.maximum(ids[i], ids[j])[keep].tolist())
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of the tiles of (block, i, j, total, finding_id, fresh, vals, part) rows, sorted by tile."""
+    left, t_left, id_left, f_left = ordered(fresh)
+    right, t_right, id_right, f_right = ordered(rows)
+    for lo in range(0, len(left), LOT):
+        hi = min(lo + LOT, len(left))
+        mine = matrix(f_left[lo:hi])
+        # Sorted by total: those that may agree stand together.
+        begin, end = np.searchsorted(t_right, [t_left[lo] * AGREEMENT - 1e-6, t_left[hi - 1] / AGREEMENT + 1e-6], side="left")
+        found: list[list[np.ndarray]] = [[] for _ in range(lo, hi)]
+        for at in range(int(begin), int(end), LOT):
+            to = min(at + LOT, int(end))
+            shared = mine @ matrix(f_right[at:to]).T
+            longer, shorter = np.maximum(t_left[lo:hi, None], t_right[None, at:to]), np.minimum(t_left[lo:hi, None], t_right[None, at:to])
+            ok = (shared >= AGREEMENT / GRAM * longer - 1e-3) & (shorter >= AGREEMENT * longer - 1e-6) & (id_right[None, at:to] < id_left[lo:hi, None])
+            for i in np.flatnonzero(ok.any(1)):
+                found[i].append(right[at + np.flatnonzero(ok[i])])
+        for i, parts in enumerate(found):
+            if parts:
+                yield int(left[lo + i]), np.concatenate(parts)
+
+
+_LINKS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("f0", pa.int32()), ("f1", pa.int32()), ("f2", pa.int32()), ("n", pa.int64())])
+_LINKS_DDL = "kind int, block long, a long, b long, f0 int, f1 int, f2 int, n long"
+_REPEAT, _EDGE, _PATTERN = range(3)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _LINKS.types)] if rows else [pa.array([], t) for t in _LINKS.types], schema=_LINKS)
+
+
+def _comparer(weights: np.ndarray, odds: float):
+    """Links of tiles of (block, i, j, finding_id, total, spelled, vals, sig, fresh, part) rows, sorted by tile.
+
+    A tile of a whole block is decided at once, in order of arrival. Tiles of
+    parts of a hot block give pairs that agree; which of them count is decided
+    when all are there. Comparisons are counted by pattern.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter = Counter()
+
+        def linked(a: tuple, b: tuple) -> bool:
+            agreed = 1.0 if a[4] == b[4] else agreement(a[3], b[3])
+            p = pattern(a, b, agreed)
+            counted[p] += 1
+            return odds + weights[0][p[0]] + weights[1][p[1]] + weights[2][p[2]] >= 0 and agreed >= AGREEMENT - 1e-9
+
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple] = []
+        for (block, i, j), group in groupby(rows, key=lambda r: r[:3]):
+            tile = [r[3:] for r in group]
+            fresh = [r for r in tile if r[5]]
+            if len(tile) < 2 or not fresh:
+                continue
+            whole, reps = i < 0, Representatives()
+            for k, near in sorted(alike(fresh, tile), key=lambda x: fresh[x[0]][0]):
+                b = fresh[k]
+                for a in sorted((tile[x] for x in near), key=lambda r: r[0]):
+                    # Two rows of one part meet in that part's own tile.
+                    if i != j and a[6] == b[6] or whole and reps.find(a[0]) != a[0] or not linked(a, b):
+                        continue
+                    if whole:
+                        reps.unite(b[0], a[0])
+                    out.append((_REPEAT if whole else _EDGE, block, a[0], b[0], None, None, None, None))
+                    if whole or not a[5]:
+                        break  # accepted for sure, and the first such
+            if len(out) > 10_000:
+                yield _batch(out)
+                out = []
+        yield _batch(out + [(_PATTERN, None, None, None, *p, n) for p, n in counted.items()])
+
+    return run
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (block, b, a) edges in this order: the findings that repeat an accepted one, with the first such."""
     rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-    for (_, i, j), group in groupby(rows, key=lambda r: r[:3]):
-        found = list(_alike([r[3:] for r in group], i != j))
-        for at in range(0, len(found), 10_000):
-            a, b = zip(*found[at : at + 10_000])
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        reps, out = Representatives(), []
+        for b, edges in groupby(group, key=lambda r: r[1]):
+            a = next((e[2] for e in edges if reps.find(e[2]) == e[2]), None)
+            if a is not None:
+                reps.unite(b, a)
+                out.append((a, b))
+        for at in range(0, len(out), 10_000):
+            a, b = zip(*out[at : at + 10_000])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def candidate_pairs(reps: DataFrame, fresh: Column) -> DataFrame:
-    """Pairs (a, b), a < b, of representatives of one block that may agree, where ``fresh`` holds for b.
+def tiles(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """``rows`` with the tiles they are compared in.
 
-    All pairs of a block whose totals are within AGREEMENT are held against a
-    bound that no agreeing pair fails. A block of over TILE representatives is
-    cut into tiles of parts against parts, each a group of its own; the time
-    grows with the square of a block's representatives.
+    A block of up to ``tile`` rows is one tile, numbered -1. A hot block is cut
+    into parts of its bands, and each part is held against the parts of its own
+    and of the neighbouring bands only, every two in a tile of their own.
     """
-    held = reps.where("total > 0").select("finding_id", "block", "total", fresh.alias("fresh"), "vals")
-    parts = held.groupBy("block").agg(F.count("*").alias("n"), F.max("fresh").alias("touched")).where("n > 1 and touched").select("block", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    cut = held.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("finding_id"), F.col("parts")).cast("int"))
-    tiled = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiled.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "total", "finding_id", "fresh", "vals", "part")
-    return tiles.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_candidates, "a long, b long")
-
-
-#: Lower edges of the agreement classes of a comparison pattern.
-_CLASSES = [0.0, 0.3, 0.5, 0.65, AGREEMENT, 0.9, 0.97]
+    sizes = rows.groupBy("block", "band").agg(F.count("*").alias("n"))
+    hot = (
+        sizes.groupBy("block")
+        .agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / tile).cast("int")))).alias("parts"))  # bands are few: the logarithm of the largest total
+        .where(F.col("n") > tile)
+        .select("block", "parts")
+    )
+    number = lambda band, k: band.cast("long") * (1 << 32) + k
+    of_band = lambda b: F.when(F.element_at("parts", b).isNotNull(), F.transform(F.sequence(F.lit(0), F.element_at("parts", b) - 1), lambda k: number(b, k)))
+    near = F.flatten(F.filter(F.transform(F.sequence(F.col("band") - 1, F.col("band") + 1), of_band), lambda x: x.isNotNull()))
+    cut = rows.join(hot, "block", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(number(F.col("band"), F.pmod(F.xxhash64("finding_id"), F.element_at("parts", F.col("band"))))))
+    cut = cut.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(near)))
+    return cut.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "finding_id", "total", "spelled", "vals", "sig", "fresh", "part")
 
 
-def learn_weights(patterns: list[tuple[int, int, int, int]], rounds: int = 50) -> np.ndarray:
-    """Match weights (log likelihood ratios) of each field's outcomes.
-
-    ``patterns`` are (agreement class, count class, spelling class, number of
-    pairs). Two-class expectation-maximization under independence of fields;
-    high agreement starts as a match. Returns an array fields by outcomes.
-    """
-    sizes = (len(_CLASSES), 3, 2)
-    p = np.array([x[:3] for x in patterns], np.int64).reshape(-1, 3)
-    n = np.array([x[3] for x in patterns], float)
-    match = (p[:, 0] >= _CLASSES.index(AGREEMENT)) * 0.9 + 0.05
-    weights = np.zeros((3, max(sizes)))
-    for _ in range(rounds):
-        odds = np.full(len(n), np.log((n @ match + 1) / (n @ (1 - match) + 1)))
-        for f, size in enumerate(sizes):
-            m = np.bincount(p[:, f], n * match, minlength=size) + 0.5
-            u = np.bincount(p[:, f], n * (1 - match), minlength=size) + 0.5
-            weights[f, :size] = np.log(m / m.sum()) - np.log(u / u.sum())
-            odds += weights[f][p[:, f]]
-        match = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-    return weights
-
-
-def score_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``(a, b, agreement, weight)``: the pairs with their agreement and learned weight."""
-    side = lambda s: reps.select(F.col("finding_id").alias(s), F.col("spelled").alias(f"spelled_{s}"), F.col("vals").alias(f"vals_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("spelled_a") == F.col("spelled_b")).alias("spelled_alike"), "vals_a", "vals_b")
-    compared = checkpointed(both.mapInArrow(_scorer, "a long, b long, spelled_alike boolean, agreement double, count_ratio double"))
-    cls = sum(((F.col("agreement") >= e - 1e-9).cast("int") for e in _CLASSES[1:]), F.lit(0))
-    count_cls = F.when(F.col("count_ratio") == 1, 2).when(F.col("count_ratio") >= 0.5, 1).otherwise(0)
-    fields = [cls.alias("f0"), count_cls.alias("f1"), F.coalesce(F.col("spelled_alike").cast("int"), F.lit(0)).alias("f2")]
-    patterns = [tuple(r) for r in compared.select(*fields).groupBy("f0", "f1", "f2").count().collect()]  # at most 42
-    if not patterns:
-        return compared.select("a", "b", "agreement", F.lit(0.0).alias("weight"))
-    w = learn_weights(patterns)
-    table_of = [F.array(*[F.lit(float(x)) for x in row]) for row in w]
-    weight = sum((F.get(t, f) for t, f in zip(table_of, [cls, count_cls, F.coalesce(F.col("spelled_alike").cast("int"), F.lit(0))])), F.lit(0.0))
-    return compared.select("a", "b", "agreement", weight.alias("weight"))
-
-
-def resolve(edges: DataFrame) -> DataFrame:
-    """``(b, a)``: of the findings with earlier agreeing ones, those that repeat an accepted one, and which.
-
-    ``edges`` (a, b) lead from earlier to later findings. One whose earlier
-    neighbours are all rejected is accepted; one with an accepted earlier
-    neighbour is rejected, and repeats the first such. Each round decides all
-    findings whose earlier neighbours are decided; few rounds suffice, as many
-    as the longest chain of findings that each agree with the one before only.
-    """
-    later = edges.select("b").distinct()
-    decided = edges.select(F.col("a").alias("id")).distinct().join(later, F.col("id") == F.col("b"), "left_anti").select("id", F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("of"))
-    known = checkpointed(decided)
-    open_edges = edges
-    while True:
-        seen = open_edges.join(known.select(F.col("id").alias("a"), "accepted"), "a", "left")
-        state = seen.groupBy("b").agg(F.min(F.when(F.col("accepted"), F.col("a"))).alias("of"), F.bool_and(F.col("accepted").isNotNull()).alias("whole"), F.min(F.when(F.col("accepted").isNull(), F.col("a"))).alias("unknown"))
-        # A rejection is final only if no undecided finding before its representative may be accepted.
-        done = state.where("whole or (of is not null and of < unknown)").select(F.col("b").alias("id"), F.col("of").isNull().alias("accepted"), "of")
-        new = checkpointed(done)
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
-        open_edges = checkpointed(open_edges.join(new.select(F.col("id").alias("b")), "b", "left_anti"))
-        if open_edges.isEmpty():
-            break
-    return known.where("of is not null").select(F.col("id").alias("b"), F.col("of").alias("a"))
+_ROW = "finding_id long, block long, band int, key long, sig long, total int, spelled long, vals array<string>, rep long, step int, bucket int"
 
 
 class History:
-    """All findings that arrived, by block, and the representatives of those that repeat one.
+    """All findings that arrived, and the accepted one that stands for each.
 
-    Its two tables lie in the shared folder (or below ``path``); ``add`` takes
-    one or more new batches at a time, in order of arrival. ``buckets`` should
-    grow with the history, so that a bucket stays a task's size.
+    It lies below ``path``, in the shared folder where none is given, and a new
+    object with that path goes on where the last one ended. One process writes
+    at a time; ``tile`` is the most classes of a block that are compared in one
+    task.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.step, self.buckets = spark, path or scratch_path(spark, "history"), 0, buckets
-        self.name = f"sievelake_history_{uuid.uuid4().hex}"
-
-    def _append(self, findings: DataFrame) -> None:
-        rows = normalise(findings).withColumn("step", F.lit(self.step)).repartition(self.buckets, "salted")
-        writer = rows.write.mode("append").format("parquet").option("compression", "zstd").option("path", f"{self.path}/arrived")
-        writer.partitionBy("step").bucketBy(self.buckets, "salted").saveAsTable(self.name)
+    def __init__(self, spark: SparkSession, path: str | None = None, tile: int = TILE):
+        self.spark, self.path, self.tile = spark, path or scratch_path(spark, "history"), tile
+        manifests = [n for n in names_below(spark, f"{self.path}/manifests") if n.endswith(".json")]
+        known = json.loads(read_text(spark, f"{self.path}/manifests/{manifests[-1]}")) if manifests else {}
+        self.step: int = known.get("step", 0)
+        self.last_id: int | None = known.get("last_id")
+        self.segments: list[dict] = known.get("segments", [])
+        self.replaced: list[str] = known.get("replaced", [])
+        self.patterns = Counter({tuple(p): n for p, n in known.get("patterns", [])})
+
+    def _commit(self, replaced: list[str]) -> None:
+        stale, self.replaced = self.replaced, replaced
+        patterns = [[list(map(int, p)), int(n)] for p, n in sorted(self.patterns.items())]
+        text = json.dumps({"step": self.step, "last_id": self.last_id, "segments": self.segments, "replaced": replaced, "patterns": patterns})
+        write_text(self.spark, f"{self.path}/manifests/{self.step:08d}.json", text)
+        # What the manifest before named last may still be read by whoever got it; what was replaced then is not.
+        remove(self.spark, *[f"{self.path}/segments/{x}" for x in stale])
+
+    def _read(self, segments: list[dict], buckets: list[int] | None = None) -> DataFrame:
+        """Rows of segments, of all or of the given hash buckets only."""
+        out = self.spark.createDataFrame([], _ROW) if not segments else None
+        for s in segments:
+            part = self.spark.read.schema(_ROW).parquet(f"{self.path}/segments/{s['name']}")
+            if buckets is not None and s["buckets"] > 1:
+                part = part.where(F.col("bucket").isin(sorted({b % s["buckets"] for b in buckets})))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _write(self, rows: DataFrame, name: str, level: int, n: int) -> dict:
+        buckets = 1 << max(0, math.ceil(n / BUCKET_ROWS) - 1).bit_length()
+        placed = rows.withColumn("bucket", F.pmod("block", F.lit(buckets)).cast("int")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "key")
+        placed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/segments/{name}")
+        return {"name": name, "level": level, "rows": n, "buckets": buckets}
 
     def repeats(self) -> DataFrame:
         """``(finding_id_a, finding_id_b)``: b repeats the accepted finding a."""
-        if not self.step:
-            return self.spark.createDataFrame([], "finding_id_a long, finding_id_b long")
-        return self.spark.read.schema("finding_id_a long, finding_id_b long").parquet(f"{self.path}/repeats")
+        return self._read(self.segments).where("rep <> finding_id").select(F.col("rep").alias("finding_id_a"), F.col("finding_id").alias("finding_id_b"))
 
     def add(self, findings: DataFrame) -> DataFrame:
-        """Takes new findings in and returns ``(finding_id_a, finding_id_b)`` of those that repeat an accepted one.
+        """Takes one new batch in and returns ``(finding_id_a, finding_id_b)`` of those that repeat an accepted one.
 
         Findings without template are not taken in. Null and empty extracts
-        are alike, null elements count as none, ids must grow from batch to
-        batch, further columns are ignored and an empty batch changes nothing.
+        are alike, null elements count as none, further columns are ignored and
+        an empty batch changes nothing. Ids grow from batch to batch; a batch
+        with an id not above all earlier ones is refused. The returned frame
+        is to be read before the call after the next.
         """
-        before = self.repeats()
-        self._append(findings)
-        now = self.step
-        self.step += 1
-        arrived = self.spark.table(self.name)
-        # The blocks with something new and more than one finding; only their block numbers are shuffled.
-        blocks = arrived.groupBy("block").agg(F.count("*").alias("n"), F.max("step").alias("latest")).where((F.col("n") > 1) & (F.col("latest") == now))
-        touched = blocks.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.xxhash64("block", s.cast("long")))).alias("salted"), "block")
-        rows = arrived.join(touched.select("salted", F.col("block").alias("in_block")), "salted", "left_semi")
-        rows = rows.join(before.select(F.col("finding_id_b").alias("finding_id")), "finding_id", "left_anti") if now else rows
-        rows = checkpointed(rows.select("finding_id", "block", "spelled", "sig", "total", "vals", "step"))
-        classes = rows.groupBy("block", "sig").agg(F.min("finding_id").alias("rep"))
-        reps = checkpointed(rows.join(classes.select(F.col("rep").alias("finding_id")), "finding_id", "left_semi"))
-        pairs = candidate_pairs(reps, F.col("step") == now)
-        edges = checkpointed(score_pairs(pairs, reps).where(F.col("agreement") >= AGREEMENT - 1e-9).select("a", "b"))
-        linked = resolve(edges)
-        copies = rows.where(F.col("step") == now).join(classes, ["block", "sig"]).select("finding_id", "rep")
-        found = (
-            copies.join(linked, F.col("rep") == F.col("b"), "left")
-            .select(F.coalesce("a", "rep").alias("finding_id_a"), F.col("finding_id").alias("finding_id_b"))
-            .where("finding_id_a <> finding_id_b")
-        )
-        found.write.mode("append").parquet(f"{self.path}/repeats/step={now}")
-        return self.spark.read.schema("finding_id_a long, finding_id_b long").parquet(f"{self.path}/repeats/step={now}")
-
-
-def replay(findings: DataFrame, steps: int = 2) -> DataFrame:
-    """All repeats of ``findings``, its batches taken in by ``steps`` calls, each held against what came before."""
-    history = History(findings.sparkSession)
-    last = findings.agg(F.max("batch_no").alias("m")).collect()[0].m or 0
-    edges = [round((last + 1) * k / steps) for k in range(steps + 1)]
-    batch = F.coalesce("batch_no", F.lit(0))
-    for lo, hi in zip(edges, edges[1:]):
-        history.add(findings.where((batch >= lo) & (batch < hi)))
-    return history.repeats()
+        spark, step = self.spark, self.step
+        staged = scratch_path(spark, "batch")
+        normalise(findings).write.parquet(staged)
+        batch = spark.read.parquet(staged)
+        widest = max([s["buckets"] for s in self.segments], default=1)
+        n, first, last, *touched = batch.agg(F.count("*"), F.min("finding_id"), F.max("finding_id"), F.collect_set(F.pmod("block", F.lit(widest)))).collect()[0]
+        if not n or self.last_id is not None and first <= self.last_id:
+            remove(spark, staged)
+            if not n:
+                return self.repeats().limit(0)
+            raise ValueError(f"finding {first} is not above {self.last_id}, the last one taken in")
+        classes = batch.groupBy("block", "sig").agg(F.min("finding_id").alias("first"))
+        columns = ["finding_id", "block", "band", "total", "spelled", "vals", "sig"]
+        fresh = batch.join(classes.select(F.col("first").alias("finding_id")), "finding_id", "left_semi")
+        rows = fresh.select(*columns, F.lit(True).alias("fresh"))
+        if self.segments:
+            accepted = self._read(self.segments, touched[0]).where("rep = finding_id").join(probes(batch), "key", "left_semi")
+            rows = rows.unionByName(accepted.select(*columns, F.lit(False).alias("fresh")))
+        tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_ROWS))
+        compared = tiles(rows, self.tile).repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+        found = scratch_path(spark, "links")
+        compared.mapInArrow(_comparer(*learn_weights(self.patterns)), _LINKS_DDL).write.parquet(found)
+        links = spark.read.schema(_LINKS_DDL).parquet(found)
+        # At most one row per pattern, and one for all edges.
+        told = links.where(F.col("kind") != _REPEAT).groupBy("kind", "f0", "f1", "f2").agg(F.sum("n").alias("n")).collect()
+        united = links.where(F.col("kind") == _REPEAT).select("a", "b")
+        if any(r.kind == _EDGE for r in told):
+            edges = links.where(F.col("kind") == _EDGE).select("block", "b", "a").distinct()
+            united = united.unionByName(edges.repartition(tasks, "block").sortWithinPartitions("block", "b", "a").mapInArrow(_settle, "a long, b long"))
+        stands = classes.join(united, F.col("first") == F.col("b"), "left").select("block", "sig", F.coalesce("a", "first").alias("rep"))
+        mapped = batch.join(stands, ["block", "sig"])
+        kept = F.when(F.col("rep") == F.col("finding_id"), F.col("vals"))  # only accepted ones are compared again
+        mapped = mapped.select("finding_id", "block", "band", "key", "sig", "total", "spelled", kept.alias("vals"), "rep", F.lit(step).alias("step"))
+        segments, replaced = [*self.segments, self._write(mapped, f"{step:08d}-0", 0, n)], []
+        while len(same := [s for s in segments if s["level"] == segments[-1]["level"]]) >= FAN_IN:
+            level = same[0]["level"] + 1
+            merged = self._write(self._read(same).drop("bucket"), f"{step:08d}-{level}", level, sum(s["rows"] for s in same))
+            segments = [s for s in segments if s not in same] + [merged]
+            replaced += [s["name"] for s in same]
+        for r in told:
+            if r.kind == _PATTERN:
+                self.patterns[r.f0, r.f1, r.f2] += r.n
+        self.segments, self.step, self.last_id = segments, step + 1, last
+        self._commit(replaced)
+        remove(spark, staged, found)
+        now = self._read([segments[-1]]).where(F.col("step") == step)
+        return now.where("rep <> finding_id").select(F.col("rep").alias("finding_id_a"), F.col("finding_id").alias("finding_id_b"))
+
+
+def replay(findings: DataFrame, path: str | None = None) -> History:
+    """The history of ``findings``, its batches taken in one by one in order of batch_no, null as the first."""
+    history = History(findings.sparkSession, path)
+    numbers = sorted((r[0] for r in findings.select("batch_no").distinct().collect()), key=lambda b: (b is not None, b))
+    for b in numbers:
+        history.add(findings.where(F.col("batch_no").isNull() if b is None else F.col("batch_no") == b))
+    return history
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay(table(spark, sf_dir, "findings")).select("finding_id_a", "finding_id_b")
+    return replay(table(spark, sf_dir, "findings")).repeats()

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -50,18 +51,57 @@ def random_rows(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, steps", [(1, 1), (2, 3), (3, 6)])
-def test_equals_brute_force(spark, seed, steps):
+def replayed(spark, rows, tile=linkage.TILE, path=None):
+    """All repeats; one new history object per batch if there is a path to reopen it by."""
+    h = linkage.History(spark, path, tile=tile)
+    for b in sorted({r[1] for r in rows}):
+        h.add(frame(spark, [r for r in rows if r[1] == b]))
+        h = linkage.History(spark, path, tile=tile) if path else h
+    return {tuple(r) for r in h.repeats().select("finding_id_a", "finding_id_b").collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(spark, seed):
     rows = random_rows(240, seed)
-    got = {tuple(r) for r in linkage.replay(frame(spark, rows), steps).select("finding_id_a", "finding_id_b").collect()}
+    got = {tuple(r) for r in linkage.replay(frame(spark, rows)).repeats().select("finding_id_a", "finding_id_b").collect()}
     assert got == brute(rows)
 
 
+def test_reopened_history_goes_on(spark, tmp_path):
+    rows = random_rows(240, 3)
+    path = f"file://{tmp_path}/history"
+    assert replayed(spark, rows, path=path) == brute(rows)
+    h = linkage.History(spark, path)
+    assert h.step == 6 and len(h.segments) == 3 and sum(h.patterns.values()) > 0
+    with pytest.raises(ValueError):
+        h.add(frame(spark, rows[:5]))
+    assert linkage.History(spark, path).step == 6
+
+
+def test_failed_batch_leaves_nothing(spark, tmp_path, monkeypatch):
+    rows, path = random_rows(60, 4), f"file://{tmp_path}/history"
+    h = linkage.History(spark, path)
+    h.add(frame(spark, [r for r in rows if r[1] < 3]))
+    monkeypatch.setattr(linkage, "write_text", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        h.add(frame(spark, [r for r in rows if r[1] >= 3]))
+    monkeypatch.undo()
+    h = linkage.History(spark, path)
+    h.add(frame(spark, [r for r in rows if r[1] >= 3]))
+    assert {tuple(r) for r in h.repeats().collect()} == brute(rows)
+
+
+def test_buckets_and_merged_parts(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BUCKET_ROWS", 20)
+    rows = random_rows(240, 5)
+    assert replayed(spark, rows) == brute(rows)
+
+
 def test_chain_of_near_copies(spark):
     base = "abcdefghijklmnopqrstuvwxyz0123456789ABCD"
     values = [base[: 40 - 5 * k] + "#" * (5 * k) for k in range(5)]
     rows = [(k + 1, k, "t", "p", [v, "shared-value-xyz"]) for k, v in enumerate(values)]
-    got = {tuple(r) for r in linkage.replay(frame(spark, rows), 3).select("finding_id_a", "finding_id_b").collect()}
+    got = replayed(spark, rows)
     assert got == brute(rows) and got
 
 
@@ -92,19 +132,19 @@ def short_rows(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("tile", [4096, 30])
-def test_edits_in_short_values_equal_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(linkage, "TILE", tile)
+@pytest.mark.parametrize("tile", [4096, 10])
+def test_edits_in_short_values_and_hot_blocks_equal_brute_force(spark, tile):
     one = [(1, 0, "t", "p", ["abcdefghijklmno"]), (2, 1, "t", "p", ["abcdefgXijklmno"])]
     ten = [["%010d" % (k * 7919**2 % 10**10) for k in range(10)]]
     ten.append([v[:4] + "x" + v[5:] if k < 8 else v for k, v in enumerate(ten[0])])
     rows = one + [(k + 3, k, "t", "q", v) for k, v in enumerate(ten)] + [(i + 10, b, t, p, v) for i, b, t, p, v in short_rows(120, 5)]
-    got = {tuple(r) for r in linkage.replay(frame(spark, rows), 3).select("finding_id_a", "finding_id_b").collect()}
+    rows = [(i, min(k * 3 // len(rows), 2), t, p, v) for k, (i, _, t, p, v) in enumerate(rows)]
+    got = replayed(spark, rows, tile)
     assert got == brute(rows) and {(1, 2)} <= got
 
 
 def test_empty(spark):
-    assert linkage.replay(frame(spark, [])).count() == 0
+    assert linkage.replay(frame(spark, [])).repeats().count() == 0
 
 
 def test_agreement():
@@ -114,6 +154,16 @@ def test_agreement():
     assert linkage.agreement(["a" * 8, "b" * 2], ["a" * 8]) == 0.8
 
 
-def test_weights_favour_agreement():
-    w = linkage.learn_weights([(6, 2, 1, 80), (4, 1, 0, 20), (0, 0, 0, 300), (1, 1, 1, 100)])
-    assert w[0, 6] > 0 > w[0, 0]
+def test_weights_favour_agreement_and_are_learned():
+    seen = Counter({(6, 2, 1): 80, (4, 1, 0): 20, (0, 0, 0): 300, (1, 1, 1): 100})
+    w, odds = linkage.learn_weights(seen)
+    assert w[0, 6] > 0 > w[0, 0] and odds < 0
+    alone, _ = linkage.learn_weights(Counter())
+    assert alone[0, 6] > 0 > alone[0, 0] and abs(alone[2, 1]) < 1e-9 < abs(w[2, 1])
+
+
+def test_representatives():
+    r = linkage.Representatives()
+    r.unite(5, 2)
+    r.unite(9, 5)
+    assert [r.find(x) for x in (2, 5, 9, 7)] == [2, 2, 2, 7]
