@@ -119,7 +119,7 @@ def agreement(a: list[str], b: list[str]) -> float:
 
 
 #: Lower edges of the agreement classes of a comparison pattern, and the outcomes of each field.
-_CLASSES = [0.0, 0.3, 0.5, 0.65, AGREEMENT, 0.9, 0.97]
+_CLASSES = [0.0, 0.3, 0.5, 0.65, AGREEMENT]
 _SIZES = (len(_CLASSES), 3, 2)
 #: What is known before any comparison: so many pairs of each pattern, which keep the weights of rare outcomes near even.
 PRIOR_PAIRS = 2.0
@@ -377,26 +377,26 @@ class History:
         is to be read before the call after the next.
         """
         spark, step = self.spark, self.step
-        staged = scratch_path(spark, "batch")
-        normalise(findings).write.parquet(staged)
+        staged, found = scratch_path(spark, "batch"), scratch_path(spark, "links")
+        rows = normalise(findings)
+        classes = rows.groupBy("block", "sig").agg(F.min("finding_id").alias("first"))
+        rows.join(classes, ["block", "sig"]).write.parquet(staged)
         batch = spark.read.parquet(staged)
         widest = max([s["buckets"] for s in self.segments], default=1)
-        n, first, last, *touched = batch.agg(F.count("*"), F.min("finding_id"), F.max("finding_id"), F.collect_set(F.pmod("block", F.lit(widest)))).collect()[0]
+        n, first, last, touched = batch.agg(F.count("*"), F.min("finding_id"), F.max("finding_id"), F.collect_set(F.pmod("block", F.lit(widest)))).collect()[0]
         if not n or self.last_id is not None and first <= self.last_id:
             remove(spark, staged)
             if not n:
                 return self.repeats().limit(0)
             raise ValueError(f"finding {first} is not above {self.last_id}, the last one taken in")
-        classes = batch.groupBy("block", "sig").agg(F.min("finding_id").alias("first"))
         columns = ["finding_id", "block", "band", "total", "spelled", "vals", "sig"]
-        fresh = batch.join(classes.select(F.col("first").alias("finding_id")), "finding_id", "left_semi")
-        rows = fresh.select(*columns, F.lit(True).alias("fresh"))
+        fresh = batch.where("finding_id = first")
+        held = fresh.select(*columns, F.lit(True).alias("fresh"))
         if self.segments:
-            accepted = self._read(self.segments, touched[0]).where("rep = finding_id").join(probes(batch), "key", "left_semi")
-            rows = rows.unionByName(accepted.select(*columns, F.lit(False).alias("fresh")))
+            accepted = self._read(self.segments, touched).where("rep = finding_id").join(probes(fresh), "key", "left_semi")
+            held = held.unionByName(accepted.select(*columns, F.lit(False).alias("fresh")))
         tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_ROWS))
-        compared = tiles(rows, self.tile).repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-        found = scratch_path(spark, "links")
+        compared = tiles(held, self.tile).repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j")
         compared.mapInArrow(_comparer(*learn_weights(self.patterns)), _LINKS_DDL).write.parquet(found)
         links = spark.read.schema(_LINKS_DDL).parquet(found)
         # At most one row per pattern, and one for all edges.
@@ -405,8 +405,7 @@ class History:
         if any(r.kind == _EDGE for r in told):
             edges = links.where(F.col("kind") == _EDGE).select("block", "b", "a").distinct()
             united = united.unionByName(edges.repartition(tasks, "block").sortWithinPartitions("block", "b", "a").mapInArrow(_settle, "a long, b long"))
-        stands = classes.join(united, F.col("first") == F.col("b"), "left").select("block", "sig", F.coalesce("a", "first").alias("rep"))
-        mapped = batch.join(stands, ["block", "sig"])
+        mapped = batch.join(united, F.col("first") == F.col("b"), "left").withColumn("rep", F.coalesce("a", "first"))
         kept = F.when(F.col("rep") == F.col("finding_id"), F.col("vals"))  # only accepted ones are compared again
         mapped = mapped.select("finding_id", "block", "band", "key", "sig", "total", "spelled", kept.alias("vals"), "rep", F.lit(step).alias("step"))
         segments, replaced = [*self.segments, self._write(mapped, f"{step:08d}-0", 0, n)], []
