@@ -11,6 +11,9 @@ VOCABULARIES = os.environ.get("SIEVELAKE_VOCABULARIES", "/opt/tokenizers")
 BYTE_BPE = f"{VOCABULARIES}/byte_bpe_50k.tiktoken"
 MULTILINGUAL = f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken"
 
+#: Characters encoded at once where only the number of subwords counts.
+STRETCH = 4096
+
 #: Fixed value: the public pre-tokenization pattern of byte-level BPE.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -26,5 +29,9 @@ def encoder(path: str):
 
 
 def chars_per_subword(text: str, path: str) -> float:
-    """Mean characters per subword: about 4 for words, below 2.5 for random strings."""
-    return len(text) / max(1, len(encoder(path).encode_ordinary(text)))
+    """Mean characters per subword: about 4 for words, below 2.5 for random strings.
+
+    The text is taken in stretches, so that the time stays in proportion to it.
+    """
+    encode = encoder(path).encode_ordinary
+    return len(text) / max(1, sum(len(encode(text[at : at + STRETCH])) for at in range(0, len(text), STRETCH)))
