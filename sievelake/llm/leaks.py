@@ -1,11 +1,17 @@
 """Evaluation passages leaking into training documents.
 
-Texts become sequences of the words that occur in any passage; every other
-word is a hole. Word n-grams of the passages are the seeds. Documents are joined
-to passages by seeds, and each candidate pair is aligned by Smith-Waterman,
-which scores edited copies, and gives the longest run of equal words. Where
-only long runs are asked for, a pass before counts the documents each seed
-occurs in, and of every window of that many words only the rarest seed is kept.
+All items are looked for in one pass over the documents. Texts become
+sequences of word numbers; n-grams of words are the seeds. A bitmap of all
+items' seeds, of bounded size, tells which stretches of which documents may
+hold some; only these go on, as numbers, and are joined to the items by seeds
+on the executors. Where only long runs are asked for, of every window of that
+many words only the seed found in the fewest stretches is joined. Each pair is
+aligned by Smith-Waterman, which scores edited copies, and gives the longest
+run of equal words.
+
+A word divided at a line end has two readings, joined and as its parts. Seeds
+are taken from both, and a pair is aligned with the reading that its item
+knows, so a pair's result depends on its two texts only.
 """
 
 from __future__ import annotations
@@ -13,13 +19,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import spread, table
+from ..plans.session import checkpointed, spread, table
 from .batches import slices
 
 #: Words of a seed, and equal consecutive words that make a leak.
@@ -28,8 +38,10 @@ SEED, RUN = 5, 12
 EDITED_SEED = 4
 #: Scores of a matrix row that are computed at once.
 LOT = 1 << 16
-#: Passages of a block: the passages of one block are held by every worker.
-BLOCK = 20_000
+#: Words of a document that are aligned at once, besides what may belong to an alignment on both sides.
+STRETCH = 512
+#: Most bits of the bitmap of seeds: 16 MB. What it lets through too many, the join drops.
+FILTER_BITS = 27
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 # Letters that have no canonical decomposition, by their plain spelling.
@@ -39,51 +51,36 @@ _ACCENTS = re.compile("[\u0300-\u036f]+")
 _HIDDEN = re.compile("[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
 _SOFT = "\u00ad"
 _BRACKETS = re.compile(r"\([^()\x1e]*\)|\[[^\[\]\x1e]*\]")
-_DIVISION = re.compile("[-\u2010\u2011\u00ad]+[ \t]*(?:\r\n|\n|\r|\u2028|\u2029)[ \t]*")
-_WORD = re.compile(r"[^\W_]+|\x1e")
-_BEFORE, _AFTER = re.compile(r"[^\W_]+\Z"), re.compile(r"[^\W_]+")
-#: Separates the texts that are normalised together.
-_END = "\x1e"
+_DIVISION = re.compile("(?<=[^\\W_])[-\u2010\u2011\u00ad]+[ \t]*(?:\r\n|\n|\r|\u2028|\u2029)[ \t]*(?=[^\\W_])")
+#: Separates the texts that are normalised together, and the parts of a divided word.
+_STOP, _JOINT = "\x1e", "\x1f"
+_OWN = str.maketrans({_STOP: " ", _JOINT: " "})
+_WORD = re.compile(r"[^\W_]+(?:\x1f[^\W_]+)*|\x1e")
 
 
-def plain(text: str) -> str:
-    """``text`` in lower case without accents."""
-    if text.isascii():
-        return text.lower()
-    return _SPELLED.sub(lambda m: _PLAIN[m[0]], _ACCENTS.sub("", unicodedata.normalize("NFKD", text.casefold())))
-
-
-def _comparable(text: str, known: set[str] | dict[str, int] | None) -> str:
-    """Lower case, accents, hidden characters, interruptions and divisions resolved."""
+def _comparable(text: str) -> str:
+    """Lower case, accents, hidden characters and interruptions resolved, divisions marked."""
     ascii_only = text.isascii()
     if not ascii_only:
         text = _HIDDEN.sub("", text)
-    for _ in range(8):  # brackets may be nested
+    n = 1
+    while n:  # brackets may be nested
         text, n = _BRACKETS.subn(" ", text)
-        if not n:
-            break
-
-    def join(m: re.Match) -> str:
-        before, after = _BEFORE.search(m.string, max(0, m.start() - 60), m.start()), _AFTER.match(m.string, m.end())
-        if not before or not after:
-            return " "
-        x, y = plain(before[0]), plain(after[0])
-        return " " if known is not None and x + y not in known and x in known and y in known else ""
+    text = _DIVISION.sub(_JOINT, text)
+    if ascii_only:
+        return text.lower()
+    return _SPELLED.sub(lambda m: _PLAIN[m[0]], _ACCENTS.sub("", unicodedata.normalize("NFKD", text.casefold()).replace(_SOFT, "")))
 
-    text = _DIVISION.sub(join, text)
-    if not ascii_only:
-        text = _SPELLED.sub(lambda m: _PLAIN[m[0]], _ACCENTS.sub("", unicodedata.normalize("NFKD", text.casefold()).replace(_SOFT, "")))
-        return text
-    return text.lower()
 
+def words(text: str | None) -> list[str]:
+    """The comparable words of a text, divided ones joined; null and blank texts have none."""
+    return [w.replace(_JOINT, "") for w in _WORD.findall(_comparable((text or "").translate(_OWN)))]
 
-def words(text: str | None, known: set[str] | dict[str, int] | None = None) -> list[str]:
-    """The comparable words of a text; null and blank texts have none.
 
-    A word divided at a line end is joined, except where the joined word isn't
-    ``known`` but both parts are: those are two words with a hyphen between.
-    """
-    return _WORD.findall(_comparable((text or "").replace(_END, " "), known))
+@lru_cache(maxsize=1 << 18)
+def number(word: str) -> int:
+    """A number of 63 bits for a word, the same everywhere, never 0."""
+    return (int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1) | 1
 
 
 def align_all(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,162 +125,239 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(scores[0]), int(longest[0])
 
 
-class Passages:
-    """The passages of one block, their vocabulary and their seeds."""
-
-    def __init__(self, items: list[tuple[int, str | None]], seed: int = SEED, run: int = RUN):
-        self.seed, self.run = seed, run
-        texts = [(i, words(p)) for i, p in items]
-        self.ids = np.array([i for i, _ in texts], np.int64)
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in texts for w in ws}), 1)}
-        self.numbers = _Numbers(self.vocabulary | {_END: -1})
-        self.sequences = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in texts]
-        grams, owners, places = [], [], []
-        for k, s in enumerate(self.sequences):
-            g = self.grams(s)
-            grams.append(g)
-            owners.append(np.full(len(g), k))
-            places.append(np.arange(len(g)))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        self.gram, self.owner, self.place = cat(grams), cat(owners), cat(places)
-        self.seeds = np.unique(self.gram[self.gram != 0])
-
-    def grams(self, s: np.ndarray) -> np.ndarray:
-        """A hash of each n-gram of known words; 0 where one is unknown or too few are left."""
-        n = len(s) - self.seed + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        h, whole = np.zeros(n, np.uint64), np.ones(n, bool)
-        for j in range(self.seed):
-            part = s[j : j + n]
-            whole &= part > 0
-            h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out = h.view(np.int64).copy()
-        out[~whole] = 0
-        return out
-
-    def keep_all(self) -> None:
-        """Keep every seed, so a pair that shares any is aligned, however often the seed occurs."""
-        self._keep(self.gram != 0)
-
-    def keep_rarest(self, frequency: dict[int, int]) -> None:
-        """Of each window of ``run`` words that may stand somewhere keep the rarest seed, so none is lost.
-
-        A window with a seed that occurs nowhere stands nowhere as a whole.
-        """
-        df = np.array([frequency.get(int(g), 0) for g in self.gram], np.int64)
-        kept = np.zeros(len(self.gram), bool)
-        span = max(1, self.run - self.seed + 1)
-        for k in range(len(self.ids)):
-            at = np.flatnonzero(self.owner == k)
-            if len(at):
-                windows = np.lib.stride_tricks.sliding_window_view(df[at], min(span, len(at)))
-                kept[at[(np.arange(len(windows)) + windows.argmin(axis=1))[windows.min(axis=1) > 0]]] = True
-        self._keep(kept)
-
-    def _keep(self, kept: np.ndarray) -> None:
-        self.kept_gram, self.kept_owner = self.gram[kept], self.owner[kept]
-        order = np.argsort(self.kept_gram, kind="stable")
-        self.kept_gram, self.kept_owner = self.kept_gram[order], self.kept_owner[order]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All words of ``texts`` as numbers, 0 for unknown ones, and where each text begins."""
-        if not texts:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        joined = _END.join([(t or "").replace(_END, " ") for t in texts]) + _END
-        tokens = _WORD.findall(_comparable(joined, self.vocabulary))
-        ids = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
-        ends = np.flatnonzero(ids < 0)
-        ids[ends] = 0
-        return ids, np.concatenate([[0], ends + 1])
+def grams(s: np.ndarray, n: int) -> np.ndarray:
+    """A number of 63 bits for each run of ``n`` words; 0 where one is unknown or too few are left."""
+    m = len(s) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    h, whole = np.zeros(m, np.uint64), np.ones(m, bool)
+    for j in range(n):
+        part = s[j : j + m]
+        whole &= part > 0
+        h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    out = (h >> np.uint64(1)).astype(np.int64) | 1
+    out[~whole] = 0
+    return out
 
 
 class _Numbers(dict):
-    """Word numbers; 0 for words of no passage, -1 for the end of a text."""
+    """Numbers of the words of any item; 0 for other words, -1 for the end of a text."""
 
     def __missing__(self, word: str) -> int:
         return 0
 
 
-def _counter(passages: Passages):
+class Encoder:
+    """Texts as numbers of the items' words."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.numbers = _Numbers({w: number(w) for w in vocabulary} | {_STOP: -1})
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+        """For each text its words, divided ones as their parts, and (place, parts, number if joined) of the divided ones."""
+        text = _comparable("".join((t or "").translate(_OWN) + _STOP for t in texts))
+        tokens = _WORD.findall(text)
+        ids = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+        split = [i for i, t in enumerate(tokens) if _JOINT in t] if _JOINT in text else []
+        begin = k = 0
+        for end in np.flatnonzero(ids < 0).tolist():
+            at, begin = begin, end + 1
+            out, divided, n = [], [], 0
+            while k < len(split) and split[k] < end:
+                parts = tokens[split[k]].split(_JOINT)
+                out += [ids[at : split[k]], np.array([self.numbers[x] for x in parts], np.int64)]
+                n += split[k] - at
+                divided.append((n, len(parts), self.numbers["".join(parts)]))
+                n += len(parts)
+                at = split[k] + 1
+                k += 1
+            yield np.concatenate([*out, ids[at:end]]) if out else ids[at:end], divided
+
+
+def reading(ids: np.ndarray, divided: list[tuple[int, int, int]], joins) -> tuple[np.ndarray, np.ndarray]:
+    """A reading of a text and the places of its words: ``joins`` says of each divided word whether it is joined."""
+    out, places, at = [], [], 0
+    for k, (place, n, whole) in enumerate(divided):
+        if joins(k, place, n, whole):
+            out += [ids[at:place], [whole]]
+            places += [np.arange(at, place), [place]]
+            at = place + n
+    out.append(ids[at:])
+    places.append(np.arange(at, len(ids)))
+    return np.concatenate(out).astype(np.int64), np.concatenate(places).astype(np.int64)
+
+
+def readings(ids: np.ndarray, divided: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Readings that between them hold every reading of any two neighbouring divided words."""
+    plain = ids, np.arange(len(ids))
+    if not divided:
+        return [plain]
+    out = [plain, reading(ids, divided, lambda *_: True)]
+    if len(divided) > 1:
+        out += [reading(ids, divided, lambda k, *_, odd=odd: k % 2 == odd) for odd in (0, 1)]
+    return out
+
+
+def seeds_of(items: DataFrame, seed: int) -> DataFrame:
+    """``(item_id, place, seed)`` of the items' n-grams."""
+    schema = pa.schema([("item_id", pa.int64()), ("place", pa.int32()), ("seed", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(passages.seeds), np.int64)
-        for b in slices(batches, 1):
-            ids, begins = passages.encode(b.column(1).to_pylist())
-            g = passages.grams(ids)
-            at = np.flatnonzero(g)
-            if not len(at) or not len(total):
-                continue
-            slot = np.minimum(np.searchsorted(passages.seeds, g[at]), len(total) - 1)
-            hit = passages.seeds[slot] == g[at]
-            doc = np.searchsorted(begins, at[hit], side="right")
-            pairs = np.unique(np.stack([doc, slot[hit]]), axis=1)
-            np.add.at(total, pairs[1], 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(passages.seeds[seen]), pa.array(total[seen])], names=["seed", "n"])
+        for b in batches:
+            for item, passage in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                g = grams(np.array([number(w) for w in words(passage)], np.int64), seed)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(g), pa.int64()), pa.array(range(len(g)), pa.int32()), pa.array(g)], schema=schema)
 
-    return run
+    return items.mapInArrow(run, "item_id long, place int, seed long")
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """``(item_id, spelled, numbers)`` of the items' words in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [words(p) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.list_(pa.string())), pa.array([[number(w) for w in t] for t in texts], pa.list_(pa.int64()))], names=["item_id", "spelled", "numbers"])
+
+    return items.mapInArrow(run, "item_id long, spelled array<string>, numbers array<long>")
+
+
+def bitmap(seeds: DataFrame) -> np.ndarray:
+    """One flag per remainder of the seeds by the bitmap's size, built by the executors in buckets of 4 KB."""
+    n = seeds.select("seed").distinct().count()
+    bits = 1 << min(FILTER_BITS, max(15, (16 * n).bit_length()))
+    at = F.pmod("seed", F.lit(bits)) + 1  # buckets begin with 1
+    rows = seeds.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("flags")).collect()
+    out = np.zeros(bits >> 3, np.uint8)
+    for r in rows:
+        out[(r.bucket - 1) << 12 : r.bucket << 12] = np.frombuffer(bytes(r.flags), np.uint8)
+    return out
 
 
-def _aligner(passages: Passages):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int32()), ("longest_run", pa.int32()), ("item_words", pa.int32())])
+def _finder(vocabulary: list[str], flags: np.ndarray, seed: int, margin: int):
+    """Stretches of (doc_id, text) rows that hold a seed of the bitmap."""
+    joints = pa.list_(pa.struct([("place", pa.int32()), ("parts", pa.int32()), ("whole", pa.int64())]))
+    schema = pa.schema([("row", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("joints", joints), ("seeds", pa.list_(pa.int64()))])
+    mask = np.int64(len(flags) * 8 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary)
+        row = TaskContext.get().partitionId() << 36
+        stretch = row
         for b in slices(batches, 1):
-            docs = b.column(0).to_pylist()
-            ids, begins = passages.encode(b.column(1).to_pylist())
-            g = passages.grams(ids)
-            at = np.flatnonzero(g)
-            left = np.searchsorted(passages.kept_gram, g[at])
-            right = np.searchsorted(passages.kept_gram, g[at], side="right")
-            hit = right > left
-            pairs = set()
-            for d, lo, hi in zip(np.searchsorted(begins, at[hit], side="right") - 1, left[hit], right[hit]):
-                pairs.update((int(d), int(k)) for k in passages.kept_owner[lo:hi])
-            pairs = sorted(pairs)
-            aligned = align_all([passages.sequences[k] for _, k in pairs], [ids[begins[d] : begins[d + 1]] for d, _ in pairs])
-            rows = [(docs[d], int(passages.ids[k]), int(score), int(longest), len(passages.sequences[k])) for (d, k), score, longest in zip(pairs, *aligned)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+            out = []
+            texts = list(encoder.encode(b.column(1).to_pylist()))
+            # The plain readings of all texts are tested at once.
+            begins = np.cumsum([0] + [len(ids) + 1 for ids, _ in texts])
+            joined = np.zeros(begins[-1], np.int64)
+            for s, (ids, _) in zip(begins, texts):
+                joined[s : s + len(ids)] = ids
+            g = grams(joined, seed)
+            low = g & mask
+            at = np.flatnonzero((g != 0) & (flags[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)) if len(g) else np.zeros(0, np.int64)
+            owner = np.searchsorted(begins, at, side="right") - 1
+            first = np.searchsorted(owner, np.arange(len(texts) + 1))
+            for k, (doc, (ids, divided)) in enumerate(zip(b.column(0).to_pylist(), texts)):
+                row += 1
+                places, found = at[first[k] : first[k + 1]] - begins[k], g[at[first[k] : first[k + 1]]]
+                for other, where in readings(ids, divided)[1:]:
+                    h = grams(other, seed)
+                    low = h & mask
+                    hit = np.flatnonzero((h != 0) & (flags[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool))
+                    places, found = np.concatenate([places, where[hit]]), np.concatenate([found, h[hit]])
+                part = places // STRETCH
+                for p in np.unique(part):
+                    lo, hi = max(0, int(p) * STRETCH - margin), (int(p) + 1) * STRETCH + margin
+                    stretch += 1
+                    near = [(x - lo, n, whole) for x, n, whole in divided if lo <= x and x + n <= hi]
+                    out.append((row, stretch, doc, ids[lo:hi], near, np.unique(found[part == p])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, run: int = RUN, block: int = BLOCK, edited: bool = True) -> DataFrame:
-    """``(doc_id, item_id, score, longest_run, item_words)`` of each document and passage that share a kept seed.
+def _rarest(run: int, seed: int):
+    """Of each window of ``run`` words of an item the seed that the fewest stretches hold.
 
-    ``documents`` needs doc_id and text, ``items`` item_id and passage. The
-    passages are the query set: they are taken in blocks of ``block``, each
-    sent to the workers once, and every document is held against all of them.
-    Every pair that shares ``seed`` equal consecutive words is among the rows,
-    whatever else the corpus holds. Without ``edited`` only the pairs with
+    A window with a seed that occurs nowhere stands nowhere as a whole.
+    """
+    span = max(1, run - seed + 1)
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        n = pdf["n"].fillna(0).to_numpy(np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(n, min(span, len(n)))
+        at = np.unique((np.arange(len(windows)) + windows.argmin(axis=1))[windows.min(axis=1) > 0])
+        return pdf.iloc[at][["item_id", "seed"]].drop_duplicates()
+
+    return keep
+
+
+def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Alignments of (row, doc_id, item_id, ids, joints, numbers) pairs."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int32()), ("longest_run", pa.int32()), ("item_words", pa.int32())])
+    for b in batches:
+        left, right = [], []
+        for ids, joints, numbers in zip(b.column(3), b.column(4).to_pylist(), b.column(5)):
+            ids, numbers = ids.values.to_numpy(), numbers.values.to_numpy()
+            known = np.unique(numbers)
+            if joints:
+                mine = set(known.tolist())
+                divided = [(j["place"], j["parts"], j["whole"]) for j in joints]
+                ids, _ = reading(ids, divided, lambda k, at, n, whole, ids=ids, mine=mine: whole in mine or not all(int(x) in mine for x in ids[at : at + n]))
+            left.append(np.searchsorted(known, numbers) + 1)
+            slot = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+            right.append(np.where(known[slot] == ids, slot + 1, 0))
+        scores, longest = align_all(left, right)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(scores, pa.int32()), pa.array(longest, pa.int32()), pa.array([len(x) for x in left], pa.int32())], schema=schema)
+
+
+def leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, run: int = RUN, edited: bool = True) -> DataFrame:
+    """``(doc_id, item_id, score, longest_run, item_words)`` of each document and passage that share a seed.
+
+    ``documents`` needs doc_id and text, ``items`` item_id and passage. Every
+    pair that shares ``seed`` equal consecutive words is among the rows,
+    whatever else the two tables hold. Without ``edited`` only the pairs with
     ``run`` equal consecutive words are sure to be, and of those with fewer
-    hardly any is aligned. Null, blank and short texts share none; repeated
-    rows repeat; empty tables give an empty result.
+    hardly any is aligned. The score is that of the best alignment within
+    STRETCH words and three passages' lengths around a seed, which holds all
+    that a seed's own alignment can reach. Null, blank and short texts share
+    none; repeated rows repeat; empty tables give an empty result.
+
+    What reaches the driver are the items' distinct words and the bitmap.
     """
     spark = documents.sparkSession
-    docs = spread(documents.select("doc_id", "text").where("text is not null"), "doc_id")
     schema = "doc_id long, item_id long, score int, longest_run int, item_words int"
-    out = spark.createDataFrame([], schema)
-    numbered = items.select("item_id", "passage").where("item_id is not null and passage is not null").dropDuplicates()
-    n = numbered.count()
-    blocks = max(1, -(-n // block))
-    for k in range(blocks):
-        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        passages = Passages([tuple(r) for r in part.collect()], seed, run)
-        if edited:
-            passages.keep_all()
-        else:
-            counts = docs.mapInArrow(_counter(passages), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-            passages.keep_rarest({r.seed: r.n for r in counts})
-        found = docs.mapInArrow(_aligner(passages), schema)
-        out = found if blocks == 1 else out.unionByName(found)
-    return out
+    asked = items.select("item_id", "passage").where("item_id is not null and passage is not null").dropDuplicates()
+    told = checkpointed(item_words(asked))
+    vocabulary = [r[0] for r in told.select(F.explode("spelled")).distinct().collect()]
+    if not vocabulary:
+        return spark.createDataFrame([], schema)
+    longest = told.agg(F.max(F.size("numbers"))).collect()[0][0]
+    seeds = checkpointed(seeds_of(asked, seed).where("seed <> 0"))
+    docs = spread(documents.select("doc_id", "text").where("text is not null"), "doc_id")
+    ddl = "row long, stretch long, doc_id long, ids array<long>, joints array<struct<place:int,parts:int,whole:long>>, seeds array<long>"
+    hits = checkpointed(docs.mapInArrow(_finder(vocabulary, bitmap(seeds), seed, 3 * longest + seed), ddl))
+    held = hits.select("stretch", F.explode("seeds").alias("seed"))
+    if edited:
+        kept = seeds.select("item_id", "seed").distinct()
+    else:
+        counts = held.groupBy("seed").agg(F.count("*").alias("n"))
+        kept = seeds.join(counts, "seed", "left").groupBy("item_id").applyInPandas(_rarest(run, seed), "item_id long, seed long")
+    pairs = held.join(kept, "seed").select("stretch", "item_id").distinct()
+    texts = pairs.join(hits.select("row", "stretch", "doc_id", "ids", "joints"), "stretch").join(told.select("item_id", "numbers"), "item_id")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = texts.select("row", "doc_id", "item_id", "ids", "joints", "numbers", "stretch").repartition(tasks, "stretch").drop("stretch")
+    aligned = both.mapInArrow(_aligner, "row long, doc_id long, item_id long, score int, longest_run int, item_words int")
+    best = aligned.groupBy("row", "doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "longest_run", "item_words")])
+    return best.select("doc_id", "item_id", "score", "longest_run", "item_words")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose alignment scores what a run of RUN words scores, held to such a run."""
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edited=False)
-    return found.where(F.col("longest_run") >= RUN).select("doc_id", "item_id").distinct()
+    return found.where((F.col("score") >= MATCH * RUN) & (F.col("longest_run") >= RUN)).select("doc_id", "item_id").distinct()
 
 
 def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import itertools
 import random
+import re
+import time
 
 import numpy as np
 
@@ -16,8 +19,16 @@ def passage(n=40):
 def test_words():
     assert leaks.words("Élan vi\u00adtal — STRASSE straße (Beifall)\nmo-\nving [x (y) z] 3,5") == ["elan", "vital", "strasse", "strasse", "moving", "3", "5"]
     assert leaks.words(None) == leaks.words("") == leaks.words(" \r\n") == []
-    assert leaks.words("north-\nsouth", {"north", "south"}) == ["north", "south"]
-    assert leaks.words("in-\r\nquiry ca\u200bble", {"inquiry", "in", "quiry"}) == ["inquiry", "cable"]
+    assert leaks.words("in-\r\nquiry ca\u200bble \x1f \x1e") == ["inquiry", "cable"]
+
+
+def test_readings_of_divided_words():
+    (ids, divided), (other, none) = leaks.Encoder(["north", "south", "inquiry", "a"]).encode(["north-\nsouth a in-\nquiry a", "a south"])
+    n = {w: leaks.number(w) for w in ("north", "south", "inquiry", "a")}
+    assert ids.tolist() == [n["north"], n["south"], n["a"], 0, 0, n["a"]] and divided == [(0, 2, 0), (3, 2, n["inquiry"])]
+    assert other.tolist() == [n["a"], n["south"]] and none == []
+    got = [(r.tolist(), p.tolist()) for r, p in leaks.readings(ids, divided)]
+    assert ([n["north"], n["south"], n["a"], n["inquiry"], n["a"]], [0, 1, 2, 3, 5]) in got and len(got) == 4
 
 
 def test_align_equals_plain_smith_waterman():
@@ -43,6 +54,8 @@ def corpus():
             src = items[d % 30][1].split()
             at, n = RND.randrange(0, 20), RND.choice([8, 11, 12, 13, 20])
             part = src[at : at + n]
+            if d % 12 == 0:  # two words with a hyphen between, which the item knows as two
+                part[1] = f"{part[1]}-\n{part.pop(2)}"
             if d % 8 == 0:
                 part[len(part) // 2] = part[len(part) // 2][:2] + "-\r\n" + part[len(part) // 2][2:]
             part.insert(3, "(Applause)")
@@ -54,11 +67,13 @@ def corpus():
 
 
 def brute(items, docs):
-    known = {w for _, p in items for w in leaks.words(p)}
+    """Every reading of every division, tried one by one."""
     out = set()
     for d, t, _ in docs:
-        ws = leaks.words(t, known)
-        grams = {tuple(ws[k : k + 12]) for k in range(len(ws) - 11)}
+        grams, parts = set(), re.split("-\r?\n", t or "")
+        for glue in itertools.product(["", " "], repeat=len(parts) - 1):
+            ws = leaks.words("".join(x + g for x, g in zip(parts, [*glue, ""])))
+            grams |= {tuple(ws[k : k + 12]) for k in range(len(ws) - 11)}
         out |= {(d, i) for i, p in items for ps in [leaks.words(p)] if any(tuple(ps[k : k + 12]) in grams for k in range(len(ps) - 11))}
     return out
 
@@ -68,9 +83,26 @@ def test_equals_brute_force(spark):
     df, ev = spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, passage string")
     want = brute(items, docs)
     assert want
-    for block in (20_000, 7):
-        got = {(r.doc_id, r.item_id) for r in leaks.leaks(df, ev, block=block).where("longest_run >= 12").collect()}
+    for edited in (True, False):
+        got = {(r.doc_id, r.item_id) for r in leaks.leaks(df, ev, edited=edited).where("longest_run >= 12").collect()}
         assert got == want
+    assert any("-\n" in t for d, t, _ in docs if t and d in {x for x, _ in want})
+
+
+def test_a_pair_depends_on_its_two_texts_only(spark):
+    items, docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
+    every = {tuple(r) for r in leaks.leaks(df, spark.createDataFrame(items, "item_id long, passage string")).collect()}
+    for k in (0, 8):
+        alone = {tuple(r) for r in leaks.leaks(df, spark.createDataFrame(items[k : k + 1], "item_id long, passage string")).collect()}
+        assert alone and alone == {r for r in every if r[1] == k}
+
+
+def test_long_rulers_take_no_time():
+    for text in ("-" * 1_000_000, "a-" * 500_000, "(" * 1_000_000, "- " * 500_000):
+        began = time.time()
+        leaks.words(text)
+        assert time.time() - began < 5
 
 
 def test_edited_copies_are_scored(spark):
