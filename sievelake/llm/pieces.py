@@ -2,10 +2,10 @@
 
 For a payload longer than its limit the least number of pieces is computed and
 equally spaced targets are placed. Each target snaps to the strongest boundary
-near it; if a piece then exceeds the limit, one more piece is tried. Where that
-doesn't succeed because some stretch has no boundary, pieces run from boundary
-to boundary as far as the limit allows and only the bare stretches are cut
-elsewhere, then never inside a UTF-8 character.
+near it, or else to the nearest one that keeps all limits. Only where a piece
+reaches none at all is it cut at its target, then never inside a UTF-8
+character; the targets around such a bare stretch are served as any other. If
+a limit fails, more pieces are placed until none does.
 """
 
 from __future__ import annotations
@@ -46,51 +46,56 @@ def boundaries(data: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:
     return at[keep], strength[keep]
 
 
-def _snap(at: np.ndarray, strength: np.ndarray, length: int, window: int, overlap: int, n: int) -> np.ndarray | None:
-    """Ends of ``n`` pieces at boundaries near equal targets, or None if a limit fails."""
+def _aside(data, position: int, lowest: int) -> int:
+    """``position``, or up to three bytes before it if it would divide a UTF-8 character."""
+    at = position
+    while at > max(lowest, position - 3) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at if data[at] & 0xC0 != 0x80 else position
+
+
+def _place(data, at: np.ndarray, strength: np.ndarray, window: int, overlap: int, n: int) -> tuple[list[int], list[bool]] | None:
+    """Ends of at most ``n`` pieces near equal targets and whether they are natural, or None if a limit fails."""
+    length = len(data)
     step = (length - overlap) / n
-    ends, last = np.empty(n, np.int64), 0
-    for i in range(1, n):
-        target, reach = overlap + i * step, step / 2
-        start = last - overlap if last else 0
-        lo = np.searchsorted(at, max(target - reach, last + 1, length - overlap - (n - i) * (window - overlap) if n - i else 0))
-        hi = np.searchsorted(at, min(target + reach, start + window), side="right")
-        if lo >= hi:
+    ends: list[int] = []
+    natural: list[bool] = []
+    last = 0
+    for i in range(1, n + 1):
+        start = max(last - overlap, 0)
+        if length - start <= window:
+            return [*ends, length], [*natural, True]
+        target, top = overlap + i * step, start + window
+        # Nothing before ``low`` lets the pieces that are left reach the end.
+        low = max(last + 1, length - (n - i) * (window - overlap))
+        if low > top:
             return None
-        near = at[lo:hi]
-        # The strongest; among equals the nearest to the target.
-        last = int(near[np.lexsort((np.abs(near - target), -strength[lo:hi]))[0]])
-        ends[i - 1] = last
-    ends[-1] = length
-    start = last - overlap if last else 0
-    return ends if length - start <= window else None
-
-
-def _advance(data, at: np.ndarray, length: int, window: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of pieces as long as the limit allows, and which of them are natural."""
-    ends, natural, last = [], [], 0
-    while True:
-        limit = (last - overlap if last else 0) + window
-        if limit >= length:
-            return np.array([*ends, length], np.int64), np.array([*natural, True])
-        i = int(np.searchsorted(at, limit, side="right")) - 1
-        if i >= 0 and at[i] > last:
-            last = int(at[i])
+        first, lo, hi = np.searchsorted(at, last, side="right"), np.searchsorted(at, low), np.searchsorted(at, top, side="right")
+        if lo < hi:
+            close = slice(max(lo, np.searchsorted(at, target - step / 2)), min(hi, np.searchsorted(at, target + step / 2, side="right")))
+            near, power = at[close], strength[close]
+            if not len(near):
+                near, power = at[lo:hi], np.zeros(hi - lo)
+            # The strongest within reach; among equals, or beyond it, the nearest.
+            last = int(near[np.lexsort((np.abs(near - target), -power))[0]])
             natural.append(True)
+        elif first < lo:
+            return None  # there is a boundary, but so few pieces can't use it
         else:
-            cut = limit
-            while cut > max(last + 1, limit - 3) and data[cut] & 0xC0 == 0x80:
-                cut -= 1
-            last = cut if data[cut] & 0xC0 != 0x80 else limit
+            last = _aside(data, int(min(max(target, low), top)), last + 1)
+            if last < low:
+                return None  # so few pieces leave no room to keep the character whole
             natural.append(False)
         ends.append(last)
+    return None
 
 
 def cut(data: bytes | memoryview, window: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Starts, ends and naturalness of the pieces of ``data``, and its longest stretch without boundary.
+    """Starts, ends and naturalness of the pieces of ``data``, and the longest stretch without boundary that had to be cut.
 
     An empty payload has no piece, one within the limit a single piece. An
-    overlap not smaller than the window counts as none.
+    overlap not smaller than the window counts as none. The stretch is 0 if all
+    cuts are natural; a stretch longer than the window always holds a cut.
     """
     length = len(data)
     window = max(1, window)
@@ -98,21 +103,19 @@ def cut(data: bytes | memoryview, window: int, overlap: int) -> tuple[np.ndarray
     if not length:
         return *(np.zeros(0, np.int64),) * 2, np.zeros(0, bool), 0
     if length <= window:
-        return np.zeros(1, np.int64), np.array([length]), np.ones(1, bool), length
+        return np.zeros(1, np.int64), np.array([length]), np.ones(1, bool), 0
     at, strength = boundaries(data)
-    stretch = int(np.diff(np.concatenate([[0], at, [length]])).max())
-    ends, natural = None, None
-    if stretch <= window - overlap:
-        least = -(-(length - overlap) // (window - overlap))
-        for n in range(least, least + max(2, least // 4) + 1):
-            ends = _snap(at, strength, length, window, overlap, n)
-            if ends is not None:
-                natural = np.ones(n, bool)
-                break
-    if ends is None:
-        ends, natural = _advance(data, at, length, window, overlap)
+    n, placed = -(-(length - overlap) // (window - overlap)), None
+    tries = 0
+    while placed is None:
+        placed = _place(data, at, strength, window, overlap, n)
+        tries += 1
+        n += max(1, n * tries // 64)  # one more, later some more at once
+    ends, natural = np.array(placed[0], np.int64), np.array(placed[1])
     starts = np.concatenate([[0], np.maximum(ends[:-1] - overlap, 0)])
-    return starts, ends, natural, stretch
+    edges = np.concatenate([[0], at, [length]])
+    bare = np.searchsorted(edges, ends[~natural])
+    return starts, ends, natural, int((edges[bare] - edges[bare - 1]).max()) if len(bare) else 0
 
 
 def _limits(blocks: DataFrame, writers: DataFrame) -> DataFrame:
@@ -161,12 +164,15 @@ def pieces(blocks: DataFrame, writers: DataFrame, content: bool = True) -> DataF
 
 
 def block_report(blocks: DataFrame, writers: DataFrame) -> DataFrame:
-    """``(block_id, run_id, n_bytes, n_pieces, n_forced, longest_stretch, uncuttable)`` per block.
+    """``(block_id, run_id, n_bytes, n_pieces, n_forced, longest_forced, uncuttable)`` per block.
 
-    ``uncuttable`` marks payloads with a stretch of more than window_size bytes
-    without a natural boundary. Null payloads count 0 bytes and pieces.
+    ``n_forced`` counts the pieces that could not be placed at a boundary,
+    ``longest_forced`` is the longest bare stretch among those they cut, and
+    ``uncuttable`` says whether it is longer than the window; a shorter one is
+    cut where the overlap takes up the room that was left. Null payloads count
+    0 bytes and pieces.
     """
-    schema = pa.schema([("block_id", pa.int64()), ("run_id", pa.int64()), ("n_bytes", pa.int64()), ("n_pieces", pa.int64()), ("n_forced", pa.int64()), ("longest_stretch", pa.int64()), ("uncuttable", pa.bool_())])
+    schema = pa.schema([("block_id", pa.int64()), ("run_id", pa.int64()), ("n_bytes", pa.int64()), ("n_pieces", pa.int64()), ("n_forced", pa.int64()), ("longest_forced", pa.int64()), ("uncuttable", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,7 +184,7 @@ def block_report(blocks: DataFrame, writers: DataFrame) -> DataFrame:
                 rows.append((ids[i], runs[i], len(data), len(s), int((~natural).sum()), stretch, stretch > window[i]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
-    ddl = "block_id long, run_id long, n_bytes long, n_pieces long, n_forced long, longest_stretch long, uncuttable boolean"
+    ddl = "block_id long, run_id long, n_bytes long, n_pieces long, n_forced long, longest_forced long, uncuttable boolean"
     return _limits(spread(blocks, "block_id"), writers).mapInArrow(run, ddl)
 
 
