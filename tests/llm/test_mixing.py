@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievelake.llm import mixing
 
@@ -34,6 +35,18 @@ def test_shares_caps_and_shortfalls(spark):
     assert max(r.copies for r in got if (r.mix_id, r.source) == (1, "b")) <= 4 and max(r.copies for r in got if r.source == "a") == 1
 
 
+def test_short_is_decided_by_what_was_taken(spark):
+    d, t = frames(spark, docs())
+    tokens = mixing.count_tokens(d)
+    plans = mixing.plan(tokens, t.where("mix_id = 1").withColumn("budget_ratio", F.lit(9.0)))
+    taken = mixing.allocate(tokens, plans)
+    short = lambda x: {r.source for r in mixing.report(plans, x).where("short").collect()}
+    assert short(taken) == {"a", "b", "gone"}
+    one = taken.where("source = 'a'").agg(F.min("doc_id")).collect()[0][0]
+    assert short(taken.where(F.col("doc_id") != one)) == {"b", "gone"}  # something is left of a: nothing is known to be missing
+    assert short(taken.withColumn("copies", F.col("copies") * 99)) == {"gone"}
+
+
 def test_repeatable_and_partitioned(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FAN_IN", 2)  # several levels of the tree
     d, t = frames(spark, docs(300))
