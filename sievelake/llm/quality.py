@@ -2,12 +2,16 @@
 
 All counts of a batch of texts are made at once on arrays of code points: a
 table gives each code point's class, sums between line starts give the counts
-of lines, and the hashes of all words come from one running sum. Each line's
-statistics, together with those of its neighbours where lines are short, are
-put into one of a fixed number of cells. The cells' counts over the whole
-corpus are a bounded summary, to which a Gaussian mixture is fitted by
-expectation-maximization on standardized statistics. Components are named by
-inspected examples, and a document is what most of its characters are.
+of lines, and the hashes of all words come from one running sum.
+
+Two Gaussian mixtures are fitted by expectation-maximization: one to the
+standardized statistics of documents, one, as its supplement, to those of
+lines, short lines together with their neighbours. Both see the whole corpus
+as a bounded summary, the numbers (and for documents the sums) of a fixed
+number of cells. Components are named by inspected examples. A document's
+mixture gives the odds of each kind for its lines, a line's own statistics
+outweigh them where they are clear, and a document is what most of its
+characters are.
 """
 
 from __future__ import annotations
@@ -38,8 +42,19 @@ EDGES = {
     "word_length": [2.0, 3.0, 4.0, 5.0, 6.0, 7.5, 10.0],
 }
 CELLS = 8 ** len(EDGES)
+#: Upper edges of the cells of each document statistic; ended is the share of lines that end in punctuation.
+DOCUMENT_EDGES = {
+    "common": [0.05, 0.12, 0.2, 0.3, 0.4],
+    "symbols": [0.003, 0.02, 0.06, 0.15, 0.3],
+    "digits": [0.01, 0.05, 0.12, 0.25, 0.5],
+    "word_length": [2.5, 4.0, 5.0, 6.5, 9.0],
+    "ended": [0.05, 0.2, 0.4, 0.6, 0.9],
+}
 CLASSES = ("prose", "list", "table", "junk")
-ITERATIONS = 40
+#: The mixtures are fitted until the log likelihood of a point grows by less than this, in no more rounds than that.
+CONVERGED, ROUNDS = 1e-7, 2000
+#: Weight of even odds beside a document's own: a line that is clear by itself is judged by itself.
+EVEN = 1.0
 #: Starting variance, least variance (in squared deviations) and weight of its start in a component (in shares of all lines).
 START_VARIANCE, FLOOR, PRIOR = 0.3, 0.3, 1e-4
 #: Lines up to this many characters are judged together with their neighbours.
@@ -222,9 +237,9 @@ def _analyser(common: np.ndarray):
             c = Counts(b.column(1).to_pylist(), common)
             begins = np.concatenate([[0], np.cumsum(np.bincount(c.doc, minlength=b.num_rows))]).astype(np.int32)
             nested = lambda x, t: pa.ListArray.from_arrays(pa.array(begins), pa.array(x, t))
-            sums = [c.by_doc(x) for x in (c.chars, c.words, c.letters, c.symbols, c.ended, c.common)]
+            sums = [c.by_doc(x) for x in (c.chars, c.words, c.letters, c.symbols, c.ended, c.common, c.digits)]
             lines = np.bincount(c.doc, minlength=b.num_rows)
-            names = ["doc_id", "n_chars", "n_words", "n_letters", "n_symbols", "n_ended", "n_common", "n_lines", "cells", "widths"]
+            names = ["doc_id", "n_chars", "n_words", "n_letters", "n_symbols", "n_ended", "n_common", "n_digits", "n_lines", "cells", "widths"]
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sums), pa.array(lines), nested(c.cells(), pa.int32()), nested(c.chars, pa.int32())], names=names)
 
     return run
@@ -238,7 +253,7 @@ def analyse(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     are left out, and their languages are taken together.
     """
     common = common_hashes([r.word for r in common_words.select("word").where("word is not null").distinct().collect()])
-    schema = "doc_id long, n_chars long, n_words long, n_letters long, n_symbols long, n_ended long, n_common long, n_lines long, cells array<int>, widths array<int>"
+    schema = "doc_id long, n_chars long, n_words long, n_letters long, n_symbols long, n_ended long, n_common long, n_digits long, n_lines long, cells array<int>, widths array<int>"
     return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(_analyser(common), schema)
 
 
@@ -275,81 +290,141 @@ def _example_points(common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(points), np.array(classes)
 
 
-def fit(counts: np.ndarray, starts: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
-    """Responsibilities (cells by components) of a Gaussian mixture fitted to the cells' counts.
+class Mixture:
+    """A Gaussian mixture of independent statistics, standardized by their mean and deviation over all points.
 
-    Statistics are standardized by their mean and deviation over all lines. A
-    component starts at each of ``starts``; variances have a floor, so that a
-    component of equal lines stays proper.
+    ``counts`` weighs the points. A component starts at each of ``starts``;
+    variances have a floor, so that a component of equal points stays proper,
+    and a little of its start stays in each, so that none dies out or wanders
+    off to another kind.
     """
-    x = _centres()
-    used = counts > 0
-    w = counts[used] / max(1, counts.sum())
-    mean = (x[used] * w[:, None]).sum(0)
-    deviation = np.sqrt(((x[used] - mean) ** 2 * w[:, None]).sum(0)) + 1e-6
-    z, mu = (x - mean) / deviation, (starts - mean) / deviation
-    u, k = z[used], len(starts)
-    var, pi = np.full((k, u.shape[1]), START_VARIANCE), np.full(k, 1 / k)
-
-    def expect(points: np.ndarray) -> np.ndarray:
-        logs = np.log(pi) - 0.5 * (np.log(var).sum(1) + (((points[:, None, :] - mu) ** 2) / var).sum(2))
+
+    def __init__(self, points: np.ndarray, counts: np.ndarray, starts: np.ndarray, deviation: np.ndarray | None = None):
+        w = counts / counts.sum()
+        self.mean = (points * w[:, None]).sum(0)
+        self.deviation = np.sqrt(((points - self.mean) ** 2 * w[:, None]).sum(0)) + 1e-6 if deviation is None else deviation
+        z, origin = self.standard(points), self.standard(starts)
+        self.mu, self.var, self.pi = origin, np.full(origin.shape, START_VARIANCE), np.full(len(starts), 1 / len(starts))
+        before, self.rounds = -np.inf, 0
+        while self.rounds < ROUNDS:
+            self.rounds += 1
+            logs = self._logs(z)
+            top = logs.max(1, keepdims=True)
+            r = np.exp(logs - top)
+            total = r.sum(1, keepdims=True)
+            likelihood = float((w * (np.log(total) + top)[:, 0]).sum())
+            r *= w[:, None] / total
+            n = r.sum(0) + PRIOR
+            mu = (r.T @ z + PRIOR * origin) / n[:, None]
+            self.var = np.maximum((r.T @ z**2 + PRIOR * (mu**2 + self.var)) / n[:, None] - mu**2, FLOOR)
+            self.mu, self.pi = mu, n / n.sum()
+            if likelihood - before < CONVERGED:
+                break
+            before = likelihood
+
+    def standard(self, points: np.ndarray) -> np.ndarray:
+        return (points - self.mean) / self.deviation
+
+    def _logs(self, z: np.ndarray) -> np.ndarray:
+        return np.log(self.pi) - 0.5 * (np.log(self.var).sum(1) + (((z[:, None, :] - self.mu) ** 2) / self.var).sum(2))
+
+    def responsibilities(self, points: np.ndarray) -> np.ndarray:
+        logs = self._logs(self.standard(points))
         r = np.exp(logs - logs.max(1, keepdims=True))
         return r / r.sum(1, keepdims=True)
 
-    for _ in range(iterations):
-        r = expect(u) * w[:, None]
-        n = r.sum(0) + PRIOR
-        # A little of each start stays in its component, so that none dies out or wanders off to another kind.
-        new = (r.T @ u + PRIOR * (starts - mean) / deviation) / n[:, None]
-        var = np.maximum((r.T @ u**2 + PRIOR * (new**2 + var)) / n[:, None] - new**2, FLOOR)
-        mu, pi = new, n / n.sum()
-    return expect(z)
 
+def name_components(of_examples: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The class of each component: what the examples are that it explains, each class counting alike.
 
-def name_cells(responsibilities: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The class of each cell: that of its components, which the inspected examples name.
-
-    A component is what the examples are that it explains, each class counting
-    alike; one that explains none is what its own start is.
+    A component that explains none is what its own start is.
     """
-    centres = _centres()
+    votes = np.stack([of_examples[classes == c].mean(0) for c in range(len(CLASSES))], axis=1)
+    return np.where(votes.max(1) > 0.01, votes.argmax(1), classes)
+
+
+def by_class(responsibilities: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The probability of each class, points by classes."""
+    return np.stack([responsibilities[:, label == c].sum(1) for c in range(len(CLASSES))], axis=1)
+
+
+def line_odds(counts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, Mixture]:
+    """The probability of each class in each cell of lines, and the mixture that gives it."""
+    centres, used = _centres(), counts > 0
+    starts, classes = _example_points(common)
+    mixture = Mixture(centres[used], counts[used].astype(float), starts)
+    r = mixture.responsibilities(centres)
     nearest = ((starts[:, None, :] - centres) ** 2 / centres.var(0)).sum(2).argmin(1)
-    votes = np.stack([responsibilities[nearest[classes == c]].mean(0) for c in range(len(CLASSES))], axis=1)
-    label = np.where(votes.max(1) > 0.01, votes.argmax(1), classes)
-    scores = np.stack([responsibilities[:, label == c].sum(1) for c in range(len(CLASSES))], axis=1)
-    return scores.argmax(1).astype(np.int8)
+    return by_class(r, name_components(r[nearest], classes)), mixture
 
 
-def _judge(kind_of_cell: np.ndarray):
+def _document_points(counts: list[np.ndarray]) -> np.ndarray:
+    """The statistics of DOCUMENT_EDGES from chars, words, letters, symbols, ended, common, digits and lines."""
+    chars, words, letters, symbols, ended, common, digits, lines = (np.asarray(x, float) for x in counts)
+    some, solid, rows = np.maximum(words, 1), np.maximum(chars, 1), np.maximum(lines, 1)
+    return np.stack([common / some, symbols / solid, digits / solid, letters / some, ended / rows], axis=1)
+
+
+_COUNTS = ("n_chars", "n_words", "n_letters", "n_symbols", "n_ended", "n_common", "n_digits", "n_lines")
+
+
+def document_mixture(analysed: DataFrame, common: np.ndarray) -> tuple[Mixture, np.ndarray]:
+    """The mixture of document statistics and the class of each of its components.
+
+    It is fitted to the means of the documents of each of 6 ** 5 cells; only
+    those come to the driver.
+    """
+    some = lambda c: F.greatest(F.col(c), F.lit(1))
+    shares = {"common": F.col("n_common") / some("n_words"), "symbols": F.col("n_symbols") / some("n_chars"), "digits": F.col("n_digits") / some("n_chars"), "word_length": F.col("n_letters") / some("n_words"), "ended": F.col("n_ended") / some("n_lines")}
+    stats = analysed.where("n_lines > 0").select(*[shares[c].alias(c) for c in DOCUMENT_EDGES])
+    cell = sum((sum((F.col(c) > e).cast("int") for e in edges) * 6**k for k, (c, edges) in enumerate(DOCUMENT_EDGES.items())), F.lit(0))
+    rows = stats.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in DOCUMENT_EDGES], *[F.sum(F.col(c) ** 2).alias(f"{c}_2") for c in DOCUMENT_EDGES]).collect()
+    n = np.array([r.n for r in rows], float)
+    sums, squares = (np.array([[r[f"{c}{x}"] for c in DOCUMENT_EDGES] for r in rows]) for x in ("", "_2"))
+    mean = sums.sum(0) / n.sum()
+    deviation = np.sqrt(np.maximum(squares.sum(0) / n.sum() - mean**2, 0)) + 1e-6
+    texts, classes = zip(*[(text, c) for c, name in enumerate(CLASSES) for text in EXAMPLES[name]])
+    counted = Counts(list(texts), common)
+    starts = _document_points([*[counted.by_doc(x) for x in (counted.chars, counted.words, counted.letters, counted.symbols, counted.ended, counted.common, counted.digits)], np.bincount(counted.doc, minlength=len(texts))])
+    mixture = Mixture(sums / n[:, None], n, starts, deviation)
+    return mixture, name_components(mixture.responsibilities(starts), np.array(classes))
+
+
+def _judge(odds: np.ndarray, mixture: Mixture, label: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells, widths = b.column(1), b.column(2)
-            sizes = np.diff(cells.offsets.to_numpy())
-            doc = np.repeat(np.arange(b.num_rows), sizes)
-            kinds = kind_of_cell[cells.flatten().to_numpy(zero_copy_only=False)]
+            cells, widths = b.column("cells"), b.column("widths")
+            counts = [b.column(c).to_numpy(zero_copy_only=False) for c in _COUNTS]
+            own = by_class(mixture.responsibilities(_document_points(counts)), label) if b.num_rows else np.zeros((0, len(CLASSES)))
+            doc = np.repeat(np.arange(b.num_rows), np.diff(cells.offsets.to_numpy()))
+            prior = (own + EVEN / len(CLASSES)) / (1 + EVEN)
+            kinds = (odds[cells.flatten().to_numpy(zero_copy_only=False)] * prior[doc]).argmax(1)
             w = widths.flatten().to_numpy(zero_copy_only=False)
             sums = [np.bincount(doc[kinds == c], w[kinds == c], minlength=b.num_rows).astype(np.int64) for c in range(len(CLASSES))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sums)], names=["doc_id", *[f"{c}_chars" for c in CLASSES]])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, sums), pa.array(own[:, 0])], names=["doc_id", *[f"{c}_chars" for c in CLASSES], "prose_odds"])
 
     return run
 
 
 def classify(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """Per document the characters in prose, list, table and junk lines, and its ``kind``.
+    """Per document the characters in prose, list, table and junk lines, ``prose_odds`` and ``kind``.
 
+    ``prose_odds`` is what the mixture of document statistics gives prose.
     ``kind`` is ``prose`` unless more than half of the characters are in other
     lines, then the most frequent of the others. Blank texts have null.
-    The analysis is written once to the shared folder; the mixture is fitted on
-    the counts of CELLS cells, whatever the size of the corpus.
+    The analysis is written once to the shared folder; the mixtures are fitted
+    on the counts of a fixed number of cells, whatever the size of the corpus.
     """
     a = checkpointed(analyse(documents, common_words))
     counts = np.zeros(CELLS, np.int64)
     for r in a.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
         counts[r.cell] = r["count"]
-    common = common_hashes([r.word for r in common_words.select("word").where("word is not null").distinct().collect()])
-    starts, classes = _example_points(common)
-    kinds = name_cells(fit(counts, starts), starts, classes) if counts.any() else np.zeros(CELLS, np.int8)
-    judged = a.select("doc_id", "cells", "widths").mapInArrow(_judge(kinds), "doc_id long, " + ", ".join(f"{c}_chars long" for c in CLASSES))
+    schema = "doc_id long, " + ", ".join(f"{c}_chars long" for c in CLASSES)
+    if counts.any():
+        common = common_hashes([r.word for r in common_words.select("word").where("word is not null").distinct().collect()])
+        judged = a.select("doc_id", "cells", "widths", *_COUNTS).mapInArrow(_judge(line_odds(counts, common)[0], *document_mixture(a, common)), f"{schema}, prose_odds double")
+    else:
+        judged = a.select("doc_id", *[F.lit(0).cast("long").alias(f"{c}_chars") for c in CLASSES], F.lit(None).cast("double").alias("prose_odds"))
     others = [F.col(f"{c}_chars") for c in CLASSES[1:]]
     other = others[0] + others[1] + others[2]
     top = F.greatest(*others)
@@ -360,7 +435,8 @@ def classify(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         .when(others[1] == top, "table")
         .otherwise("junk")
     )
-    return judged.withColumn("kind", kind)
+    blank = other + F.col("prose_chars") == 0
+    return judged.withColumn("kind", kind).withColumn("prose_odds", F.when(~blank, F.col("prose_odds")))
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

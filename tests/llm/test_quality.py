@@ -46,12 +46,22 @@ def test_mixture_separates():
     common = quality.common_hashes(COMMON)
     for text, n in ((PROSE, 1000), (LIST, 50), (TABLE, 40), (JUNK, 30)):
         np.add.at(counts, quality.Counts([text], common).cells(), n)
-    starts, classes = quality._example_points(common)
-    kinds = quality.name_cells(quality.fit(counts, starts), starts, classes)
+    odds, mixture = quality.line_odds(counts, common)
+    assert 1 < mixture.rounds < quality.ROUNDS
+    kinds = odds.argmax(1)
     of = lambda t: set(kinds[quality.Counts([t], common).cells()])
     assert of(PROSE) == {0} and 0 not in of(LIST) | of(TABLE) | of(JUNK)
 
 
+def test_documents_of_their_own_mixture(spark):
+    docs, words = frames(spark, [PROSE * 5] * 30 + [LIST * 4] * 6 + [TABLE * 4] * 6 + [JUNK * 5] * 6 + [None])
+    common = quality.common_hashes(COMMON)
+    mixture, label = quality.document_mixture(quality.analyse(docs, words), common)
+    assert 1 < mixture.rounds < quality.ROUNDS and mixture.mean.shape == (5,) and set(label) == {0, 1, 2, 3}
+    odds = [r.prose_odds for r in quality.classify(docs, words).orderBy("doc_id").collect()]
+    assert min(odds[:30]) > 0.9 and max(odds[30:48]) < 0.1 and odds[48] is None
+
+
 def test_long_and_empty(spark):
     docs, words = frames(spark, [PROSE * 30_000, PROSE])
     assert [r.kind for r in quality.classify(docs, words).orderBy("doc_id").collect()] == ["prose", "prose"]
