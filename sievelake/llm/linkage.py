@@ -7,10 +7,11 @@ that agree in four fifths of their characters are of one block and of equal or
 neighbouring bands. A new batch
 
 1. collapses findings equal after normalisation into classes;
-2. probes the persisted keys with its own, and reads of the history only the
+2. probes the persisted keys with its own, and takes of the history only the
    accepted findings under them;
-3. holds each new class against these and the batch's other classes of the
-   block by the n-grams that they share, a bound that no agreeing pair fails;
+3. holds each new class against these, and then against the batch's other
+   classes of the block, by the n-grams that they share, a bound that no
+   agreeing pair fails;
 4. scores the pairs left field by field with weights that
    expectation-maximization learned from all comparisons so far, and takes a
    finding as a repeat if the weight speaks for it and an exact check of the
@@ -18,6 +19,10 @@ neighbouring bands. A new batch
 5. unites each repeat with the first accepted finding it repeats, and appends
    the batch with these mappings. Earlier mappings never change.
 
+The history is not moved for it: the classes of a batch of checked size are
+sent to where the history is read. A larger batch, such as a first one, meets
+the history by block instead, hot blocks cut into tiles.
+
 A manifest per batch names the table's parts, so a history is reopened by its
 path, and a batch that failed half-way leaves nothing behind. Parts of like
 size are merged as they become many, and their buckets grow with them.
@@ -51,6 +56,8 @@ TILE, LOT, MAX_SIZE = 4096, 256, 1 << 14
 FAN_IN, BUCKET_ROWS = 4, 1 << 16
 #: New findings per task of the comparison.
 TASK_ROWS = 1024
+#: Most new findings of a batch, and characters of their values, that are sent to where the history is read.
+SENT_ROWS, SENT_CHARS = 200_000, 32_000_000
 
 
 def block_columns() -> tuple[Column, Column]:
@@ -180,10 +187,27 @@ class Representatives:
         self.root.append(self.find(earlier))
 
 
-def _features(vals: list[str], size: int) -> list[int]:
-    """Numbers below ``size`` of the n-grams of ``vals``, repeated ones told apart; a value too short is one n-gram."""
-    seen = Counter(v[i : i + GRAM] for v in vals for i in range(max(1, len(v) - GRAM + 1)))
-    return [hash((g, k)) % size for g, n in seen.items() for k in range(n)]
+def gram_counts(vals: list[list[str]], size: int) -> np.ndarray:
+    """For each list of values how many of their n-grams have each number below ``size``, a power of two.
+
+    A value of fewer characters is one n-gram.
+    """
+    flat = [v if len(v) >= GRAM else v + "\x00" * (GRAM - len(v)) for vs in vals for v in vs]
+    if not flat:
+        return np.zeros((len(vals), size), np.float32)
+    lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+    row = np.repeat(np.repeat(np.arange(len(vals)), np.fromiter(map(len, vals), np.int64, len(vals))), lengths)
+    p = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = p[: len(p) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + p[k : len(p) - GRAM + 1 + k]
+    h = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) & np.uint64(size - 1)
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(lengths)[:-1]
+    for k in range(1, GRAM):
+        inside[ends - k] = False
+    at = row[: len(h)] * size + h.astype(np.int64)
+    return np.bincount(at[inside], minlength=len(vals) * size).reshape(len(vals), size).astype(np.float32)
 
 
 def alike(fresh: list[tuple], rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
@@ -192,34 +216,31 @@ def alike(fresh: list[tuple], rows: list[tuple]) -> Iterator[tuple[int, np.ndarr
     Rows are (id, total, spelled, vals, ...). Of two values that agree, each
     common block of m >= GRAM characters holds m - GRAM + 1 >= m / GRAM common
     n-grams. So findings that agree in AGREEMENT share at least that part of
-    it in n-grams. Numbers that clash add to what is counted, so no pair that
-    agrees is left out.
+    it in n-grams. Numbers that clash and n-grams that repeat add to what is
+    counted, so no pair that agrees is left out.
     """
     size = int(min(MAX_SIZE, max(64, 1 << (8 * int(np.median([r[1] for r in rows]))).bit_length())))
 
-    def ordered(xs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-        order = np.argsort([x[1] for x in xs], kind="stable")
-        return order, np.array([xs[k][1] for k in order], float), np.array([xs[k][0] for k in order], np.int64), [_features(xs[k][3], size) for k in order]
-
-    def matrix(features: list[list[int]]) -> np.ndarray:
-        m = np.zeros((len(features), size), np.float32)
-        for i, f in enumerate(features):
-            np.add.at(m[i], f, 1)
-        return m
+    def ordered(xs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+        totals = np.fromiter((x[1] for x in xs), float, len(xs))
+        order = np.argsort(totals, kind="stable")
+        return order, totals[order], np.fromiter((xs[k][0] for k in order), np.int64, len(xs)), [xs[k][3] for k in order]
 
-    left, t_left, id_left, f_left = ordered(fresh)
-    right, t_right, id_right, f_right = ordered(rows)
+    left, t_left, id_left, v_left = ordered(fresh)
+    right, t_right, id_right, v_right = ordered(rows)
     for lo in range(0, len(left), LOT):
         hi = min(lo + LOT, len(left))
-        mine = matrix(f_left[lo:hi])
         # Sorted by total: those that may agree stand together.
         begin, end = np.searchsorted(t_right, [t_left[lo] * AGREEMENT - 1e-6, t_left[hi - 1] / AGREEMENT + 1e-6], side="left")
-        found: list[list[np.ndarray]] = [[] for _ in range(lo, hi)]
+        mine, found = None, [[] for _ in range(lo, hi)]
         for at in range(int(begin), int(end), LOT):
             to = min(at + LOT, int(end))
-            shared = mine @ matrix(f_right[at:to]).T
             longer, shorter = np.maximum(t_left[lo:hi, None], t_right[None, at:to]), np.minimum(t_left[lo:hi, None], t_right[None, at:to])
-            ok = (shared >= AGREEMENT / GRAM * longer - 1e-3) & (shorter >= AGREEMENT * longer - 1e-6) & (id_right[None, at:to] < id_left[lo:hi, None])
+            ok = (shorter >= AGREEMENT * longer - 1e-6) & (id_right[None, at:to] < id_left[lo:hi, None])
+            if not ok.any():
+                continue
+            mine = gram_counts(v_left[lo:hi], size) if mine is None else mine
+            ok &= mine @ gram_counts(v_right[at:to], size).T >= AGREEMENT / GRAM * longer - 1e-3
             for i in np.flatnonzero(ok.any(1)):
                 found[i].append(right[at + np.flatnonzero(ok[i])])
         for i, parts in enumerate(found):
@@ -236,23 +257,33 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _LINKS.types)] if rows else [pa.array([], t) for t in _LINKS.types], schema=_LINKS)
 
 
+class _Scorer:
+    """The comparison of two findings by the learned weights, with the comparisons counted by pattern."""
+
+    def __init__(self, weights: np.ndarray, odds: float):
+        self.weights, self.odds, self.counted = weights, odds, Counter()
+
+    def linked(self, a: tuple, b: tuple) -> bool:
+        """Whether the weight speaks for a match of two rows (id, total, spelled, vals, sig, ...) and their agreement confirms it."""
+        agreed = 1.0 if a[4] == b[4] else agreement(a[3], b[3])
+        p = pattern(a, b, agreed)
+        self.counted[p] += 1
+        return self.odds + self.weights[0][p[0]] + self.weights[1][p[1]] + self.weights[2][p[2]] >= 0 and agreed >= AGREEMENT - 1e-9
+
+    def patterns(self) -> list[tuple]:
+        return [(_PATTERN, None, None, None, *p, n) for p, n in self.counted.items()]
+
+
 def _comparer(weights: np.ndarray, odds: float):
     """Links of tiles of (block, i, j, finding_id, total, spelled, vals, sig, fresh, part) rows, sorted by tile.
 
     A tile of a whole block is decided at once, in order of arrival. Tiles of
     parts of a hot block give pairs that agree; which of them count is decided
-    when all are there. Comparisons are counted by pattern.
+    when all are there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: Counter = Counter()
-
-        def linked(a: tuple, b: tuple) -> bool:
-            agreed = 1.0 if a[4] == b[4] else agreement(a[3], b[3])
-            p = pattern(a, b, agreed)
-            counted[p] += 1
-            return odds + weights[0][p[0]] + weights[1][p[1]] + weights[2][p[2]] >= 0 and agreed >= AGREEMENT - 1e-9
-
+        scorer = _Scorer(weights, odds)
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out: list[tuple] = []
         for (block, i, j), group in groupby(rows, key=lambda r: r[:3]):
@@ -265,7 +296,7 @@ def _comparer(weights: np.ndarray, odds: float):
                 b = fresh[k]
                 for a in sorted((tile[x] for x in near), key=lambda r: r[0]):
                     # Two rows of one part meet in that part's own tile.
-                    if i != j and a[6] == b[6] or whole and reps.find(a[0]) != a[0] or not linked(a, b):
+                    if i != j and a[6] == b[6] or whole and reps.find(a[0]) != a[0] or not scorer.linked(a, b):
                         continue
                     if whole:
                         reps.unite(b[0], a[0])
@@ -275,7 +306,48 @@ def _comparer(weights: np.ndarray, odds: float):
             if len(out) > 10_000:
                 yield _batch(out)
                 out = []
-        yield _batch(out + [(_PATTERN, None, None, None, *p, n) for p, n in counted.items()])
+        yield _batch(out + scorer.patterns())
+
+    return run
+
+
+_held: dict[str, tuple[np.ndarray, list[tuple]]] = {}
+
+
+def _prober(sent, name: str, weights: np.ndarray, odds: float):
+    """Links to the accepted (block, finding_id, total, spelled, vals, sig) rows of the history, the first of each task for a new class.
+
+    ``sent`` broadcasts the new classes as such rows, sorted by block, and
+    ``name`` tells them from others: a worker unpacks them once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _held:
+            t = pa.ipc.open_stream(sent.value).read_all()
+            _held.clear()
+            _held[name] = t.column(0).to_numpy(), list(zip(*(c.to_pylist() for c in t.columns[1:])))
+        blocks, new = _held[name]
+        scorer, first, block_of = _Scorer(weights, odds), {}, {}
+        for b in batches:
+            at = b.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            edges = np.flatnonzero(np.diff(at[order])) + 1
+            rows = list(zip(*(c.to_pylist() for c in b.columns[1:])))
+            for mine in np.split(order, edges) if len(order) else ():
+                block = at[mine[0]]
+                lo, hi = np.searchsorted(blocks, [block, block + 1]) if block < np.iinfo(np.int64).max else (np.searchsorted(blocks, block), len(blocks))
+                if lo == hi:
+                    continue
+                tile = [rows[k] for k in mine]
+                for k, near in alike(new[lo:hi], tile):
+                    x = new[lo + k]
+                    for a in sorted((tile[n] for n in near), key=lambda r: r[0]):
+                        if a[0] >= first.get(x[0], a[0] + 1):
+                            break
+                        if scorer.linked(a, x):
+                            first[x[0]], block_of[x[0]] = a[0], int(block)
+                            break
+        yield _batch([(_REPEAT, block_of[x], a, x, None, None, None, None) for x, a in first.items()] + scorer.patterns())
 
     return run
 
@@ -317,6 +389,12 @@ def tiles(rows: DataFrame, tile: int = TILE) -> DataFrame:
     return cut.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "finding_id", "total", "spelled", "vals", "sig", "fresh", "part")
 
 
+def _uncut(rows: DataFrame) -> DataFrame:
+    """``rows`` with each block as one tile."""
+    one = F.lit(-1).cast("long")
+    return rows.select("block", one.alias("i"), one.alias("j"), "finding_id", "total", "spelled", "vals", "sig", "fresh", one.alias("part"))
+
+
 _ROW = "finding_id long, block long, band int, key long, sig long, total int, spelled long, vals array<string>, rep long, step int, bucket int"
 
 
@@ -383,28 +461,47 @@ class History:
         rows.join(classes, ["block", "sig"]).write.parquet(staged)
         batch = spark.read.parquet(staged)
         widest = max([s["buckets"] for s in self.segments], default=1)
-        n, first, last, touched = batch.agg(F.count("*"), F.min("finding_id"), F.max("finding_id"), F.collect_set(F.pmod("block", F.lit(widest)))).collect()[0]
+        by_block = batch.groupBy("block").agg(F.count("*").alias("n"), F.min("finding_id").alias("lo"), F.max("finding_id").alias("hi"), F.sum("total").alias("chars"))
+        totals = by_block.agg(F.sum("n"), F.min("lo"), F.max("hi"), F.sum("chars"), F.max("n"), F.collect_set(F.pmod("block", F.lit(widest))))
+        n, first, last, chars, most, touched = totals.collect()[0]
         if not n or self.last_id is not None and first <= self.last_id:
             remove(spark, staged)
             if not n:
                 return self.repeats().limit(0)
             raise ValueError(f"finding {first} is not above {self.last_id}, the last one taken in")
-        columns = ["finding_id", "block", "band", "total", "spelled", "vals", "sig"]
+        columns = ["finding_id", "total", "spelled", "vals", "sig"]
         fresh = batch.where("finding_id = first")
-        held = fresh.select(*columns, F.lit(True).alias("fresh"))
-        if self.segments:
-            accepted = self._read(self.segments, touched).where("rep = finding_id").join(probes(fresh), "key", "left_semi")
-            held = held.unionByName(accepted.select(*columns, F.lit(False).alias("fresh")))
         tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_ROWS))
-        compared = tiles(held, self.tile).repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-        compared.mapInArrow(_comparer(*learn_weights(self.patterns)), _LINKS_DDL).write.parquet(found)
-        links = spark.read.schema(_LINKS_DDL).parquet(found)
+        model = learn_weights(self.patterns)
+        small = n <= SENT_ROWS and chars <= SENT_CHARS
+        held, linked = fresh.select("block", "band", *columns, F.lit(True).alias("fresh")), None
+        if self.segments:
+            keys = probes(fresh)
+            accepted = self._read(self.segments, touched).where("rep = finding_id").join(F.broadcast(keys) if small else keys, "key", "left_semi")
+            if small:
+                sink = pa.BufferOutputStream()
+                sent = fresh.select("block", *columns).toArrow().sort_by("block")
+                with pa.ipc.new_stream(sink, sent.schema) as w:
+                    w.write_table(sent)
+                everywhere = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+                accepted.select("block", *columns).mapInArrow(_prober(everywhere, found, *model), _LINKS_DDL).write.parquet(f"{found}/kept")
+                everywhere.destroy()
+                kept = spark.read.schema(_LINKS_DDL).parquet(f"{found}/kept")
+                linked = kept.where(F.col("kind") == _REPEAT).groupBy("b").agg(F.min("a").alias("a"))
+                held = held.join(linked.select(F.col("b").alias("finding_id")), "finding_id", "left_anti")
+            else:
+                held = held.unionByName(accepted.select("block", "band", *columns, F.lit(False).alias("fresh")))
+        # Only what was counted can tell that no block is hot: with the history among the rows any may be.
+        cut = _uncut(held) if most <= self.tile and (small or not self.segments) else tiles(held, self.tile)
+        compared = cut.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+        compared.mapInArrow(_comparer(*model), _LINKS_DDL).write.parquet(f"{found}/new")
+        links = spark.read.schema(_LINKS_DDL).parquet(*[f"{found}/{x}" for x in (("kept", "new") if linked is not None else ("new",))])
         # At most one row per pattern, and one for all edges.
         told = links.where(F.col("kind") != _REPEAT).groupBy("kind", "f0", "f1", "f2").agg(F.sum("n").alias("n")).collect()
-        united = links.where(F.col("kind") == _REPEAT).select("a", "b")
+        united = links.where(F.col("kind") == _REPEAT).groupBy("b").agg(F.min("a").alias("a"))
         if any(r.kind == _EDGE for r in told):
             edges = links.where(F.col("kind") == _EDGE).select("block", "b", "a").distinct()
-            united = united.unionByName(edges.repartition(tasks, "block").sortWithinPartitions("block", "b", "a").mapInArrow(_settle, "a long, b long"))
+            united = united.select("a", "b").unionByName(edges.repartition(tasks, "block").sortWithinPartitions("block", "b", "a").mapInArrow(_settle, "a long, b long"))
         mapped = batch.join(united, F.col("first") == F.col("b"), "left").withColumn("rep", F.coalesce("a", "first"))
         kept = F.when(F.col("rep") == F.col("finding_id"), F.col("vals"))  # only accepted ones are compared again
         mapped = mapped.select("finding_id", "block", "band", "key", "sig", "total", "spelled", kept.alias("vals"), "rep", F.lit(step).alias("step"))

@@ -132,8 +132,9 @@ def short_rows(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("tile", [4096, 10])
-def test_edits_in_short_values_and_hot_blocks_equal_brute_force(spark, tile):
+@pytest.mark.parametrize("tile, sent", [(4096, 200_000), (10, 200_000), (4096, 0), (10, 0)])
+def test_edits_in_short_values_and_hot_blocks_equal_brute_force(spark, monkeypatch, tile, sent):
+    monkeypatch.setattr(linkage, "SENT_ROWS", sent)
     one = [(1, 0, "t", "p", ["abcdefghijklmno"]), (2, 1, "t", "p", ["abcdefgXijklmno"])]
     ten = [["%010d" % (k * 7919**2 % 10**10) for k in range(10)]]
     ten.append([v[:4] + "x" + v[5:] if k < 8 else v for k, v in enumerate(ten[0])])
