@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import regex
 from ..functions.regex import folded
-from ..plans.rules import Extractor, Matcher
+from ..plans.rules import DSL, Extractor, Matcher
 from .lines import offset_of
 
 HIT = "struct<value:string,line:int,byte_offset:bigint>"
@@ -109,7 +109,6 @@ def bytes_found(text: Column, m: Matcher) -> Column:
     return present if m.match_all else F.slice(present, 1, 1)
 
 
-_DSL = re.compile(r"^\s*(?:len\((\w+)\)|(\w+))\s*(==|!=|>=|<=|>|<)\s*(\d+|\"[^\"]*\"|'[^']*')\s*$|^\s*(contains|starts_with|ends_with)\((\w+),\s*[\"']([^\"']*)[\"']\)\s*$")
 _PARTS = {"", "body", "all", "data", "raw"}
 
 
@@ -122,7 +121,7 @@ def part(event: dict[str, Column], name: str | None) -> Column:
 
 def expression(text: str, event: dict[str, Column]) -> Column | None:
     """A condition of the small expression language as a column; None if it isn't one."""
-    for joint, op in ((" && ", "and"), (" || ", "or")):
+    for joint, op in ((" || ", "or"), (" && ", "and")):
         if joint in text:
             sides = [expression(x, event) for x in text.split(joint)]
             if any(s is None for s in sides):
@@ -131,7 +130,7 @@ def expression(text: str, event: dict[str, Column]) -> Column | None:
             for s in sides[1:]:
                 out = out & s if op == "and" else out | s
             return out
-    m = _DSL.match(text)
+    m = DSL.match(text)
     if not m:
         return None
     if m[5]:
@@ -150,12 +149,29 @@ def combined(tests: list[Column | None], condition: str) -> Column:
     return F.lit(False) if out is None else out
 
 
-def matcher(m: Matcher, lines: Column, event: dict[str, Column]) -> Column:
+def of_content(x: Matcher | Extractor) -> bool:
+    """Whether an operator looks at the content, not at a named part of the event such as its path."""
+    return (x.part or "") in _PARTS
+
+
+def _of_part(values: Column) -> Column:
+    """The result of values found in a named part: they stand at no line."""
+    return _result(F.transform(values, lambda v: F.named_struct(F.lit("value"), v, F.lit("line"), F.lit(0), F.lit("byte_offset"), F.lit(0).cast("long"))))
+
+
+def matcher(m: Matcher, lines: Column, event: dict[str, Column], legacy: bool = False) -> Column:
     """The result of a matcher on a document, before negation.
 
-    Words, patterns and bytes are looked for in each line. Sizes and
-    expressions are asked of the whole content and have no hits.
+    Words, patterns and bytes are looked for in each line, or in the named part
+    that the matcher asks for. Sizes and expressions are asked of the whole
+    content and have no hits. ``legacy`` applies a pattern matcher's condition
+    and match-all within each line; else every match of any pattern counts.
     """
+    if not of_content(m) and m.type in ("word", "binary", "regex"):
+        text = part(event, m.part)
+        return _of_part(words_found(text, m) if m.type == "word" else bytes_found(text, m) if m.type == "binary" else regex_found(text, m))
+    if m.type == "regex" and legacy:
+        return _result(_per_line(lines, lambda t, low: regex_found(t, m)))
     if m.type == "word":
         return _result(_per_line(lines, lambda t, low: words_found(t, m, low)))
     if m.type == "binary":
@@ -189,6 +205,9 @@ def extractor(e: Extractor, lines: Column, event: dict[str, Column]) -> Column:
     value. Keys give the event's values, expressions their value as text; both
     are taken from the whole content, at line 0.
     """
+    if e.type == "regex" and not of_content(e):
+        text = part(event, e.part)
+        return _of_part(_all_found(text, e.regex, e.group, folded(text)) if e.regex else F.array().cast("array<string>"))
     if e.type == "regex":
         return _result(_per_line(lines, lambda t, low: _all_found(t, e.regex, e.group, low)) if e.regex else _none())
     whole = lambda v: F.named_struct(F.lit("value"), v.cast("string"), F.lit("line"), F.lit(0), F.lit("byte_offset"), F.lit(0).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.rules import SEVERITIES
@@ -17,16 +17,41 @@ def fan_out(findings: DataFrame, label: str = "label") -> DataFrame:
     return findings.select("template_id", F.lit("file").alias("type"), F.col(label).alias("path"), F.col(label).alias("matched"), F.inline(which), F.current_timestamp().alias("at"))
 
 
-def merge_rules(findings: DataFrame, label: str = "label") -> DataFrame:
-    """Findings of a rule's several requests on one document joined into one: flags by or, matches and extracts appended."""
-    return findings.groupBy(label, "template_id").agg(
-        F.any_value("template_name").alias("template_name"),
-        F.any_value("severity").alias("severity"),
-        F.bool_or("matched").alias("matched"),
-        F.bool_or("extracted").alias("extracted"),
-        F.sort_array(F.flatten(F.collect_list("extracts"))).alias("extracts"),
-        F.flatten(F.collect_list("output_extracts")).alias("output_extracts"),
-    )
+def _appended(maps: Column) -> Column:
+    """One map of a list of maps: the values of equal keys, which are arrays, one after the other."""
+    names = F.array_distinct(F.flatten(F.transform(maps, lambda m: F.map_keys(m))))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.flatten(F.filter(F.transform(maps, lambda m: F.try_element_at(m, n)), lambda x: x.isNotNull())))))
+
+
+def merge_rules(findings: DataFrame, label: str | None = "label") -> DataFrame:
+    """Findings of a rule's several requests on one document joined into one.
+
+    Flags are joined by or; matches and named extracts of one name, extracts
+    and output extracts are appended in the order of requests. Without
+    ``label`` the findings of all documents are joined, in order of ``file``
+    or ``label`` too; a rule's hits must then fit one row.
+    """
+    place = next((c for c in ("label", "file", "path") if c in findings.columns), None)
+    order = ["request", *([place] if place and not label else [])]
+    kept = ["matches", "named_extracts", "extracts", "output_extracts"]
+    one = F.struct(*order, *kept)
+    ordered = F.array_sort(F.collect_list(one), lambda x, y: _compared(x, y, order))
+    rows = findings.groupBy(*([label] if label else []), "template_id").agg(
+        F.min("template_name").alias("template_name"), F.min("severity").alias("severity"),
+        F.bool_or("matched").alias("matched"), F.bool_or("extracted").alias("extracted"), ordered.alias("__parts"),
+    )
+    return rows.select(
+        *([label] if label else []), "template_id", "template_name", "severity", "matched", "extracted",
+        _appended(F.col("__parts.matches")).alias("matches"), _appended(F.col("__parts.named_extracts")).alias("named_extracts"),
+        F.flatten("__parts.extracts").alias("extracts"), F.flatten("__parts.output_extracts").alias("output_extracts"),
+    )
+
+
+def _compared(x: Column, y: Column, fields: list[str]) -> Column:
+    out = F.lit(0)
+    for f in reversed(fields):
+        out = F.when(x[f] < y[f], -1).when(x[f] > y[f], 1).otherwise(out)
+    return out
 
 
 def severity_histogram(findings: DataFrame) -> DataFrame:
@@ -46,6 +71,16 @@ def new_findings(findings: DataFrame, baseline: DataFrame, keys: list[str]) -> D
     return a.join(b, on, "left_anti")
 
 
+def save_baseline(findings: DataFrame, path: str, keys: list[str]) -> None:
+    """Writes the distinct ``keys`` of findings as a baseline for ``new_findings``."""
+    findings.select(*keys).distinct().write.mode("overwrite").parquet(path)
+
+
+def fails(findings: DataFrame, severity: str) -> bool:
+    """Whether some finding is at least of the given severity; unknown severities are below all."""
+    return not findings.where(F.col("severity").isin(list(SEVERITIES[: SEVERITIES.index(severity) + 1]))).isEmpty()
+
+
 def statistics(docs: DataFrame, content: str, findings: DataFrame, n_rules: int) -> DataFrame:
     """One row of counters: files, bytes, findings, rules."""
     d = docs.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length(content)), F.lit(0)).cast("long").alias("bytes")).withColumn("one", F.lit(1))

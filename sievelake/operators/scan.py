@@ -25,9 +25,10 @@ from .lines import block_starts, pieces, without_return
 
 #: Patterns up to which a pack is built into expressions.
 NATIVE_PATTERNS = 64
+#: Default bytes above which a content is left out.
+MAX_BYTES = 1 << 30
 #: Literals up to which documents are tested in the JVM before any other work.
 GUARD_LITERALS = 200
-MAX_BYTES = 1 << 30
 
 _RAW = f"m array<{match.RESULT}>, e array<{match.RESULT}>"
 
@@ -62,7 +63,7 @@ def assemble(raw: DataFrame, rules: list[Rule], keep: list[str], compat_negative
     Matches of one name are joined. All extracts are listed; the output
     extracts are the distinct values of extractors that aren't internal, in
     order; of several extractors of one name the last that found something
-    gives the named extracts. A rule with matchers needs one that holds, one
+    gives the named extracts. ``request`` numbers the pack's requests. A rule with matchers needs one that holds, one
     without needs an output extract.
     """
     z = raw.withColumn("r", F.element_at(_meta(rules, compat_negative), F.col("rule") + 1))
@@ -81,7 +82,7 @@ def assemble(raw: DataFrame, rules: list[Rule], keep: list[str], compat_negative
     matches = F.map_from_entries(F.transform(F.array_distinct(F.col("chosen.name")), lambda n: F.struct(n, F.flatten(F.transform(F.filter("chosen", lambda x: x["name"] == n), lambda x: x["hits"])))))
     extracts = F.map_from_entries(F.transform(F.array_distinct(F.col("named.name")), lambda n: F.struct(n, F.element_at(F.filter("named", lambda x: x["name"] == n), -1)["hits"]["value"])))
     return z.select(
-        *keep, "r.template_id", "r.template_name", "r.severity", matches.alias("matches"), F.flatten(F.col("es.hits")).alias("extracts"),
+        *keep, "r.template_id", "r.template_name", "r.severity", F.col("rule").alias("request"), matches.alias("matches"), F.flatten(F.col("es.hits")).alias("extracts"),
         "matched", (F.size("output_extracts") > 0).alias("extracted"), extracts.alias("named_extracts"), "output_extracts",
     )
 
@@ -105,12 +106,12 @@ def _event(label: Column, content: Column) -> dict[str, Column]:
     return {"raw": content, "path": label, "matched": label, "type": F.lit("file")}
 
 
-def _native(docs: DataFrame, rules: list[Rule], keep: list[str], guards: bool) -> DataFrame:
+def _native(docs: DataFrame, rules: list[Rule], keep: list[str], guards: bool, whole: bool = False, legacy: bool = False) -> DataFrame:
     ls, event = F.col("__lines"), _event(F.col("__label"), F.col("__content"))
     results, low = [], F.col("__low")
     for i, (_, q) in enumerate(_requests(rules)):
         empty = f"array<{match.RESULT}>"
-        m = F.array(*[match.matcher(x, ls, event) for x in q.matchers]) if q.matchers else F.array().cast(empty)
+        m = F.array(*[match.matcher(x, ls, event, legacy) for x in q.matchers]) if q.matchers else F.array().cast(empty)
         e = F.array(*[match.extractor(x, ls, event) for x in q.extractors]) if q.extractors else F.array().cast(empty)
         one = F.struct(F.lit(i).alias("rule"), m.cast(empty).alias("m"), e.cast(empty).alias("e"))
         lits = request_literals(q) if guards else None
@@ -124,10 +125,10 @@ def _native(docs: DataFrame, rules: list[Rule], keep: list[str], guards: bool) -
     requests = [q for _, q in _requests(rules)]
     folds = any(m.case_insensitive for q in requests for m in q.matchers) or any(regex.literals(p) and not regex.exact_literals(p) for q in requests for x in [*q.matchers, *q.extractors] for p in x.regex)
     need_low = folds or guards and any(request_literals(q) for q in requests)
-    rows = docs.withColumn("__low", regex.folded(F.col("__content")) if need_low else F.lit(None).cast("string")).withColumn("__parts", pieces(F.col("__content"))).withColumn("__starts", block_starts(F.col("__parts")))
-    low_of = F.split("__low", "\n", -1) if folds else F.lit(None).cast("array<string>")
+    rows = docs.withColumn("__low", regex.folded(F.col("__content")) if need_low else F.lit(None).cast("string")).withColumn("__parts", F.array("__content") if whole else pieces(F.col("__content"))).withColumn("__starts", block_starts(F.col("__parts")))
+    low_of = (F.array("__low") if whole else F.split("__low", "\n", -1)) if folds else F.lit(None).cast("array<string>")
     rows = rows.withColumn("__low_parts", low_of)
-    clean = F.transform("__parts", lambda raw, i: F.named_struct(F.lit("line_no"), i + 1, F.lit("line"), without_return(raw), F.lit("low"), F.get("__low_parts", i)))
+    clean = F.transform("__parts", lambda raw, i: F.named_struct(F.lit("line_no"), i + 1, F.lit("line"), raw if whole else without_return(raw), F.lit("low"), F.get("__low_parts", i)))
     rows = rows.withColumn("__lines", clean)
     # One array of all rules' results per document.
     return rows.select(*keep, F.explode(F.filter(F.array(*results), lambda x: x.isNotNull())).alias("x")).select(*keep, "x.*")
@@ -142,22 +143,47 @@ class _Engine:
         self.requests = requests
         self.compiled: dict[str, re.Pattern | None] = {}
         self.guards: dict[str, frozenset[str]] = {}
-        self.always, self.owners = [], {}
+        # What makes a request worth a look: a literal, or a size or expression that holds.
+        self.always, self.owners, self.by_slot = [], {}, []
         for i, q in enumerate(requests):
-            lits = request_literals(q)
+            for op in [*q.matchers, *q.extractors]:
+                for p in op.regex:
+                    self.pattern(p)
+            self.by_slot += [i for m in q.matchers if m.type in ("size", "dsl")]
+            lits = self.activators(q)
             if lits is None:
                 self.always.append(i)
             for x in lits or ():
                 self.owners.setdefault(x, set()).add(i)
-            for op in [*q.matchers, *q.extractors]:
-                for p in op.regex:
-                    self.pattern(p)
         self.automaton = ahocorasick.Automaton()
         for x in {*self.owners, *(x for g in self.guards.values() for x in g)}:
             self.automaton.add_word(x, x)
         if len(self.automaton):
             self.automaton.make_automaton()
 
+    def activators(self, q: Request) -> set[str] | None:
+        """Literals one of which a content must hold for an operator to find anything, sizes and expressions aside; None for any content."""
+        lits = request_literals(q)
+        if lits is not None:
+            return set(lits)
+        out: set[str] = set()
+        for op in q.matchers or q.extractors:
+            if getattr(op, "negative", False):
+                return None
+            if op.type in ("size", "dsl", "kval"):
+                continue
+            if op.type == "word":
+                per = [{w.lower()} if len(w) >= regex.MIN_LITERAL and w.isascii() else None for w in op.words]
+            elif op.type == "regex":
+                per = [set(self.guards[p]) or None for p in op.regex if self.compiled[p] is not None]
+            else:
+                raw = [bytes.fromhex(x) for x in op.binary]
+                per = [{x.decode().lower()} if len(x) >= regex.MIN_LITERAL and x.isascii() else None for x in raw]
+            if not all(per):
+                return None
+            out |= {x for p in per for x in p}
+        return out
+
     def pattern(self, p: str) -> re.Pattern | None:
         if p not in self.compiled:
             try:
@@ -184,14 +210,27 @@ class _Engine:
     def binary(self, m) -> list[bytes]:
         return [bytes.fromhex(x) for x in m.binary]
 
-    def candidates(self, present: set[str]) -> list[int]:
-        """The rules that may find something where these literals are present."""
+    def candidates(self, present: set[str], asked: list[bool]) -> list[int]:
+        """The requests that may find something where these literals are present and these sizes and expressions hold."""
         found = set(self.always)
         for x in present:
             found |= self.owners.get(x, frozenset())
+        found.update(i for i, holds in zip(self.by_slot, asked) if holds)
         return sorted(found)
 
 
+_ENGINES: dict[str, _Engine] = {}
+
+
+def engine_of(requests: list[Request]) -> _Engine:
+    """The engine of a pack, built once per Python worker."""
+    key = repr(requests)
+    if key not in _ENGINES:
+        _ENGINES.clear()
+        _ENGINES[key] = _Engine(requests)
+    return _ENGINES[key]
+
+
 class _Results:
     """Outcomes of rules, gathered in flat lists and turned into nested Arrow arrays at once."""
 
@@ -267,14 +306,14 @@ def _arrow(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     rows = rows.select(*keep, "__content", verdicts.alias("__asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = _Engine(requests)
+        engine = engine_of(requests)
         for b in batches:
             contents, asked_of = b.column("__content").to_pylist(), b.column("__asked").to_pylist()
             take, rule, ms, es = [], [], _Results(), _Results()
             for n, content in enumerate(contents):
                 low = _low(content)
                 present, raw, ls = engine.present(low), None, None
-                for i in engine.candidates(present):
+                for i in engine.candidates(present, asked_of[n]):
                     q = requests[i]
                     outcomes = []
                     for j, m in enumerate(q.matchers):
@@ -320,29 +359,43 @@ def _arrow(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, rule int, {_RAW}")
 
 
-def scan(docs: DataFrame, rules: list[Rule], label: str = "label", content: str = "content", keep: list[str] | None = None, engine: str = "auto", guards: bool = True, compat_negative: bool = False) -> DataFrame:
+def scan(
+    docs: DataFrame, rules: list[Rule], label: str = "label", content: str = "content", keep: list[str] | None = None, engine: str = "auto", guards: bool = True,
+    compat_negative: bool = False, whole: bool = False, legacy: bool = False, max_bytes: int = MAX_BYTES,
+) -> DataFrame:
     """Findings of all rules over documents.
 
     ``docs`` has a label and a text content per row; ``keep`` names columns to
     carry along (the label by default). Null and empty contents have no
     findings; equal rows have equal findings; other columns are not read.
-    ``guards`` only saves work: results are the same without. Contents above
-    1 GB are skipped. Nothing is shuffled.
+    ``guards`` only saves work: results are the same without. ``whole`` takes
+    each content as one token at line 1 instead of its lines, ``legacy``
+    applies a pattern matcher's condition within each token. Contents above
+    ``max_bytes`` are left out; ``oversized`` gives them. Nothing is shuffled.
+
+    Keys, expressions and named parts are evaluated by expressions only, so
+    ``engine="arrow"`` refuses packs that ask for them, as it does the modes.
     """
     keep = keep or [label]
-    if not _requests(rules):
-        rules = [Rule("none", requests=[Request(extractors=[])])]
-    n = sum(len(x.regex) for _, q in _requests(rules) for x in [*q.matchers, *q.extractors])
-    rows = docs.where((F.col(content) != "") & (F.octet_length(content) <= MAX_BYTES)).select(*keep, F.col(label).alias("__label"), F.col(content).alias("__content"))
-    if not _requests(rules):
+    asked = _requests(rules)
+    rows = docs.where((F.col(content) != "") & (F.octet_length(content) <= max_bytes)).select(*keep, F.col(label).alias("__label"), F.col(content).alias("__content"))
+    if not asked:
         raw = rows.where(F.lit(False)).select(*keep, F.lit(0).alias("rule"), F.array().cast(f"array<{match.RESULT}>").alias("m"), F.array().cast(f"array<{match.RESULT}>").alias("e"))
         return assemble(raw, [Rule("none", requests=[Request(extractors=[_never()])])], keep)
-    kvals = any(x.type != "regex" for _, q in _requests(rules) for x in q.extractors)
-    native = engine == "native" or engine == "auto" and (n <= NATIVE_PATTERNS or kvals or _only_java(rules))
-    raw = _native(rows, rules, keep, guards) if native else _arrow(rows, rules, keep)
+    operators = [x for _, q in asked for x in [*q.matchers, *q.extractors]]
+    special = whole or legacy or any(x.type != "regex" for _, q in asked for x in q.extractors) or any(not match.of_content(x) for x in operators if x.type in ("word", "binary", "regex"))
+    if special and engine == "arrow":
+        raise ValueError("these rules or modes need the native engine")
+    native = engine == "native" or engine == "auto" and (sum(len(x.regex) for x in operators) <= NATIVE_PATTERNS or special or _only_java(rules))
+    raw = _native(rows, rules, keep, guards, whole, legacy) if native else _arrow(rows, rules, keep)
     return assemble(raw, rules, keep, compat_negative)
 
 
+def oversized(docs: DataFrame, content: str = "content", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows of ``docs`` that ``scan`` leaves out for their size."""
+    return docs.where(F.octet_length(content) > max_bytes)
+
+
 def _never():
     from ..plans.rules import Extractor
 
@@ -367,12 +420,14 @@ def scan_files(files: DataFrame, rules: list[Rule], filters: Filters = DEFAULTS,
             one = Rule(r.id, r.name, r.severity, r.description, r.tags, [q])
             same.setdefault((tuple(sorted(q.extensions)), tuple(sorted(q.denylist)), q.archive, q.scan_all, q.max_size, q.mimetype), []).append(one)
     out = None
-    entry = F.contains(F.col("path"), F.lit(":"))
+    # Entries are labelled archive:entry; other colons, as in a URI, mean nothing.
+    mark = "(?:" + "|".join(re.escape(x) for x in [*filters.archive, ".tgz"]) + "):"
+    entry = F.col("path").rlike(mark)
     for (ext, deny, archive, every, size, mime), group in sorted(same.items(), key=str):
         text = None if every else looks_like_text(F.col("content"))
         kinds, refused = ([x for x in xs if "/" in x] if mime else [] for xs in (ext, deny))
         ext = [x for x in ext if x not in kinds]
-        inner = F.when(entry, F.regexp_extract("path", r":([^:]*)$", 1)).otherwise(F.col("path"))
+        inner = F.when(entry, F.regexp_extract("path", f"^.*{mark}(.*)$", 1)).otherwise(F.col("path"))
         by_path = selected(inner, ext, list(deny), archive, text, False, filters, root) if ext or not kinds else F.lit(False)
         by_kind = is_mime(F.col("content"), kinds)
         taken = usable.where(entry | by_kind | (by_path & ~is_mime(F.col("content"), refused)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.rules import Rule
 from . import match
-from .scan import _RAW, _Engine, _requests, assemble
+from .scan import _RAW, _requests, _Results, assemble, engine_of
 
 WINDOW, OVERLAP = 32768, 512
 
@@ -46,12 +46,17 @@ def explode_windows(df: DataFrame, content: str, window: int = WINDOW, overlap:
 def scan_blocks(blocks: DataFrame, rules: list[Rule], label: str = "label", content: str = "content", base: str | None = None, window: int = WINDOW, overlap: int = OVERLAP, keep: list[str] | None = None, compat_negative: bool = False, owned: str | None = None) -> DataFrame:
     """Findings of all rules over binary contents, with absolute byte offsets.
 
-    Content is read as one byte per character, in windows; a match counts once,
-    where it begins, and at most a window's length of it is seen. Words, bytes
-    and patterns get their true positions (``base`` plus offset), line 0. Sizes
-    and expressions are asked of the content. Null and empty contents have no
-    findings. ``owned`` names a column with the absolute end of the part whose
-    hits count. Positions of all matches are what Spark lacks, hence Arrow.
+    Content is read as one byte per character. A word or byte string counts
+    wherever it stands, overlapping itself or not, and the condition between
+    several asks of the whole content: ``and`` wants all of them anywhere,
+    ``or`` takes the first listed that is present, under match-all every one.
+    Patterns are matched in windows: a match counts once, where it begins, and
+    at most a window's length of it is seen. Hits are in order of their
+    position, ``base`` plus offset, at line 0. Sizes and expressions are asked
+    of the content. Null and empty contents have no findings. ``owned`` names a
+    column with the absolute end of the part whose hits are reported; what
+    stands behind it only counts for conditions. Positions of all matches are
+    what Spark lacks, hence Arrow.
     """
     keep = keep or [label]
     requests = [q for _, q in _requests(rules)]
@@ -64,80 +69,79 @@ def scan_blocks(blocks: DataFrame, rules: list[Rule], label: str = "label", cont
     end = F.col(owned).cast("long") if owned else F.lit((1 << 63) - 1)
     rows = blocks.where(F.octet_length(content) > 0).select(*keep, F.col(label).alias("__label"), F.col(content).alias("__content"), at.alias("__base"), end.alias("__end"))
     rows = rows.select(*keep, "__content", "__base", "__end", verdicts.alias("__asked"))
-    hit = pa.struct([("value", pa.string()), ("line", pa.int32()), ("byte_offset", pa.int64())])
-    results = pa.list_(pa.struct([("has", pa.bool_()), ("hits", pa.list_(hit))]))
-    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def spots(needles: list[tuple[str, bytes]], m, data: bytes) -> list[tuple[str, int]]:
+        """The (value, position) of the byte strings that a word or binary matcher reports."""
+        found = [[(value, k) for k in _positions(data, x)] for value, x in needles]
+        if m.condition == "and":
+            return [h for hits in found for h in hits] if found and all(found) else []
+        return [h for hits in ([x for x in found if x] if m.match_all else [x for x in found if x][:1]) for h in hits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = _Engine(requests)
+        engine = engine_of(requests)
+        listed = {(i, j): needles for i, q in enumerate(requests) for j, m in enumerate(q.matchers) if (needles := _needles(m)) is not None}
         for b in batches:
-            take, rule, ms, es = [], [], [], []
-            for n in range(b.num_rows):
-                text = bytes(b.column("__content")[n].as_py()).decode("latin-1")
-                origin, verdict = b.column("__base")[n].as_py(), b.column("__asked")[n].as_py()
-                found = {i: ([[] for _ in q.matchers], [[] for _ in q.extractors]) for i, q in enumerate(requests)}
-                for start in range(0, len(text), step):
-                    w = text[start : start + window]
-                    last = start + window >= len(text)
-                    low, owned = w.translate(fold), len(w) if last else step
-                    for i in engine.candidates(engine.present(low)):
-                        q = requests[i]
-                        spot = lambda v, k: {"value": v, "line": 0, "byte_offset": origin + start + k}
-                        for j, m in enumerate(q.matchers):
-                            if m.type == "regex":
-                                for p in m.regex:
-                                    rx = engine.pattern(p)
-                                    found[i][0][j] += [spot(x[0], x.start()) for x in (rx.finditer(w) if rx else ()) if x.start() < owned]
-                            elif m.type == "word":
-                                found[i][0][j] += _word_spots(m, w, low, owned, spot)
-                            elif m.type == "binary":
-                                raw = w.encode("latin-1")
-                                for x in _bytes_in(m, raw):
-                                    k = raw.find(bytes.fromhex(x))
-                                    if k < owned:
-                                        found[i][0][j].append(spot(x, k))
-                        for j, e in enumerate(q.extractors):
-                            for p in e.regex if e.type == "regex" else ():
-                                rx = engine.pattern(p)
-                                if rx and e.group <= rx.groups:
-                                    found[i][1][j] += [spot(x[e.group] or "", x.start()) for x in rx.finditer(w) if x.start() < owned]
-                    if last:
-                        break
-                limit = b.column("__end")[n].as_py()
-                for hits in (h for side in found.values() for lists in side for h in lists):
-                    hits[:] = [h for h in hits if h["byte_offset"] < limit]
-                for i, q in enumerate(requests):
-                    res = [{"has": bool(verdict[slots[i, j]]) if (i, j) in slots else bool(h), "hits": h} for j, h in enumerate(found[i][0])]
-                    ext = [{"has": bool(h), "hits": h} for h in found[i][1]]
-                    if any(r["has"] for r in res + ext) or any(m.negative for m in q.matchers):
+            take, rule, ms, es = [], [], _Results(), _Results()
+            origins, limits, told = (b.column(c).to_pylist() for c in ("__base", "__end", "__asked"))
+            for n, cell in enumerate(b.column("__content")):
+                data = cell.as_py()
+                low = data.lower()  # of bytes: ASCII letters only
+                text, folded = data.decode("latin-1"), low.decode("latin-1")
+                origin, limit = origins[n], limits[n]
+
+                def matches(patterns: list[str], group: int, text: str = text) -> list[tuple[str, int]]:
+                    out = []
+                    for start in range(0, len(text), step):
+                        w, last = text[start : start + window], start + window >= len(text)
+                        for p in patterns:
+                            rx = engine.pattern(p)
+                            if rx and group <= rx.groups:
+                                out += [(x[group] or "", start + x.start()) for x in rx.finditer(w) if last or x.start() < step]
+                        if last:
+                            break
+                    return out
+
+                def outcome(hits: list[tuple[str, int]], origin: int = origin, limit: int = limit) -> tuple[bool, list]:
+                    return bool(hits), sorted(((v, 0, origin + k) for v, k in hits if origin + k < limit), key=lambda h: h[2])
+
+                for i in engine.candidates(engine.present(folded), told[n]):
+                    q = requests[i]
+                    outcomes = []
+                    for j, m in enumerate(q.matchers):
+                        if (i, j) in slots:
+                            outcomes.append((bool(told[n][slots[i, j]]), ()))
+                        elif (i, j) in listed:
+                            outcomes.append(outcome(spots(listed[i, j], m, low if m.case_insensitive and m.type == "word" else data)))
+                        else:
+                            outcomes.append(outcome(matches(m.regex, 0)))
+                    extracts = [outcome(matches(e.regex, e.group) if e.type == "regex" else []) for e in q.extractors]
+                    # Without a reported hit a part that is owned has no result of its own.
+                    some = any(h for _, h in outcomes + extracts) or any(h and (i, j) in slots for j, (h, _) in enumerate(outcomes))
+                    if some or any(m.negative for m in q.matchers):
                         take.append(n)
                         rule.append(i)
-                        ms.append(res)
-                        es.append(ext)
+                        ms.add(outcomes)
+                        es.add([(bool(h), h) for _, h in extracts])
             kept = [b.column(c).take(pa.array(take, pa.int64())) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(rule, pa.int32()), pa.array(ms, results), pa.array(es, results)], names=[*keep, "rule", "m", "e"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rule, pa.int32()), ms.arrow(), es.arrow()], names=[*keep, "rule", "m", "e"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
     return assemble(rows.mapInArrow(run, f"{schema}, rule int, {_RAW}"), rules, keep, compat_negative)
 
 
-def _bytes_in(m, raw: bytes) -> list[str]:
-    present = [x for x in m.binary if bytes.fromhex(x) in raw]
-    if m.condition == "and":
-        return list(m.binary) if m.binary and len(present) == len(m.binary) else []
-    return present if m.match_all else present[:1]
+def _needles(m) -> list[tuple[str, bytes]] | None:
+    """The (reported value, bytes looked for) of a word or binary matcher."""
+    if m.type == "word":
+        values = [w.encode().lower() if m.case_insensitive else w.encode() for w in m.words]
+        return [(v.decode("latin-1"), v) for v in values if v]
+    return [(x, bytes.fromhex(x)) for x in m.binary if x] if m.type == "binary" else None
 
 
-def _word_spots(m, w: str, low: str, owned: int, spot) -> list[dict]:
-    corpus = low if m.case_insensitive else w
-    words = [x.encode().decode("latin-1") for x in m.words]
-    words = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in words] if m.case_insensitive else words
-    present = [x for x in words if x in corpus]
-    if m.condition == "and" and len(present) < len(words):
-        return []
-    if m.condition != "and" and not m.match_all:
-        present = present[:1]
-    return [spot(x, corpus.find(x)) for x in present if corpus.find(x) < owned]
+def _positions(data: bytes, x: bytes) -> Iterator[int]:
+    at = data.find(x)
+    while at >= 0:
+        yield at
+        at = data.find(x, at + 1)
 
 
 def window_hits(df: DataFrame, content: str, pattern: str, keep: list[str], window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -16,6 +17,8 @@ try:
 except ImportError:
     yaml = None
 
+#: A term of the small expression language: a comparison of a part or its length, or a test of what a part contains.
+DSL = re.compile(r"^\s*(?:len\((\w+)\)|(\w+))\s*(==|!=|>=|<=|>|<)\s*(\d+|\"[^\"]*\"|'[^']*')\s*$|^\s*(contains|starts_with|ends_with)\((\w+),\s*[\"']([^\"']*)[\"']\)\s*$")
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
 
@@ -70,6 +73,7 @@ class Rule:
     tags: list[str] = field(default_factory=list)
     requests: list[Request] = field(default_factory=list)
     sys: str | None = None
+    category: str = ""
 
     @property
     def literals(self) -> list[str] | None:
@@ -126,10 +130,17 @@ def load(path: str) -> list[Rule]:
                 continue
             raise
         if rule:
+            rule.category = f.relative_to(p).parts[0] if p.is_dir() and f.parent != p else ""
             out.append(rule)
     return out
 
 
+def ignored(text: str) -> list[str]:
+    """The rule ids of an ignore file: one a line, without blank lines and comments (``#``)."""
+    lines = (x.split("#")[0].strip() for x in text.splitlines())
+    return [x for x in lines if x]
+
+
 def _yaml(text: str) -> dict:
     if yaml is None:
         raise RuntimeError("reading YAML rules needs PyYAML; JSON rules don't")
@@ -157,8 +168,11 @@ def adhoc(*patterns: str, rule_id: str = "adhoc", group: int = 0) -> Rule:
     return Rule(rule_id, rule_id, "info", requests=[Request(extractors=[Extractor(regex=list(patterns), group=group)])])
 
 
-def choose(rules: list[Rule], ids: list[str] | None = None, tags: list[str] | None = None, severities: list[str] | None = None, extensions: list[str] | None = None, exclude_tags: list[str] | None = None) -> list[Rule]:
-    """The rules that have one of the given values in each property asked for."""
+def choose(rules: list[Rule], ids: list[str] | None = None, tags: list[str] | None = None, severities: list[str] | None = None, extensions: list[str] | None = None, exclude_tags: list[str] | None = None, exclude_ids: list[str] | None = None, categories: list[str] | None = None) -> list[Rule]:
+    """The rules that have one of the given values in each property asked for, and none of the excluded ones.
+
+    A rule's category is the folder below the rules' folder that it was loaded from.
+    """
 
     def ok(r: Rule) -> bool:
         takes = {e for q in r.requests for e in q.extensions}
@@ -167,6 +181,8 @@ def choose(rules: list[Rule], ids: list[str] | None = None, tags: list[str] | No
             and (not tags or bool({*tags} & {t.strip() for t in r.tags}))
             and (not severities or r.severity in severities)
             and (not extensions or "all" in takes or bool({*extensions} & takes))
+            and not (exclude_ids and r.id in exclude_ids)
+            and (not categories or r.category in categories)
             and not (exclude_tags and {*exclude_tags} & {t.strip() for t in r.tags})
         )
 
@@ -184,7 +200,11 @@ def grouped(rules: list[Rule]) -> dict[str, list[tuple[Rule, Request]]]:
 
 
 def problems(rules: list[Rule]) -> list[tuple[str, str]]:
-    """``(rule id, what)`` of every pattern that cannot be evaluated; the scan leaves these patterns out."""
+    """``(rule id, what)`` of everything that cannot be evaluated.
+
+    The scan leaves such patterns out, takes such expressions for false and
+    looks for words with ``{{`` as they stand, for there are no variables.
+    """
     out = []
     for r in rules:
         for q in r.requests:
@@ -195,6 +215,10 @@ def problems(rules: list[Rule]) -> list[tuple[str, str]]:
                         raise regex.Unsupported(f"cannot parse {p!r}")
                 except regex.Unsupported as e:
                     out.append((r.id, str(e)))
+            for x in [x for op in [*q.matchers, *q.extractors] for x in op.dsl]:
+                if not all(DSL.match(t) for side in x.split(" || ") for t in side.split(" && ")):
+                    out.append((r.id, f"expression {x!r}"))
+            out += [(r.id, f"variables in word {w!r}") for m in q.matchers for w in m.words if "{{" in w]
             for e in q.extractors:
                 out += [(r.id, f"group {e.group} of {p!r}") for p in e.regex if e.group > regex.groups(p)]
     return out
@@ -211,7 +235,9 @@ def request_literals(q: Request) -> list[str] | None:
     needed = []
     for m in q.matchers:
         lits: list[str] | None = None
-        if not m.negative and m.type == "word" and m.words and all(len(w) >= regex.MIN_LITERAL and w.isascii() for w in m.words):
+        if (m.part or "") not in ("", "body", "all", "data", "raw"):
+            pass  # looks elsewhere
+        elif not m.negative and m.type == "word" and m.words and all(len(w) >= regex.MIN_LITERAL and w.isascii() for w in m.words):
             lits = [w.lower() for w in m.words]
         elif not m.negative and m.type == "regex" and m.regex:
             per = [regex.literals(p) for p in m.regex]
@@ -224,7 +250,7 @@ def request_literals(q: Request) -> list[str] | None:
             return None
         return sorted({x for n in needed for x in n})
     for e in q.extractors:
-        per = [regex.literals(p) for p in e.regex] if e.type == "regex" and e.regex else [None]
+        per = [regex.literals(p) for p in e.regex] if e.type == "regex" and e.regex and (e.part or "") in ("", "body", "all", "data", "raw") else [None]
         if not all(per):
             return None
         out |= {x for p in per for x in p}

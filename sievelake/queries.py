@@ -7,7 +7,6 @@ sorted, joined text, so that engines can be compared.
 from __future__ import annotations
 
 import io
-import os
 import tarfile
 import zipfile
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, regex, text
 from .operators import match, reports, scan, windows
-from .operators.lines import bare_lines, explode_lines, legacy_lines, lines
+from .operators.lines import bare_lines, explode_lines, legacy_lines
 from .operators.skew import P3_QUERIES, P3_SQL
 from .plans.rules import Extractor, Matcher, Request, Rule, adhoc, choose, from_table, grouped, request_literals
 from .plans.session import scratch_path, spread, table
@@ -97,10 +96,11 @@ def lines_bare_offset(spark, sf):
     return explode_lines(table(spark, sf, "documents").select("doc_id", "text"), "text", bare_lines)
 
 
-@query("whole_file_token", "select doc_id, strlen(text)::int as n_bytes, regexp_matches(text, '(?s)Madam.*million') as found from documents where text <> ''")
+@query("whole_file_token", "select doc_id::varchar as label, md5(regexp_extract(text, '(?s)Madam.*million')) as found from documents where regexp_matches(text, '(?s)Madam.*million')")
 def whole_file_token(spark, sf):
-    d = table(spark, sf, "documents").where("text <> ''")
-    return d.select("doc_id", F.octet_length("text").alias("n_bytes"), F.col("text").rlike(regex.to_java("(?s)Madam.*million")).alias("found"))
+    rule = Rule("r", requests=[Request(matchers=[Matcher("regex", name="m", regex=["(?s)Madam.*million"])])])
+    hits = scan.scan(_docs(spark, sf), [rule], whole=True).select("label", F.explode(F.element_at("matches", "m")).alias("h"))
+    return hits.select("label", F.md5(F.col("h.value").cast("binary")).alias("found"))
 
 
 # ---- patterns, matchers and extractors per line --------------------------------
@@ -176,6 +176,17 @@ def match_regex_or(spark, sf):
     return _per_line(spark, sf, lambda t: match.regex_found(t, Matcher("regex", regex=[r"\d+ million", r"In \d+"])))
 
 
+@query("match_regex_legacy", "select distinct doc_id::varchar as label from (" + DOC_LINES + ") where regexp_matches(line, '\\d+ million') and regexp_matches(line, 'In \\d+')")
+def match_regex_legacy(spark, sf):
+    rule = Rule("r", requests=[Request(matchers=[Matcher("regex", regex=[r"\d+ million", r"In \d+"], condition="and")])])
+    return scan.scan(_docs(spark, sf), [rule], legacy=True).select("label")
+
+
+@query("match_named_part", "select doc_id::varchar as label from documents where text <> '' and contains(doc_id::varchar, '77')")
+def match_named_part(spark, sf):
+    return scan.scan(_docs(spark, sf), [Rule("r", requests=[Request(matchers=[Matcher(part="path", words=["77"])])])]).select("label")
+
+
 @query("match_binary", _unnested("['7472656174']", "contains(line, 'treat')"))
 def match_binary(spark, sf):
     return _per_line(spark, sf, lambda t: match.bytes_found(t, Matcher("binary", binary=["7472656174"])))
@@ -268,13 +279,16 @@ def findings_output_extracts(spark, sf):
     return scan.scan(_docs(spark, sf), [rule]).select("label", _joined(F.col("output_extracts")).alias("outputs"))
 
 
-@query("findings_named_extracts", f"select label, string_agg(v, '|' order by v) as named from ({_LINE_HITS.format(values=f'''regexp_extract_all(line, '{CASES}', 1)''')}) group by label")
+_NAMED = "select label, string_agg(v, '|' order by v) as named from ({hits}) group by label"
+_OF_CASES, _OF_MILLIONS = (_LINE_HITS.format(values=f"regexp_extract_all(line, '{p}', 1)") for p in (CASES, MILLIONS))
+
+
+@query("findings_named_extracts", _NAMED.format(hits=f"{_OF_CASES} union all select * from ({_OF_MILLIONS}) where label not in (select label from ({_OF_CASES}))"))
 def findings_named_extracts(spark, sf):
+    # Where the later one found nothing, the earlier one's values stay.
     twice = [Extractor(name="n", regex=[MILLIONS], group=1), Extractor(name="n", regex=[CASES], group=1)]
     f = scan.scan(_docs(spark, sf), [Rule("r", requests=[Request(extractors=twice)])])
-    # Where the later one found nothing, the earlier one's values stay: only documents with cases are compared.
-    cases = explode_lines(_docs(spark, sf), "content").where(F.size(match.find_all(F.col("line"), CASES)) > 0).select("label").distinct()
-    return f.join(cases, "label", "left_semi").select("label", _joined(F.element_at("named_extracts", "n")).alias("named"))
+    return f.select("label", _joined(F.element_at("named_extracts", "n")).alias("named"))
 
 
 PACK = [
@@ -300,6 +314,40 @@ def findings_multi_rule_automaton(spark, sf):
     return scan.scan(_docs(spark, sf), PACK, engine="arrow").select("label", "template_id", "severity")
 
 
+# The rules table interpreted by SQL: what each matcher and extractor finds, then what each request makes of it.
+_RULE_PACK_SQL = f"""
+    with docs as (select label, raw_line as raw from {RAW} where raw_line <> ''),
+    lines as (select label, line, lower(line) as low, hex(line) as digits from ({RAW_LINES})),
+    q as (select rule_id, coalesce(severity, '') as severity, unnest(requests) as r, generate_subscripts(requests, 1) as k from rules),
+    ms as (select rule_id, k, unnest(r.matchers) as m, generate_subscripts(r.matchers, 1) as j from q),
+    es as (select rule_id, k, unnest(r.extractors) as e, generate_subscripts(r.extractors, 1) as j from q),
+    in_lines as (
+        select label, rule_id, k, j from lines, ms where m.matcher_type = 'word' and len(m.words) > 0
+            and len(list_filter(m.words, lambda w: contains(case when coalesce(m.case_insensitive, false) then low else line end, case when coalesce(m.case_insensitive, false) then lower(w) else w end)))
+                >= case when m.words_condition = 'and' then len(m.words) else 1 end
+        union all select label, rule_id, k, j from lines, ms where m.matcher_type = 'binary' and len(m.hex_patterns) > 0
+            and len(list_filter(m.hex_patterns, lambda x: contains(digits, upper(x)) and regexp_matches(digits, '^(..)*' || upper(x)))) >= case when m.words_condition = 'and' then len(m.hex_patterns) else 1 end
+        union all select label, rule_id, k, j from lines, (select rule_id, k, j, unnest(m.regexes) as p from ms where m.matcher_type = 'regex') where regexp_matches(line, p)
+        union all select label, rule_id, k, j from docs, ms where m.matcher_type = 'size' and list_contains(m.sizes, strlen(raw))
+        union all select label, rule_id, k, j from docs, ms where m.matcher_type = 'dsl' and len(m.dsl) > 0
+            and len(list_filter(m.dsl, lambda x: strlen(raw) > regexp_extract(x, '> ([0-9]+)$', 1)::bigint)) >= case when m.words_condition = 'and' then len(m.dsl) else 1 end),
+    present as (select distinct label, rule_id, k, j from in_lines),
+    positive as (select label, rule_id, k, count(*) as n from present join ms using (rule_id, k, j) where not coalesce(m.negative, false) group by all),
+    negated as (select label, rule_id, k, count(*) as n from present join ms using (rule_id, k, j) where m.negative group by all),
+    sizes as (select rule_id, k, count(*) as n, count(*) filter (coalesce(m.negative, false)) as n_negative from ms group by all),
+    found as (select label, rule_id, k, sum(n)::int as n_extracts, bool_or(shown) as extracted from (
+        select label, rule_id, k, case when coalesce(e.capture_group, 0) = 0 then len(regexp_extract_all(line, p)) else len(regexp_extract_all(line, p, 1)) end as n, not coalesce(e.is_internal, false) as shown
+        from lines, (select rule_id, k, e, unnest(e.regexes) as p from es where e.extractor_type = 'regex') where regexp_matches(line, p)) group by all),
+    every as (
+        select label, rule_id, k, coalesce(s.n, 0) as n_matchers, coalesce(p.n, 0) + coalesce(s.n_negative, 0) - coalesce(g.n, 0) as n_hold from docs cross join q left join sizes s using (rule_id, k)
+            left join positive p using (label, rule_id, k) left join negated g using (label, rule_id, k) where coalesce(len(r.matchers), 0) + coalesce(len(r.extractors), 0) > 0),
+    told as (
+        select label, rule_id, k, n_matchers, n_matchers > 0 and n_hold >= case when q.r.matchers_condition = 'and' then n_matchers else 1 end as matched,
+               coalesce(f.extracted, false) as extracted, coalesce(f.n_extracts, 0) as n_extracts, severity
+        from every join q using (rule_id, k) left join found f using (label, rule_id, k))
+    select label, rule_id as template_id, severity, matched, extracted, n_extracts from told where matched or n_matchers = 0 and extracted"""
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Every rule of the rules table over all raw lines, in one pass."""
     rules = from_table(table(spark, sf, "rules"))
@@ -307,7 +355,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("label", "template_id", "severity", "matched", "extracted", F.size("extracts").alias("n_extracts"))
 
 
-QUERIES["findings_rule_pack"] = flagship
+QUERIES["findings_rule_pack"], SQL["findings_rule_pack"] = flagship, _RULE_PACK_SQL
 
 
 @query("event_fanout", f"select template_id, label as path, case template_id when 'cases' then null when 'treaty' then 'w' when 'long' then null else n end as matcher_name, case when template_id = 'cases' then 'n' end as extractor_name from ({_PACK_SQL}) left join (select 'money' as t, unnest(['matcher-0', 'year']) as n) on template_id = t")
@@ -315,10 +363,29 @@ def event_fanout(spark, sf):
     return reports.fan_out(scan.scan(_docs(spark, sf), PACK)).select("template_id", "path", "matcher_name", "extractor_name")
 
 
-@query("findings_merge_requests", "select doc_id::varchar as label, contains(text, 'treaty') or contains(text, 'budget') as matched from documents where contains(text, 'treaty') or contains(text, 'budget')")
+def _merged_sql() -> str:
+    def part(word: str, pattern: str) -> str:
+        words = _hit_list(f"case when contains(line, '{word}') then ['{word}'] else [] end")
+        found = _LINE_HITS.format(values=f"regexp_extract_all(line, '{pattern}', 1)")
+        return f"""select w.label, w.hits, list_transform(list_sort(e.vs), lambda x: x) as vs, list_distinct(e.vs) as outs from ({words}) w
+            left join (select label, list(v) as vs from ({found}) group by label) e on w.label = e.label"""
+
+    both = f"select * from ({part('treaty', CASES)}) union all select * from ({part('budget', MILLIONS)})"
+    hits = "string_agg(hits, '|')"
+    return f"""select label, 'Two' as template_name, 'low' as severity, true as matched, count(vs) > 0 as extracted,
+            array_to_string(list_sort(string_split({hits}, '|')), '|') as matches, array_to_string(list_sort(flatten(list(vs) filter (vs is not null))), '|') as named,
+            array_to_string(list_sort(flatten(list(outs) filter (outs is not null))), '|') as outputs
+        from ({both}) group by label"""
+
+
+@query("findings_merge_requests", _merged_sql())
 def findings_merge_requests(spark, sf):
-    rule = Rule("two", "Two", "low", requests=[Request(matchers=[Matcher(words=["treaty"])]), Request(matchers=[Matcher(words=["budget"])])])
-    return reports.merge_rules(scan.scan(_docs(spark, sf), [rule])).select("label", "matched")
+    request = lambda word, pattern: Request(matchers=[Matcher(name="w", words=[word])], extractors=[Extractor(name="n", regex=[pattern], group=1)])
+    f = reports.merge_rules(scan.scan(_docs(spark, sf), [Rule("two", "Two", "low", requests=[request("treaty", CASES), request("budget", MILLIONS)])]))
+    hits = F.transform(F.element_at("matches", "w"), lambda h: F.concat_ws(":", h["line"], h["byte_offset"], h["value"]))
+    named = F.coalesce(F.try_element_at("named_extracts", F.lit("n")), F.array().cast("array<string>"))
+    listed = lambda c: F.when(F.size(c) > 0, _joined(c))
+    return f.select("label", "template_name", "severity", "matched", "extracted", _joined(hits).alias("matches"), listed(named).alias("named"), listed(F.col("output_extracts")).alias("outputs"))
 
 
 # ---- pre-filters ------------------------------------------------------------------
@@ -443,6 +510,37 @@ def block_findings(spark, sf):
     return f.select("block_id", F.size("extracts").alias("n_extracts"))
 
 
+_PAYLOAD_HEX = "(select block_id, coalesce(base_address, 0) as base, hex(payload) as h, octet_length(payload) as n from blocks where octet_length(payload) > 0)"
+
+
+def _spots(needle: bytes) -> str:
+    """SQL of the positions of a byte string in a payload's hexadecimal digits."""
+    x = needle.hex().upper()
+    return f"list_filter(range(0, n), lambda i: substr(h, (2 * i + 1)::bigint, {len(x)}) = '{x}')"
+
+
+def _spots_sql(needles: list[tuple[str, bytes]], every: bool) -> str:
+    parts = " union all ".join(f"select block_id, base, '{v}' as v, {_spots(x)} as spots from {_PAYLOAD_HEX}" for v, x in needles)
+    keep = f"having count(*) filter (len(spots) > 0) = {len(needles)}" if every else ""
+    return f"select block_id, unnest(flatten(list(list_transform(spots, lambda k: (base + k)::varchar || ':' || v)))) as hit from ({parts}) group by block_id {keep}"
+
+
+def _block_hits(spark, sf, m: Matcher) -> DataFrame:
+    f = windows.scan_blocks(table(spark, sf, "blocks"), [Rule("r", requests=[Request(matchers=[m])])], "block_label", "payload", "base_address", 1000, 100, keep=["block_id"])
+    hits = f.select("block_id", F.explode("matches").alias("name", "h")).select("block_id", F.explode("h").alias("h"))
+    return hits.select("block_id", F.concat_ws(":", F.col("h.byte_offset").cast("string"), "h.value").alias("hit"))
+
+
+@query("block_word_hits", _spots_sql([("key", b"key"), ("token", b"token")], True))
+def block_word_hits(spark, sf):
+    return _block_hits(spark, sf, Matcher(words=["key", "token"], condition="and"))
+
+
+@query("block_binary_hits", _spots_sql([("0000", b"\0\0"), ("0d0a", b"\r\n")], False))
+def block_binary_hits(spark, sf):
+    return _block_hits(spark, sf, Matcher("binary", binary=["0000", "0d0a"], match_all=True))
+
+
 # ---- reports ----------------------------------------------------------------------------
 
 
@@ -451,13 +549,7 @@ def block_findings(spark, sf):
     "select coalesce(severity, 'unknown') as severity, coalesce(nullif(list_position(['critical', 'high', 'medium', 'low', 'info'], severity), 0), 6)::int as severity_rank, count(*) as n_findings from findings group by all",
 )
 def severity_histogram(spark, sf):
-    f = table(spark, sf, "findings")
-    rank = F.array_position(F.array(*[F.lit(x) for x in reports.SEVERITIES]), F.col("severity"))
-    return (
-        f.withColumn("severity_rank", F.coalesce(F.nullif(rank, F.lit(0)), F.lit(6)).cast("int"))
-        .groupBy(F.coalesce("severity", F.lit("unknown")).alias("severity"), "severity_rank")
-        .agg(F.count("*").alias("n_findings"))
-    )
+    return reports.severity_histogram(table(spark, sf, "findings")).select("severity", "severity_rank", "n_findings")
 
 
 @query(
@@ -548,20 +640,20 @@ def _streamed(spark: SparkSession, chunks: DataFrame, operator) -> DataFrame:
     return spark.read.schema(out.schema).parquet(sink)
 
 
-def _by_label(chunks: DataFrame) -> DataFrame:
-    """All chunks of a label in one file, so that a stream meets them in order."""
-    return chunks.repartition("label").sortWithinPartitions("label", "seq")
+def _scattered(chunks: DataFrame) -> DataFrame:
+    """A label's chunks in several files, so that a stream meets them out of order and in several micro-batches."""
+    return chunks.repartition(8, "seq")
 
 
 @query("stream_lines", f"select label, line_no::bigint as line_no, byte_offset, line from ({LABEL_LINES}) where line <> ''")
 def stream_lines(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    return _streamed(spark, _by_label(_chunks(d, "doc_id", F.col("b"), 300)), writers.assemble_lines).select("label", "line_no", "byte_offset", "line")
+    return _streamed(spark, _scattered(_chunks(d, "doc_id", F.col("b"), 300)), writers.assemble_lines).select("label", "line_no", "byte_offset", "line")
 
 
 @query("stream_windows", "select block_id::varchar as label, window_start, owned_end, n_bytes from (" + _WINDOWS_SQL + ")")
 def stream_windows(spark, sf):
-    c = _by_label(_chunks(table(spark, sf, "blocks"), "block_id", F.col("payload"), 5000))
+    c = _scattered(_chunks(table(spark, sf, "blocks"), "block_id", F.col("payload"), 5000))
     w = _streamed(spark, c, lambda s: writers.assemble_windows(s, 32768, 1024))
     return w.select("label", "window_start", "owned_end", F.octet_length("content").cast("long").alias("n_bytes"))
 
@@ -569,61 +661,66 @@ def stream_windows(spark, sf):
 @query("stream_line_findings", f"select label, line_no::bigint as line_no, byte_offset, len(regexp_extract_all(line, '{CASES}', 1))::int as n_extracts from ({LABEL_LINES}) where regexp_matches(line, '{CASES}')")
 def stream_line_findings(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    f = _streamed(spark, _by_label(_chunks(d, "doc_id", F.col("b"), 400)), lambda s: writers.scan_line_stream(s, PACK[:1]).select("label", "line_no", "byte_offset", F.size("extracts").alias("n_extracts")))
+    f = _streamed(spark, _scattered(_chunks(d, "doc_id", F.col("b"), 400)), lambda s: writers.scan_line_stream(s, PACK[:1]).select("label", "line_no", "byte_offset", F.size("extracts").alias("n_extracts")))
     return f
 
 
 @query("stream_block_findings", "select block_id::varchar as label, ((strlen(payload::varchar) - strlen(replace(payload::varchar, 'token', ''))) // 5)::bigint as n from blocks where contains(payload::varchar, 'token')")
 def stream_block_findings(spark, sf):
-    c = _by_label(_chunks(table(spark, sf, "blocks"), "block_id", F.col("payload"), 5000))
+    c = _scattered(_chunks(table(spark, sf, "blocks"), "block_id", F.col("payload"), 5000))
     f = _streamed(spark, c, lambda s: writers.scan_block_stream(s, [adhoc("token")], 4096, 64).select("label", F.size("extracts").cast("long").alias("n")))
     return f.groupBy("label").agg(F.sum("n").alias("n"))
 
 
-@query("archive_entries")
+#: Documents of an archive on average: far below the entries that are taken of one.
+PACKED = 2000
+_PACKS = f"(select greatest(8, ceil(count(*) / {PACKED}))::bigint from documents)"
+
+
+@query(
+    "archive_entries",
+    f"""select 'pack-' || (doc_id % {_PACKS}) || ext || ':' || doc_id || '.txt' as path, strlen(text)::int as n_bytes
+        from documents, (select unnest(['.zip', '.tar', '.tar.gz']) as ext) where text <> ''""",
+)
 def archive_entries(spark, sf):
-    """Entries of archives made of the documents of each language: zip, tar and gzipped tar."""
-    docs = table(spark, sf, "documents").where("lang in ('en', 'de', 'fr') and text <> ''")
+    """Entries of archives made of all documents that have a text: zip, tar and gzipped tar."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    packs = max(8, -(-docs.count() // PACKED))
 
     def pack(key, pdf):
         import gzip
 
         import pandas as pd
 
-        rows = []
         z, t = io.BytesIO(), io.BytesIO()
         with zipfile.ZipFile(z, "w") as zf, tarfile.open(fileobj=t, mode="w") as tf:
             for r in pdf.itertuples():
-                data, name = r.text.encode(), f"{key[0]}/{r.doc_id}.txt"
+                data, name = r.text.encode(), f"{r.doc_id}.txt"
                 zf.writestr(name, data)
                 info = tarfile.TarInfo(name)
                 info.size = len(data)
                 tf.addfile(info, io.BytesIO(data))
-        name = f"{key[0]}-{key[1]}"
+        name = f"pack-{key[0]}"
         rows = [(f"{name}.zip", z.getvalue()), (f"{name}.tar", t.getvalue()), (f"{name}.tar.gz", gzip.compress(t.getvalue()))]
         return pd.DataFrame(rows, columns=["path", "content"])
 
-    packs = docs.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).groupBy("lang", "part").applyInPandas(pack, "path string, content binary")
-    return sources.expand_archives(packs).select("path", F.octet_length("content").alias("n_bytes"))
+    made = docs.where("text <> ''").groupBy(F.pmod("doc_id", F.lit(packs)).alias("pack")).applyInPandas(pack, "path string, content binary")
+    return sources.expand_archives(made).select("path", F.octet_length("content").alias("n_bytes"))
 
 
-@query("folder_findings")
-def folder_findings(spark, sf):
-    """Findings over a small tree of files written below the shared folder, hidden files and archives included."""
-    from .plans.session import shared_dir
+_TREE = "'p' || (doc_id % 7) || '/' || (case when doc_id % 3 = 0 then '.hidden/' else '' end) || (case when doc_id % 2 = 0 then '.' else '_' end) || doc_id || '.txt'"
+
 
-    root = os.path.join(shared_dir(spark).removeprefix("file://"), "tree")
-    for name, data in {"app/.env": b"token = abcdefgh1234\n", "app/x.py": b"a = 1\npassword = 'zyxwvuts9'\n", "node_modules/y.js": b"secret: hidden1234\n", "pic.png": b"token = abcdefgh1234", ".git/config": b"token = gitgitgit1\n", "bin.dat": b"\x00token = abcdefgh1234"}.items():
-        p = os.path.join(root, name)
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        with open(p, "wb") as f:
-            f.write(data)
-    with zipfile.ZipFile(os.path.join(root, "z.zip"), "w") as z:
-        z.writestr("in/a.txt", "secret: insidezip1")
-    found = scan.scan_files(sources.corpus(spark, root), [adhoc(TOKEN, group=1)])
-    return found.select(F.substr("path", F.lit(len(root) + 2)).alias("path"), F.array_join("output_extracts", "|").alias("outputs"))
+@query("folder_findings", f"select path, outputs from (select {_TREE} as path, doc_id::varchar as label from documents) join ({SQL['findings_output_extracts']}) using (label)")
+def folder_findings(spark, sf):
+    """Findings over all documents, written as a tree of files with hidden names below the shared folder, listed and read again."""
+    docs = table(spark, sf, "documents").where("text <> ''")
+    root = scratch_path(spark, "tree")
+    tree = docs.select(F.expr(_TREE).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    sources.write_files(spread(tree, "path"), root).agg(F.sum("size")).collect()
+    found = scan.scan_files(sources.corpus(spark, root), [adhoc(CASES, group=1)])
+    return found.select(F.substr("path", F.lit(len(root) + 2)).alias("path"), _joined(F.col("output_extracts")).alias("outputs"))
 
 
 QUERIES.update(P3_QUERIES)
 SQL.update(P3_SQL)
-_ = lines  # re-exported for callers that build their own queries

@@ -2,16 +2,9 @@ import pytest
 
 from sievelake import queries
 
-from .oracle import DATA, same
+from .oracle import same
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     assert same(spark, queries.QUERIES[name], queries.SQL[name])
-
-
-def test_rows_only_queries(spark):
-    files = {r.path: r.outputs for r in queries.folder_findings(spark, DATA).collect()}
-    assert files == {".git/config": "gitgitgit1", "app/.env": "abcdefgh1234", "app/x.py": "zyxwvuts9", "z.zip:in/a.txt": "insidezip1"}
-    entries = [r.path for r in queries.archive_entries(spark, DATA).collect()]
-    assert len(entries) == len(set(entries)) and len(entries) % 3 == 0 and any(".tar.gz:" in p for p in entries)
