@@ -211,3 +211,15 @@ def p4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(*_inputs(spark, sf_dir), content=False)
+
+
+# A payload as its bytes' hexadecimal digits with a blank behind each; a stretch runs to the end of a line or of a run of NUL bytes.
+_OTHER = "(?:[1-9A-F][0-9A-F]|0[1-9BCEF]) "
+_STRETCH = f"(?:{_OTHER})*(?:0D 0A |0A |0D |(?:00 )+)|(?:{_OTHER})+"
+SQL = {
+    "p4_found": f"""
+        with w as (select writer_id, min(window_size) as window_size from block_writers group by writer_id),
+        b as (select block_id, writer_id, regexp_replace(hex(payload), '(..)', '\\1 ', 'g') as h from blocks where octet_length(payload) > 0),
+        s as (select block_id, writer_id, unnest(regexp_extract_all(h, '{_STRETCH}')) as x from b)
+        select block_id from s left join w on s.writer_id = w.writer_id group by block_id, window_size having max(length(x)) // 3 > coalesce(window_size, {WINDOW})""",
+}

@@ -21,4 +21,4 @@ QUERIES = {
     "p8_kinds": quality.p8_kinds,
     "p8_stats": quality.p8_stats,
 }
-SQL = {**frequent.SQL, **quality.SQL}
+SQL = {**frequent.SQL, **pieces.SQL, **quality.SQL}
