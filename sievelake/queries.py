@@ -510,19 +510,21 @@ def block_findings(spark, sf):
     return f.select("block_id", F.size("extracts").alias("n_extracts"))
 
 
-_PAYLOAD_HEX = "(select block_id, coalesce(base_address, 0) as base, hex(payload) as h, octet_length(payload) as n from blocks where octet_length(payload) > 0)"
+# A payload as its bytes' hexadecimal digits with a blank behind each, so that a needle is found at whole bytes only.
+_PAYLOAD_HEX = "(select block_id, coalesce(base_address, 0) as base, regexp_replace(hex(payload), '(..)', '\\1 ', 'g') as h from blocks where octet_length(payload) > 0)"
 
 
-def _spots(needle: bytes) -> str:
-    """SQL of the positions of a byte string in a payload's hexadecimal digits."""
-    x = needle.hex().upper()
-    return f"list_filter(range(0, n), lambda i: substr(h, (2 * i + 1)::bigint, {len(x)}) = '{x}')"
+def _spots(value: str, needle: bytes) -> str:
+    """SQL of the positions of a byte string that doesn't overlap itself."""
+    x = "".join(f"{b:02X} " for b in needle)
+    parts = f"select block_id, base, unnest(p) as part, generate_subscripts(p, 1) as i, len(p) as n from (select block_id, base, string_split(h, '{x}') as p from {_PAYLOAD_HEX})"
+    return f"select block_id, base, '{value}' as v, i < n as hit, ((sum(length(part) + {len(x)}) over (partition by block_id order by i) - {len(x)}) // 3)::bigint as spot from ({parts})"
 
 
 def _spots_sql(needles: list[tuple[str, bytes]], every: bool) -> str:
-    parts = " union all ".join(f"select block_id, base, '{v}' as v, {_spots(x)} as spots from {_PAYLOAD_HEX}" for v, x in needles)
-    keep = f"having count(*) filter (len(spots) > 0) = {len(needles)}" if every else ""
-    return f"select block_id, unnest(flatten(list(list_transform(spots, lambda k: (base + k)::varchar || ':' || v)))) as hit from ({parts}) group by block_id {keep}"
+    found = "select * from (" + " union all ".join(_spots(v, x) for v, x in needles) + ") where hit"
+    all_of = f"where block_id in (select block_id from ({found}) group by block_id having count(distinct v) = {len(needles)})" if every else ""
+    return f"select block_id, (base + spot)::varchar || ':' || v as hit from ({found}) {all_of}"
 
 
 def _block_hits(spark, sf, m: Matcher) -> DataFrame:
@@ -536,9 +538,9 @@ def block_word_hits(spark, sf):
     return _block_hits(spark, sf, Matcher(words=["key", "token"], condition="and"))
 
 
-@query("block_binary_hits", _spots_sql([("0000", b"\0\0"), ("0d0a", b"\r\n")], False))
+@query("block_binary_hits", _spots_sql([("3d22", b'="'), ("0d0a", b"\r\n")], False))
 def block_binary_hits(spark, sf):
-    return _block_hits(spark, sf, Matcher("binary", binary=["0000", "0d0a"], match_all=True))
+    return _block_hits(spark, sf, Matcher("binary", binary=["3d22", "0d0a"], match_all=True))
 
 
 # ---- reports ----------------------------------------------------------------------------
