@@ -97,10 +97,11 @@ def probes(rows: DataFrame) -> DataFrame:
     return rows.select("block", F.explode(F.sequence(lo, hi)).alias("band")).select(F.xxhash64("block", "band").alias("key")).distinct()
 
 
-def agreement(a: list[str], b: list[str]) -> float:
+def agreement(a: list[str], b: list[str], least: float = 0.0) -> float:
     """Share of the longer side's characters that agree; equal values first, then the most alike.
 
-    Two findings without values agree wholly.
+    Two findings without values agree wholly. If the share can't reach
+    ``least``, an upper bound below it may be given instead.
     """
     size = max(sum(map(len, a)), sum(map(len, b)))
     if not size:
@@ -110,12 +111,29 @@ def agreement(a: list[str], b: list[str]) -> float:
     common = sum(len(v) * n for v, n in same.items())
     left, right = list((x - same).elements()), list((y - same).elements())
     if left and right:
-        pairs = []
+        # Blocks that agree are of GRAM characters at least: m of them hold m / GRAM common n-grams or more.
+        of_left, of_right = ([{v[i : i + GRAM] for i in range(len(v) - GRAM + 1)} for v in vs] for vs in (left, right))
+        may = []
         for i, v in enumerate(left):
             for j, w in enumerate(right):
-                n = sum(m.size for m in SequenceMatcher(None, v, w, autojunk=False).get_matching_blocks() if m.size >= GRAM)
-                if 2 * n >= min(len(v), len(w)):
-                    pairs.append((-n, i, j))
+                # Each n-gram that is common may stand in the shorter value as often as it has room.
+                shorter = min(len(v), len(w))
+                if not of_left[i].isdisjoint(of_right[j]):
+                    shared = sum(1 for k in range(shorter - GRAM + 1) if (v if len(v) == shorter else w)[k : k + GRAM] in (of_right[j] if len(v) == shorter else of_left[i]))
+                    if 2 * GRAM * shared >= shorter:
+                        may.append((i, j, min(GRAM * shared, shorter)))
+        best: dict[int, int] = {}
+        for i, _, n in may:
+            best[i] = max(best.get(i, 0), n)
+        bound = (common + sum(best.values())) / size
+        if bound < least - 1e-9:
+            return bound
+        pairs = []
+        for i, j, _ in may:
+            v, w = left[i], right[j]
+            n = sum(m.size for m in SequenceMatcher(None, v, w, autojunk=False).get_matching_blocks() if m.size >= GRAM)
+            if 2 * n >= min(len(v), len(w)):
+                pairs.append((-n, i, j))
         taken_left, taken_right = set(), set()
         for n, i, j in sorted(pairs):
             if i not in taken_left and j not in taken_right:
@@ -190,7 +208,7 @@ class Representatives:
 def gram_counts(vals: list[list[str]], size: int) -> np.ndarray:
     """For each list of values how many of their n-grams have each number below ``size``, a power of two.
 
-    A value of fewer characters is one n-gram.
+    Repeated n-grams are told apart; a value of fewer characters is one n-gram.
     """
     flat = [v if len(v) >= GRAM else v + "\x00" * (GRAM - len(v)) for vs in vals for v in vs]
     if not flat:
@@ -207,7 +225,13 @@ def gram_counts(vals: list[list[str]], size: int) -> np.ndarray:
     for k in range(1, GRAM):
         inside[ends - k] = False
     at = row[: len(h)] * size + h.astype(np.int64)
-    return np.bincount(at[inside], minlength=len(vals) * size).reshape(len(vals), size).astype(np.float32)
+    counts = np.bincount(at[inside], minlength=len(vals) * size).reshape(len(vals), size)
+    out = np.minimum(counts, 1).astype(np.float32)
+    k = 2
+    while len(again := np.argwhere(counts >= k)):  # a number's k-th occurrence counts under a number of its own
+        np.add.at(out, (again[:, 0], (again[:, 1] * 0x9E37 + k * 0x79B1) & (size - 1)), 1)
+        k += 1
+    return out
 
 
 def alike(fresh: list[tuple], rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
@@ -216,8 +240,8 @@ def alike(fresh: list[tuple], rows: list[tuple]) -> Iterator[tuple[int, np.ndarr
     Rows are (id, total, spelled, vals, ...). Of two values that agree, each
     common block of m >= GRAM characters holds m - GRAM + 1 >= m / GRAM common
     n-grams. So findings that agree in AGREEMENT share at least that part of
-    it in n-grams. Numbers that clash and n-grams that repeat add to what is
-    counted, so no pair that agrees is left out.
+    it in n-grams. Numbers that clash only add to what is counted, so no pair that
+    agrees is left out.
     """
     size = int(min(MAX_SIZE, max(64, 1 << (8 * int(np.median([r[1] for r in rows]))).bit_length())))
 
@@ -265,7 +289,7 @@ class _Scorer:
 
     def linked(self, a: tuple, b: tuple) -> bool:
         """Whether the weight speaks for a match of two rows (id, total, spelled, vals, sig, ...) and their agreement confirms it."""
-        agreed = 1.0 if a[4] == b[4] else agreement(a[3], b[3])
+        agreed = 1.0 if a[4] == b[4] else agreement(a[3], b[3], AGREEMENT)
         p = pattern(a, b, agreed)
         self.counted[p] += 1
         return self.odds + self.weights[0][p[0]] + self.weights[1][p[1]] + self.weights[2][p[2]] >= 0 and agreed >= AGREEMENT - 1e-9
