@@ -8,24 +8,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Extensions and folder names that the selection of files goes by.
-KNOWN_TEXT = (
-    ".env .ini .conf .cfg .config .yaml .yml .toml .json .xml .properties .plist .htaccess .go .py .js .ts .java .rb .php .pl .sh .bash .zsh "
-    ".rs .c .cpp .h .cs .swift .kt .scala .lua .groovy .r .html .htm .jsx .tsx .vue .css .scss .less .sql .csv .md .txt .log .rst .tex .tf .hcl "
-    ".pem .key .crt .cer .pub .asc .der .npmrc .pypirc .gemrc .pyi .pyx .pxd .mod .sum .work .proto .thrift .avdl .graphql .gql .svelte .astro "
-    ".zig .nim .v .d .cmake .mk .makefile .dockerfile .containerfile .tfvars .gradle .sbt .maven .bat .cmd .ps1 .psm1 .fish .elvish .lock .golden "
-    ".snap .wat .wast .s .asm"
-).split()
-MEDIA = (
-    ".png .jpg .jpeg .gif .gifv .bmp .ico .tif .tiff .psd .xcf .svg .webp .mp4 .avi .mkv .mov .flv .wmv .webm .mpeg .mpg .3gp .3g2 .h264 .m4v .ogv "
-    ".ogm .vob .swf .mp3 .wav .ogg .m4a .rm .ttf .otf .woff .woff2 .eot"
-).split()
-EXECUTABLE = ".exe .dll .so .dylib .sys .drv .msi .deb .rpm .pkg .class .pyc .o .a".split()
-ARCHIVE = ".zip .tar .gz .7z .rar .apk .jar .iso".split()
-DOCUMENT = ".pdf .doc .ppt .xls .xlsx".split()
-OTHER = ".lock .map .axd .csv".split()
-SKIPPED_FOLDERS = (
-    "node_modules bower_components __pycache__ .tox .eggs .svn .hg .idea .vscode .gradle .cache .local .npm .yarn .cargo .rustup .goenv .rbenv .pyenv .nvm site-packages"
-).split()
+# fmt: off
+KNOWN_TEXT = [
+    ".env", ".ini", ".conf", ".cfg", ".config", ".yaml", ".yml", ".toml", ".json", ".xml", ".properties", ".plist", ".htaccess", ".go", ".py", ".js",
+    ".ts", ".java", ".rb", ".php", ".pl", ".sh", ".bash", ".zsh", ".rs", ".c", ".cpp", ".h", ".cs", ".swift", ".kt", ".scala", ".lua", ".groovy",
+    ".r", ".html", ".htm", ".jsx", ".tsx", ".vue", ".css", ".scss", ".less", ".sql", ".csv", ".md", ".txt", ".log", ".rst", ".tex", ".tf", ".hcl",
+    ".pem", ".key", ".crt", ".cer", ".pub", ".asc", ".der", ".npmrc", ".pypirc", ".gemrc", ".pyi", ".pyx", ".pxd", ".mod", ".sum", ".work", ".proto",
+    ".thrift", ".avdl", ".graphql", ".gql", ".svelte", ".astro", ".zig", ".nim", ".v", ".d", ".cmake", ".mk", ".makefile", ".dockerfile",
+    ".containerfile", ".tfvars", ".gradle", ".sbt", ".maven", ".bat", ".cmd", ".ps1", ".psm1", ".fish", ".elvish", ".lock", ".golden", ".snap",
+    ".wat", ".wast", ".s", ".asm",
+]
+MEDIA = [
+    ".png", ".jpg", ".jpeg", ".gif", ".gifv", ".bmp", ".ico", ".tif", ".tiff", ".psd", ".xcf", ".svg", ".webp", ".mp4", ".avi", ".mkv", ".mov",
+    ".flv", ".wmv", ".webm", ".mpeg", ".mpg", ".3gp", ".3g2", ".h264", ".m4v", ".ogv", ".ogm", ".vob", ".swf", ".mp3", ".wav", ".ogg", ".m4a", ".rm",
+    ".ttf", ".otf", ".woff", ".woff2", ".eot",
+]
+EXECUTABLE = [
+    ".exe", ".dll", ".so", ".dylib", ".sys", ".drv", ".msi", ".deb", ".rpm", ".pkg", ".class", ".pyc", ".o", ".a",
+]
+ARCHIVE = [
+    ".zip", ".tar", ".gz", ".7z", ".rar", ".apk", ".jar", ".iso",
+]
+DOCUMENT = [
+    ".pdf", ".doc", ".ppt", ".xls", ".xlsx",
+]
+OTHER = [
+    ".lock", ".map", ".axd", ".csv",
+]
+SKIPPED_FOLDERS = [
+    "node_modules", "bower_components", "__pycache__", ".tox", ".eggs", ".svn", ".hg", ".idea", ".vscode", ".gradle", ".cache", ".local", ".npm",
+    ".yarn", ".cargo", ".rustup", ".goenv", ".rbenv", ".pyenv", ".nvm", "site-packages",
+]
+# fmt: on
 # First bytes (hexadecimal) of kinds of files.
 MAGIC = {
     "image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF", "image/gif": "47494638", "application/pdf": "25504446", "application/zip": "504B0304",

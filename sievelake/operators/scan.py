@@ -67,23 +67,34 @@ def assemble(raw: DataFrame, rules: list[Rule], keep: list[str], compat_negative
     without needs an output extract.
     """
     z = raw.withColumn("r", F.element_at(_meta(rules, compat_negative), F.col("rule") + 1))
-    ms = F.arrays_zip(F.col("m").alias("m"), F.col("r.names").alias("name"), F.col("r.negative").alias("neg"), F.col("r.always").alias("always"))
-    z = z.withColumn("ms", F.transform(ms, lambda x: F.named_struct(F.lit("name"), x["name"], F.lit("has"), x["always"] | (x["m"]["has"] != x["neg"]), F.lit("hits"), F.when(x["neg"], F.array().cast(f"array<{match.HIT}>")).otherwise(x["m"]["hits"]))))
-    z = z.withColumn("holds", F.filter("ms", lambda x: x["has"]))
-    z = z.withColumn("matched", (F.size("ms") > 0) & F.when(F.col("r.every"), F.size("holds") == F.size("ms")).otherwise(F.size("holds") > 0))
-    es = F.arrays_zip(F.col("e.hits").alias("hits"), F.col("r.extract_names").alias("name"), F.col("r.internal").alias("internal"))
-    z = z.withColumn("es", F.filter(es, lambda x: F.size(x["hits"]) > 0))
+    verdicts = F.zip_with("m", "r.negative", lambda x, neg: x["has"] != neg)
+    if compat_negative:
+        verdicts = F.zip_with(verdicts, "r.always", lambda x, always: x | always)
+    z = z.withColumn("verdicts", verdicts)
+    z = z.withColumn("matched", (F.size("m") > 0) & F.when(F.col("r.every"), F.forall("verdicts", lambda x: x)).otherwise(F.exists("verdicts", lambda x: x)))
+    # Most findings of sizes, expressions and negations have no hits: nothing further is made of them.
+    some = lambda c: F.exists(c, lambda x: F.size(x["hits"]) > 0)
+    z = z.where(F.col("matched") | (F.size("m") == 0) & some("e")).withColumn("found", some("m")).withColumn("taken", some("e"))
+    where = lambda test, c, kind: F.when(F.col(test), c).otherwise(F.lit(None).cast(kind))
+    hits = f"array<{match.HIT}>"
+    ms = F.arrays_zip(F.col("m.hits").alias("hits"), F.col("r.names").alias("name"), F.col("r.negative").alias("neg"), F.col("verdicts").alias("holds"))
+    holds = F.transform(F.filter(ms, lambda x: x["holds"]), lambda x: F.named_struct(F.lit("name"), x["name"], F.lit("hits"), F.when(x["neg"], F.array().cast(hits)).otherwise(x["hits"])))
+    z = z.withColumn("holds", where("found", holds, f"array<struct<name:string,hits:{hits}>>"))
+    es = F.filter(F.arrays_zip(F.col("e.hits").alias("hits"), F.col("r.extract_names").alias("name"), F.col("r.internal").alias("internal")), lambda x: F.size(x["hits"]) > 0)
+    z = z.withColumn("es", where("taken", es, f"array<struct<hits:{hits},name:string,internal:boolean>>"))
     output = F.array_distinct(F.flatten(F.transform(F.filter("es", lambda x: ~x["internal"]), lambda x: x["hits"]["value"])))
-    z = z.withColumn("output_extracts", output).where(F.col("matched") | (F.size("ms") == 0) & (F.size("output_extracts") > 0))
+    z = z.withColumn("output_extracts", F.coalesce(where("taken", output, "array<string>"), F.array().cast("array<string>"))).where(F.col("matched") | (F.size("output_extracts") > 0))
     chosen = F.filter(F.when(F.col("r.every"), F.col("holds")).otherwise(F.slice("holds", 1, 1)), lambda x: F.size(x["hits"]) > 0)
-    z = z.withColumn("chosen", chosen)
+    z = z.withColumn("chosen", where("found", chosen, f"array<struct<name:string,hits:{hits}>>"))
     named = F.filter("es", lambda x: (x["name"] != "") & ~x["internal"])
-    z = z.withColumn("named", named)
+    z = z.withColumn("named", where("taken", named, f"array<struct<hits:{hits},name:string,internal:boolean>>"))
     matches = F.map_from_entries(F.transform(F.array_distinct(F.col("chosen.name")), lambda n: F.struct(n, F.flatten(F.transform(F.filter("chosen", lambda x: x["name"] == n), lambda x: x["hits"])))))
     extracts = F.map_from_entries(F.transform(F.array_distinct(F.col("named.name")), lambda n: F.struct(n, F.element_at(F.filter("named", lambda x: x["name"] == n), -1)["hits"]["value"])))
+    or_none = lambda test, c, kind: F.coalesce(where(test, c, kind), F.map_from_arrays(F.array(), F.array()).cast(kind))
     return z.select(
-        *keep, "r.template_id", "r.template_name", "r.severity", F.col("rule").alias("request"), matches.alias("matches"), F.flatten(F.col("es.hits")).alias("extracts"),
-        "matched", (F.size("output_extracts") > 0).alias("extracted"), extracts.alias("named_extracts"), "output_extracts",
+        *keep, "r.template_id", "r.template_name", "r.severity", F.col("rule").alias("request"), or_none("found", matches, f"map<string,{hits}>").alias("matches"),
+        F.coalesce(where("taken", F.flatten(F.col("es.hits")), hits), F.array().cast(hits)).alias("extracts"),
+        "matched", (F.size("output_extracts") > 0).alias("extracted"), or_none("taken", extracts, "map<string,array<string>>").alias("named_extracts"), "output_extracts",
     )
 
 

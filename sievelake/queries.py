@@ -456,6 +456,11 @@ def path_glob(spark, sf):
     return _paths(spark, sf).where(F.col("path").rlike(regex.glob_to_regex("src/**/*_*.{py,go}")) & F.col("path").rlike("_[0-9a-f]+\\.[a-z]+$"))
 
 
+@query("path_media", f"select path, {_EXT} in ({', '.join(map(repr, [*paths.MEDIA, '.py', '.go']))}) as media from {_PATHS}")
+def path_media(spark, sf):
+    return _paths(spark, sf).select("path", paths.always_denied(F.col("path"), paths.Filters(media=(*paths.MEDIA, ".py", ".go"))).alias("media"))
+
+
 @query("path_known_text", f"select path, lower({_EXT}) in ({', '.join(map(repr, paths.KNOWN_TEXT))}) as known from {_PATHS}")
 def path_known_text(spark, sf):
     return _paths(spark, sf).select("path", paths.known_text(F.col("path")).alias("known"))
@@ -480,6 +485,14 @@ def text_sniff(spark, sf):
     return table(spark, sf, "blocks").where("payload is not null").select("block_id", text.looks_like_text(F.col("payload")).alias("is_text"))
 
 
+@query("scan_files_text", f"select 'f' || block_id || '.bin' as path from blocks join ({SQL['text_sniff']}) using (block_id) where is_text and octet_length(payload) between 1 and 30000 and contains(payload::varchar, 'token')")
+def scan_files_text(spark, sf):
+    """Files taken by a request that wants text of a limited size: unknown extensions are judged by their first bytes."""
+    files = table(spark, sf, "blocks").select(F.format_string("f%d.bin", "block_id").alias("path"), F.col("payload").alias("content"))
+    rule = Rule("r", requests=[Request(max_size=30000, matchers=[Matcher(words=["token"])])])
+    return scan.scan_files(files, [rule]).select("path")
+
+
 @query("mime_sniff", "select block_id, hex(payload[1:4]) = '504B0304' or hex(payload[1:3]) = '1F8B08' as is_archive from blocks where payload is not null")
 def mime_sniff(spark, sf):
     return table(spark, sf, "blocks").where("payload is not null").select("block_id", text.is_mime(F.col("payload"), ["application/zip", "application/gzip"]).alias("is_archive"))
@@ -570,6 +583,23 @@ def rule_choice(spark, sf):
     return spark.createDataFrame([(r.id,) for r in rules], "rule_id string")
 
 
+@query(
+    "rule_compile",
+    """select rule_id, name, severity, tags, n_requests, count(r)::int as n_used, coalesce(sum(len(r.matchers)), 0)::int as n_matchers, coalesce(sum(len(r.extractors)), 0)::int as n_extractors,
+              count(*) filter (r.matchers_condition = 'and')::int as n_every, coalesce(max(r.max_size), -1)::bigint as max_size, count(*) filter (r.mimetype)::int as n_mimetype
+       from (select rule_id, coalesce(rule_name, '') as name, coalesce(severity, '') as severity, coalesce(array_to_string(tags, ','), '') as tags, len(requests)::int as n_requests, unnest(requests) as r from rules) group by all""",
+)
+def rule_compile(spark, sf):
+    """What the rules of a table are compiled to."""
+    total = lambda r, f: sum(f(q) for q in r.requests)
+    rows = [
+        (r.id, r.name, r.severity, ",".join(r.tags), len(r.requests), len(r.requests), total(r, lambda q: len(q.matchers)), total(r, lambda q: len(q.extractors)),
+         total(r, lambda q: q.condition == "and"), max((q.max_size for q in r.requests if q.max_size is not None), default=-1), total(r, lambda q: q.mimetype))
+        for r in from_table(table(spark, sf, "rules"))
+    ]
+    return spark.createDataFrame(rows, "rule_id string, name string, severity string, tags string, n_requests int, n_used int, n_matchers int, n_extractors int, n_every int, max_size long, n_mimetype int")
+
+
 @query("rule_groups", "select group_key, count(*) as n_requests from (select case when list_contains(x.extensions, 'all') then 'all' else array_to_string(list_sort(x.extensions), ',') end as group_key from (select unnest(requests) as x from rules)) group by group_key")
 def rule_groups(spark, sf):
     g = grouped(from_table(table(spark, sf, "rules")))
