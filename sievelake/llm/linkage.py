@@ -14,8 +14,8 @@ neighbouring bands. A new batch
    agreeing pair fails;
 4. scores the pairs left field by field with weights that
    expectation-maximization learned from all comparisons so far, and takes a
-   finding as a repeat if the weight speaks for it and an exact check of the
-   agreeing characters confirms it;
+   finding as a repeat if its weight reaches that of a match and an exact check
+   of the agreeing characters confirms it;
 5. unites each repeat with the first accepted finding it repeats, and appends
    the batch with these mappings. Earlier mappings never change.
 
@@ -158,18 +158,20 @@ def pattern(a: tuple, b: tuple, agreed: float) -> tuple[int, int, int]:
     return sum(agreed >= e - 1e-9 for e in _CLASSES[1:]), counts, int(a[2] == b[2])
 
 
-def learn_weights(patterns: Counter, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Match weights (log likelihood ratios) of each field's outcomes, and the log odds of a match before any field.
+def learn_weights(patterns: Counter, rounds: int = 200) -> tuple[np.ndarray, float, float]:
+    """Match weights (log likelihood ratios) of each field's outcomes, the log odds of a match before any field, and the least total of a match.
 
     ``patterns`` counts the pairs of each comparison pattern. Two-class
     expectation-maximization under independence of fields, until the weights
-    stay the same; high agreement starts as a match. Few pairs leave the
-    weights near their start.
+    stay the same; pairs that agree are matches throughout. Few pairs leave the
+    weights near their start. The least total is 0, or what the weakest pattern
+    of an agreeing pair has if that is less, so that no agreeing pair is lost.
     """
     p = np.array([(i, j, k) for i in range(_SIZES[0]) for j in range(_SIZES[1]) for k in range(_SIZES[2])])
     n = np.array([patterns.get(tuple(int(v) for v in x), 0) for x in p], float)
-    known = (p[:, 0] >= _CLASSES.index(AGREEMENT)) * 0.98 + 0.01
-    match, weights, odds = known, np.zeros((3, max(_SIZES))), 0.0
+    agreeing = p[:, 0] >= _CLASSES.index(AGREEMENT)
+    known = agreeing * 0.998 + 0.001
+    match, weights, odds, total = known, np.zeros((3, max(_SIZES))), 0.0, known
     for _ in range(rounds):
         before = weights.copy()
         # The prior pairs keep their start: agreement alone tells them apart.
@@ -179,10 +181,10 @@ def learn_weights(patterns: Counter, rounds: int = 200) -> tuple[np.ndarray, flo
             m, u = np.bincount(p[:, f], yes, minlength=size), np.bincount(p[:, f], no, minlength=size)
             weights[f, :size] = np.log(m / m.sum()) - np.log(u / u.sum())
         total = odds + sum(weights[f][p[:, f]] for f in range(3))
-        match = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
+        match = np.where(agreeing, 1.0, 1 / (1 + np.exp(-np.clip(total, -50, 50))))
         if np.abs(weights - before).max() < 1e-9:
             break
-    return weights, odds
+    return weights, odds, min(0.0, float(total[agreeing].min()))
 
 
 class Representatives:
@@ -284,21 +286,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class _Scorer:
     """The comparison of two findings by the learned weights, with the comparisons counted by pattern."""
 
-    def __init__(self, weights: np.ndarray, odds: float):
-        self.weights, self.odds, self.counted = weights, odds, Counter()
+    def __init__(self, weights: np.ndarray, odds: float, least: float):
+        self.weights, self.odds, self.least, self.counted = weights, odds, least, Counter()
 
     def linked(self, a: tuple, b: tuple) -> bool:
         """Whether the weight speaks for a match of two rows (id, total, spelled, vals, sig, ...) and their agreement confirms it."""
         agreed = 1.0 if a[4] == b[4] else agreement(a[3], b[3], AGREEMENT)
         p = pattern(a, b, agreed)
         self.counted[p] += 1
-        return self.odds + self.weights[0][p[0]] + self.weights[1][p[1]] + self.weights[2][p[2]] >= 0 and agreed >= AGREEMENT - 1e-9
+        return self.odds + self.weights[0][p[0]] + self.weights[1][p[1]] + self.weights[2][p[2]] >= self.least - 1e-9 and agreed >= AGREEMENT - 1e-9
 
     def patterns(self) -> list[tuple]:
         return [(_PATTERN, None, None, None, *p, n) for p, n in self.counted.items()]
 
 
-def _comparer(weights: np.ndarray, odds: float):
+def _comparer(weights: np.ndarray, odds: float, least: float):
     """Links of tiles of (block, i, j, finding_id, total, spelled, vals, sig, fresh, part) rows, sorted by tile.
 
     A tile of a whole block is decided at once, in order of arrival. Tiles of
@@ -307,7 +309,7 @@ def _comparer(weights: np.ndarray, odds: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(weights, odds)
+        scorer = _Scorer(weights, odds, least)
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out: list[tuple] = []
         for (block, i, j), group in groupby(rows, key=lambda r: r[:3]):
@@ -338,7 +340,7 @@ def _comparer(weights: np.ndarray, odds: float):
 _held: dict[str, tuple[np.ndarray, list[tuple]]] = {}
 
 
-def _prober(sent, name: str, weights: np.ndarray, odds: float):
+def _prober(sent, name: str, weights: np.ndarray, odds: float, least: float):
     """Links to the accepted (block, finding_id, total, spelled, vals, sig) rows of the history, the first of each task for a new class.
 
     ``sent`` broadcasts the new classes as such rows, sorted by block, and
@@ -351,7 +353,7 @@ def _prober(sent, name: str, weights: np.ndarray, odds: float):
             _held.clear()
             _held[name] = t.column(0).to_numpy(), list(zip(*(c.to_pylist() for c in t.columns[1:])))
         blocks, new = _held[name]
-        scorer, first, block_of = _Scorer(weights, odds), {}, {}
+        scorer, first, block_of = _Scorer(weights, odds, least), {}, {}
         for b in batches:
             at = b.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(at, kind="stable")
