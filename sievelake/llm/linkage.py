@@ -226,14 +226,16 @@ def gram_counts(vals: list[list[str]], size: int) -> np.ndarray:
     ends = np.cumsum(lengths)[:-1]
     for k in range(1, GRAM):
         inside[ends - k] = False
-    at = row[: len(h)] * size + h.astype(np.int64)
-    counts = np.bincount(at[inside], minlength=len(vals) * size).reshape(len(vals), size)
-    out = np.minimum(counts, 1).astype(np.float32)
-    k = 2
-    while len(again := np.argwhere(counts >= k)):  # a number's k-th occurrence counts under a number of its own
-        np.add.at(out, (again[:, 0], (again[:, 1] * 0x9E37 + k * 0x79B1) & (size - 1)), 1)
-        k += 1
-    return out
+    at = np.sort((row[: len(h)] * size + h.astype(np.int64))[inside])
+    begin = np.concatenate([[True], at[1:] != at[:-1]])
+    out = np.zeros(len(vals) * size, np.float32)
+    out[at[begin]] = 1
+    # A number's k-th occurrence counts under a number of its own.
+    again = np.flatnonzero(~begin)
+    if len(again):
+        k = again - np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))[again]
+        np.add.at(out, at[again] // size * size + ((at[again] % size * 0x9E37 + k * 0x79B1) & (size - 1)), 1)
+    return out.reshape(len(vals), size)
 
 
 def alike(fresh: list[tuple], rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
@@ -245,7 +247,7 @@ def alike(fresh: list[tuple], rows: list[tuple]) -> Iterator[tuple[int, np.ndarr
     it in n-grams. Numbers that clash only add to what is counted, so no pair that
     agrees is left out.
     """
-    size = int(min(MAX_SIZE, max(64, 1 << (8 * int(np.median([r[1] for r in rows]))).bit_length())))
+    size = int(min(MAX_SIZE, max(64, 1 << (16 * int(np.median([r[1] for r in rows]))).bit_length())))
 
     def ordered(xs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
         totals = np.fromiter((x[1] for x in xs), float, len(xs))
