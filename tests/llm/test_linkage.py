@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievelake.llm import linkage
@@ -180,3 +182,50 @@ def test_representatives():
     r.unite(5, 2)
     r.unite(9, 5)
     assert [r.find(x) for x in (2, 5, 9, 7)] == [2, 2, 2, 7]
+
+
+def test_pairs_within_groups_keep_every_pair_that_agrees(monkeypatch):
+    monkeypatch.setattr(linkage, "PAIRS", 300)
+    rnd = random.Random(2)
+    vals = [sorted(x for x in r[4] or [] if x) for r in random_rows(150, 5) + short_rows(150, 6)]
+    vals += [["ab"], ["ab", "é"], ["é"], [], ["zürich-straße-ÄÖ-😀😀"], ["zürich-strasse-ÄÖ-😀😀"]] * 3
+    n = len(vals)
+    group, ids = np.array([rnd.randrange(3) - 1 for _ in range(n)], np.int64), np.array(rnd.sample(range(n), n), np.int64)
+    rows = linkage._Rows(group, np.array([sum(map(len, v)) for v in vals]), ids, pa.array(vals, pa.list_(pa.string())))
+    got = [(i, j) for a, b in linkage.near_pairs(rows, rows) for i, j in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got)) and all(group[i] == group[j] and ids[j] < ids[i] for i, j in got)
+    agreeing = {(i, j) for i in range(n) for j in range(n) if group[i] == group[j] and ids[j] < ids[i] and linkage.agreement(vals[j], vals[i]) >= linkage.AGREEMENT - 1e-9}
+    assert agreeing and agreeing <= set(got)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_rows_taken_together_keep_groups_whole(size):
+    t = pa.table({"block": [1, 1, 2, 2, 2, 3, 4, 4], "total": [3, 0, 5, 1, 9, 0, 2, 2]})
+    for batch in (1, 3, 8):
+        for same in (0, 1):
+            parts = list(linkage._together(iter(t.to_batches(max_chunksize=batch)), size, same))
+            assert pa.concat_tables(parts).equals(t)
+            assert not same or sum(len(set(p["block"].to_pylist())) for p in parts) == 4
+
+
+@pytest.mark.parametrize("keys", [0, 1000])
+def test_a_large_batch_meets_a_history_by_block(spark, monkeypatch, keys):
+    monkeypatch.setattr(linkage, "SENT_ROWS", 0)
+    monkeypatch.setattr(linkage, "SENT_KEYS", keys)
+    rows = random_rows(150, 11)
+    assert replayed(spark, rows, 10) == brute(rows)
+
+
+def test_an_increment_takes_few_stages(spark):
+    rows, sc = random_rows(120, 13), spark.sparkContext
+    h = linkage.History(spark)
+    h.add(frame(spark, [r for r in rows if r[1] < 2]))
+    sc.setJobGroup("increment", "one increment")
+    try:
+        h.add(frame(spark, [r for r in rows if r[1] >= 2]))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(x) for j in tracker.getJobIdsForGroup("increment") for x in tracker.getJobInfo(j).stageIds]
+    ran = sum(1 for s in stages if s is not None and s.numCompletedTasks)
+    assert 0 < ran <= 14, ran
