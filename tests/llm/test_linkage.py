@@ -229,3 +229,18 @@ def test_an_increment_takes_few_stages(spark):
     stages = [tracker.getStageInfo(x) for j in tracker.getJobIdsForGroup("increment") for x in tracker.getJobInfo(j).stageIds]
     ran = sum(1 for s in stages if s is not None and s.numCompletedTasks)
     assert 0 < ran <= 14, ran
+
+
+def test_accepted_findings_of_a_hot_block_are_not_copied(spark):
+    rnd = random.Random(3)
+    rows = [(i, 7, int(linkage.math.log(n + 1) / linkage.math.log(1.25)), n, i > 400) for i in range(1, 406) for n in [rnd.randrange(90, 260)]]
+    held = spark.createDataFrame(rows, "finding_id long, block long, band int, total int, fresh boolean").selectExpr("*", "1L as spelled", "array('x') as vals", "1L as sig")
+    got = linkage.tiles(held, 10).select("i", "j", "finding_id", "fresh").collect()
+    known = Counter(r.finding_id for r in got if not r.fresh)
+    assert known and set(known.values()) == {1}
+    at = {}
+    for r in got:
+        at.setdefault(r.finding_id, set()).add((r.i, r.j))
+    band = {r[0]: r[2] for r in rows}
+    near = [(a, b) for b in range(401, 406) for a in range(1, b) if abs(band[a] - band[b]) <= 1]
+    assert near and all(at[a] & at[b] for a, b in near)
